@@ -48,6 +48,11 @@ def _basket(spark: SparkSession, sf: str, *columns: str, trim: bool = True) -> D
     return plans.basket(sources.bookings(spark, sf, needed), columns=wanted, trim=trim)
 
 
+def _table(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The basket written once, for operators that pass over their input again."""
+    return sources.staged(_basket(spark, sf, *columns))
+
+
 def _with_flag(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     wanted = list(dict.fromkeys([*columns, *L.analysis]))
     return missing.flag_missing(_basket(spark, sf, *wanted), L.analysis)
@@ -86,7 +91,7 @@ def _fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, linear.Design, Dat
     """Training rows encoded and predicted by the full linear model."""
     rows = _modelling(spark, sf)
     train = rows.where(F.col("dataset") == TRAIN)
-    design = linear.fit_design(train, L.target, L.predictors)
+    design = linear.fit_design(train, L.predictors)
     encoded = design.apply(train)
     return linear.fit_line(encoded, L.target).transform(encoded), design, rows
 
@@ -138,12 +143,14 @@ def missing_mean_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 def missing_impact(spark: SparkSession, sf: str) -> DataFrame:
     others = [L.age, L.distance, L.duration, L.discount]
-    return rounded(missing.compare_groups(_with_flag(spark, sf), "has_missing", L.target, others))
+    rows = sources.staged(_with_flag(spark, sf).select("has_missing", L.target, *others))
+    return rounded(missing.compare_groups(rows, "has_missing", L.target, others))
 
 
 def missing_target_compare(spark: SparkSession, sf: str) -> DataFrame:
     stats = ("n_rows", "mean", "median", "sd", "min", "max")
-    return rounded(summarise.summarise(_with_flag(spark, sf), L.target, ["has_missing"], stats))
+    rows = sources.staged(_with_flag(spark, sf).select("has_missing", L.target))
+    return rounded(summarise.summarise(rows, L.target, ["has_missing"], stats))
 
 
 def cat_missing_share(spark: SparkSession, sf: str) -> DataFrame:
@@ -196,7 +203,7 @@ def factor_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 def _value_by(column: str, stats: tuple[str, ...] = summarise.EIGHT, by_mean: bool = False) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        out = summarise.summarise(_basket(spark, sf, column, L.target), L.target, [column], stats)
+        out = summarise.summarise(_table(spark, sf, column, L.target), L.target, [column], stats)
         return rounded(summarise.by_mean(out, column) if by_mean else out)
 
     return query
@@ -259,14 +266,14 @@ def level_union(spark: SparkSession, sf: str) -> DataFrame:
 
 def _boxes(*by: str) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        return rounded(plotdata.box_plot(_basket(spark, sf, *by, L.target), L.target, by))
+        return rounded(plotdata.box_plot(_table(spark, sf, *by, L.target), L.target, by))
 
     return query
 
 
 def _paired_boxes(by: str) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        return rounded(plotdata.box_plot_pairs(_basket(spark, sf, by, L.target), L.target, [by]))
+        return rounded(plotdata.box_plot_pairs(_table(spark, sf, by, L.target), L.target, [by]))
 
     return query
 
@@ -288,7 +295,7 @@ def lm_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lm_band(spark: SparkSession, sf: str) -> DataFrame:
-    return plotdata.line_band(_basket(spark, sf, L.discount, L.target), L.discount, L.target)
+    return plotdata.line_band(_table(spark, sf, L.discount, L.target), L.discount, L.target)
 
 
 # Models and evaluation
@@ -308,7 +315,7 @@ def mlr_nested(spark: SparkSession, sf: str) -> DataFrame:
 def mlr_coefficients(spark: SparkSession, sf: str) -> DataFrame:
     rows = _modelling(spark, sf)
     train = rows.where(F.col("dataset") == TRAIN)
-    design = linear.fit_design(train, L.target, L.predictors)
+    design = linear.fit_design(train, L.predictors)
     return linear.coefficients(
         rows, linear.fit_line(design.apply(train), L.target), design.names
     )
@@ -354,7 +361,7 @@ def model_compare(spark: SparkSession, sf: str) -> DataFrame:
     best = linear.choose_step(steps)
     used = [p for g in L.nested_predictors[:best] for p in g]
     train = rows.where(F.col("dataset") == TRAIN)
-    design = linear.fit_design(train, L.target, used)
+    design = linear.fit_design(train, used)
     line = linear.fit_line(design.apply(train), L.target, prediction="__line")
     fit = tree.fit_tree(train, L.target, L.predictors)
     test = rows.where(F.col("dataset") != TRAIN)
@@ -504,30 +511,30 @@ def queries() -> dict[str, Query]:
         "factor_levels": factor_levels,
         # Summaries
         "target_summary": lambda s, d: rounded(
-            summarise.summarise(_basket(s, d, L.target), L.target)
+            summarise.summarise(_table(s, d, L.target), L.target)
         ),
         "value_by_service": value_by_service,
         "value_by_promo": _value_by(L.promo, by_mean=True),
         "discount_summary": lambda s, d: rounded(
             summarise.summarise(
-                _basket(s, d, L.discount), L.discount, stats=(*summarise.EIGHT, "missing")
+                _table(s, d, L.discount), L.discount, stats=(*summarise.EIGHT, "missing")
             )
         ),
         "value_by_traffic": _value_by(L.traffic, FOUR, by_mean=True),
         "value_by_weather": _value_by(L.weather, FOUR, by_mean=True),
         "numeric_summary": lambda s, d: rounded(
-            summarise.summarise_many(_basket(s, d, *EDA), EDA)
+            summarise.summarise_many(_table(s, d, *EDA), EDA)
         ),
         "category_share": lambda s, d: rounded(
             summarise.category_shares(_basket(s, d, *cat), cat)
         ),
         "value_by_category": lambda s, d: rounded(
-            summarise.value_by_category(_basket(s, d, *cat, L.target), cat, L.target)
+            summarise.value_by_category(_table(s, d, *cat, L.target), cat, L.target)
         ),
         "correlations": correlations,
         "six_number": lambda s, d: rounded(
             summarise.summarise(
-                _distance(s, d),
+                sources.staged(_distance(s, d).select(L.clean_distance)),
                 L.clean_distance,
                 stats=("min", "q1", "median", "mean", "q3", "max", "missing"),
             )
@@ -537,10 +544,10 @@ def queries() -> dict[str, Query]:
         ),
         "events_skewness": lambda s, d: rounded(summarise.skewness(_events(s, d), "value")),
         "quantiles": lambda s, d: rounded(
-            quantiles_long(_basket(s, d, L.target), L.target, [0.25, 0.75, 0.8])
+            quantiles_long(_table(s, d, L.target), L.target, [0.25, 0.75, 0.8])
         ),
         "iqr_fence": lambda s, d: rounded(
-            summarise.iqr_fences(_basket(s, d, L.target), L.target)
+            summarise.iqr_fences(_table(s, d, L.target), L.target)
         ),
         "events_iqr_fence": lambda s, d: rounded(summarise.iqr_fences(_events(s, d), "value")),
         "split_category_share": lambda s, d: rounded(
@@ -554,7 +561,7 @@ def queries() -> dict[str, Query]:
         "impute_mean_compare": impute_mean_compare,
         # Reshape
         "segment_order": lambda s, d: rounded(
-            reshape.levels_by_median(_basket(s, d, L.segment, L.target), L.segment, L.target)
+            reshape.levels_by_median(_table(s, d, L.segment, L.target), L.segment, L.target)
         ),
         "stack_split": stack_split,
         "level_union": level_union,
@@ -590,10 +597,10 @@ def queries() -> dict[str, Query]:
         "final_cleaned": _filled,
         # Figures
         "histogram30": lambda s, d: rounded(
-            plotdata.histogram(_basket(s, d, L.target), L.target)
+            plotdata.histogram(_table(s, d, L.target), L.target)
         ),
         "histogram_high_value": lambda s, d: rounded(
-            plotdata.histogram_split(_basket(s, d, L.target), L.target)
+            plotdata.histogram_split(_table(s, d, L.target), L.target)
         ),
         "boxplot_service": _boxes(L.service),
         "boxplot_segment": _boxes(L.segment),
@@ -608,7 +615,7 @@ def queries() -> dict[str, Query]:
         ),
         "events_outliers": events_outliers,
         "density2d": lambda s, d: plotdata.density_2d(
-            _basket(s, d, L.discount, L.target), L.discount, L.target
+            _table(s, d, L.discount, L.target), L.discount, L.target
         ),
         "lm_fit": lm_fit,
         "lm_band": lm_band,

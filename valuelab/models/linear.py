@@ -7,13 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import RFormula, RFormulaModel, VectorSlicer
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.split import TEST, TRAIN
 from .distributions import chi2_tail
@@ -24,37 +26,55 @@ from .evaluate import regression_metrics
 class Design:
     """Encoded predictors: dummies against the alphabetically first level, numbers as they are."""
 
-    model: RFormulaModel
-    names: tuple[str, ...]
-    target: str
+    encoder: PipelineModel
+    #: predictor -> names of its encoded columns, in order
+    terms: dict[str, list[str]]
+
+    @property
+    def names(self) -> list[str]:
+        return [n for names in self.terms.values() for n in names]
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Adds ``features``; rows with a missing or unseen value are left out."""
-        return self.model.transform(df).drop("__label")
-
-    def positions(self, predictors: Sequence[str]) -> dict[str, list[int]]:
-        """Columns of each predictor; the encoder keeps the order of the formula."""
-        out: dict[str, list[int]] = {p: [] for p in predictors}
-        order, at = list(predictors), 0
-        for i, name in enumerate(self.names):
-            while not (name == order[at] or name.startswith(f"{order[at]}_")):
-                at += 1
-            out[order[at]].append(i)
-        return out
-
-
-def fit_design(train: DataFrame, target: str, predictors: Sequence[str]) -> Design:
-    formula = RFormula(
-        formula=f"{target} ~ {' + '.join(predictors)}",
-        featuresCol="features",
-        labelCol="__label",
-        stringIndexerOrderType="alphabetDesc",
+        helpers = [c for p in self.terms for c in (f"__i_{p}", f"__d_{p}")]
+        return self.encoder.transform(df).drop(*helpers)
+
+    def positions(self) -> dict[str, list[int]]:
+        """Places of each predictor in the encoded vector."""
+        places, at = {}, 0
+        for predictor, names in self.terms.items():
+            places[predictor] = list(range(at, at + len(names)))
+            at += len(names)
+        return places
+
+
+def fit_design(train: DataFrame, predictors: Sequence[str]) -> Design:
+    """Learn the levels of all text predictors in one pass.
+
+    Levels are sorted backwards, so the encoder, which drops the last one, drops the
+    alphabetically first.
+    """
+    text = [p for p in predictors if isinstance(train.schema[p].dataType, T.StringType)]
+    indexer = StringIndexer(
+        inputCols=text,
+        outputCols=[f"__i_{p}" for p in text],
+        stringOrderType="alphabetDesc",
+        handleInvalid="skip",
+    )
+    dummies = OneHotEncoder(
+        inputCols=[f"__i_{p}" for p in text], outputCols=[f"__d_{p}" for p in text], dropLast=True
+    )
+    vector = VectorAssembler(
+        inputCols=[f"__d_{p}" if p in text else p for p in predictors],
+        outputCol="features",
         handleInvalid="skip",
     )
-    model = formula.fit(train)
-    attrs = model.transform(train).schema["features"].metadata["ml_attr"]["attrs"]
-    named = sorted((a["idx"], a["name"]) for kind in attrs.values() for a in kind)
-    return Design(model, tuple(name for _, name in named), target)
+    encoder = Pipeline(stages=[indexer, dummies, vector] if text else [vector]).fit(train)
+    labels = dict(zip(text, encoder.stages[0].labelsArray, strict=True)) if text else {}
+    terms = {
+        p: [f"{p}_{level}" for level in labels[p][:-1]] if p in labels else [p] for p in predictors
+    }
+    return Design(encoder, terms)
 
 
 def fit_line(encoded: DataFrame, target: str, features: str = "features", prediction: str = "prediction"):
@@ -95,8 +115,8 @@ def nested_regressions(
     """
     everything = [p for g in groups for p in g]
     train = df.where(F.col(side) == TRAIN)
-    design = fit_design(train, target, everything)
-    places = design.positions(everything)
+    design = fit_design(train, everything)
+    places = design.positions()
     encoded = design.apply(df)
     used: list[int] = []
     scored, models = encoded, {}

@@ -47,7 +47,7 @@ class LogitFit:
 
 def fit_logit(train: DataFrame, label: str, predictors: Sequence[str], max_iter: int = 25) -> LogitFit:
     """Iteratively reweighted least squares; every iteration is one combining pass."""
-    design = fit_design(train, label, predictors)
+    design = fit_design(train, predictors)
     model = GeneralizedLinearRegression(
         family="binomial",
         link="logit",

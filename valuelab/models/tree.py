@@ -43,10 +43,10 @@ def fit_tree(
 ) -> TreeFit:
     """Categories are indexed alphabetically and split as sets, numbers at thresholds."""
     text = [p for p in predictors if isinstance(train.schema[p].dataType, T.StringType)]
-    inputs = [f"__i_{p}" if p in text else p for p in predictors]
+    inputs = [f"__t_{p}" if p in text else p for p in predictors]
     indexer = StringIndexer(
         inputCols=text,
-        outputCols=[f"__i_{p}" for p in text],
+        outputCols=[f"__t_{p}" for p in text],
         stringOrderType="alphabetAsc",
         handleInvalid="keep",
     )

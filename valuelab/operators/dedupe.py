@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .quantiles import same_keys
@@ -42,9 +43,13 @@ def duplicate_rows(df: DataFrame, key: str, tie_break: Sequence[str] = ()) -> Da
 def dedupe_first(df: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
     """One whole row per key: the first by ``order_by``, which must rank rows fully.
 
-    ``min_by`` is a combining aggregate: each task keeps one row per key before the
-    shuffle, whatever share of the table one key has.
+    The filter on the row number lets Spark keep only the first row per key in each
+    task before the shuffle, whatever share of the table one key has, and unused
+    columns are pruned through the window.
     """
-    payload = [c for c in df.columns if c != key]
-    first = F.min_by(F.struct(*payload), F.struct(*order_by))
-    return df.groupBy(key).agg(first.alias("__row")).select(key, "__row.*").select(*df.columns)
+    first = W.partitionBy(key).orderBy(*order_by)
+    return (
+        df.withColumn("__rank", F.row_number().over(first))
+        .where(F.col("__rank") == 1)
+        .drop("__rank")
+    )

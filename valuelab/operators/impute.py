@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import UNKNOWN, is_missing
-from .quantiles import collect_bounded, quantile_summary, same_keys
+from .quantiles import collect_bounded, quantile_summary
+from .reshape import melt_categories
 from .split import TRAIN
 
 
@@ -41,21 +42,21 @@ def restrict_levels(
     A small set of levels goes into the plan as constants; beyond ``max_levels``
     they are joined.
     """
+    train = df.where(F.col(side) == TRAIN)
+    levels = melt_categories(train, columns, value="level").where(F.col("level").isNotNull())
+    levels = levels.distinct()
+    few = collect_bounded(levels, max_levels)
+    if few is not None:
+        known = {c: [r["level"] for r in few if r["variable"] == c] for c in columns}
+        return df.withColumns(
+            {c: F.when(F.col(c).isin(values), F.col(c)) for c, values in known.items()}
+        )
     for c in columns:
-        levels = (
-            df.where((F.col(side) == TRAIN) & F.col(c).isNotNull())
-            .groupBy(F.col(c).alias("__level"))
-            .agg(F.lit(True).alias("__known"))
+        mine = levels.where(F.col("variable") == c).select(
+            F.col("level").alias("__level"), F.lit(True).alias("__known")
         )
-        few = collect_bounded(levels, max_levels)
-        if few is not None:
-            values = [r["__level"] for r in few]
-            df = df.withColumn(c, F.when(F.col(c).isin(values), F.col(c)))
-        else:
-            joined = df.join(levels, same_keys(df, levels, [(c, "__level")]), "left")
-            df = joined.withColumn(c, F.when(F.col("__known"), F.col(c))).drop(
-                "__level", "__known"
-            )
+        joined = df.join(mine, F.col(c) == F.col("__level"), "left")
+        df = joined.withColumn(c, F.when(F.col("__known"), F.col(c))).drop("__level", "__known")
     return df
 
 

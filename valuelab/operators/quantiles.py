@@ -18,8 +18,6 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import nan_to_null
-
 # A side joined by broadcast has at most this many rows, and that is checked.
 MAX_BROADCAST_ROWS = 10_000
 # Distinct values that one window partition of the second pass should hold.
@@ -77,39 +75,33 @@ def quantile_summary(
     joined by shuffle.
     """
     columns, by = list(columns), list(by)
-    probs = sorted(set(probs))
-    x = {c: nan_to_null(F.col(c).cast("double")) for c in columns}
+    probs = sorted({float(p) for p in probs})
+    values = [_value(c) for c in columns]
     aliases = [name(c, p) for c in columns for p in probs]
-    extras = [expr.alias(alias) for alias, expr in extra]
     extra_names = [alias for alias, _ in extra]
+    extras = [expr.alias(alias) for alias, expr in extra]
 
     if approximate:
-        sketched = df.groupBy(*by).agg(
-            *extras,
-            *[F.percentile_approx(x[c], p, accuracy).alias(name(c, p)) for c in columns for p in probs],
-        )
-        return sketched.select(*by, *extra_names, *aliases)
+        sketches = [F.expr(f"percentile_approx({v}, {p}D, {accuracy})") for v in values for p in probs]
+        named = [s.alias(a) for s, a in zip(sketches, aliases, strict=True)]
+        return df.groupBy(*by).agg(*extras, *named).select(*by, *extra_names, *aliases)
 
-    brackets = df.groupBy(*by).agg(*extras, *_bracket_aggregates(x, probs, accuracy))
+    brackets = df.groupBy(*by).agg(*extras, *_bracket_aggregates(values, probs, accuracy))
     keyed = brackets.withColumnsRenamed({k: f"__{k}" for k in by})
     side, rows = bounded_side(keyed, max_groups)
 
-    if rows is None:
-        parts = 1024
-    else:
+    parts = 1024
+    if rows is not None:
         most = max([r[f"__n{i}"] for r in rows for i in range(len(columns))], default=0)
         parts = max(1, math.ceil(10 * most / accuracy / max_window_rows)) if most > 2 * accuracy else 1
 
+    slim = df.select(*by, *[F.expr(v).alias(f"__x{i}") for i, v in enumerate(values)])
     if by:
-        pairs = [(k, f"__{k}") for k in by]
-        joined = df.select(*by, *[x[c].alias(f"__x{i}") for i, c in enumerate(columns)]).join(
-            side, same_keys(df, side, pairs)
-        )
-        bound = F.col
+        joined = slim.join(side, same_keys(slim, side, [(k, f"__{k}") for k in by]))
+        bound = str
     else:
-        joined = df.select(*[x[c].alias(f"__x{i}") for i, c in enumerate(columns)])
-        only = rows[0]
-        bound = lambda b: F.lit(only[b]).cast("double")
+        joined, only = slim, rows[0]
+        bound = lambda b: _double(only[b])
 
     entries = _value_counts(joined, by, len(columns), len(probs), bound, parts)
     ranked = _exact_ranks(entries, by, probs, parts)
@@ -125,24 +117,31 @@ def quantile_summary(
     return out.select(*[F.col(f"__{k}").alias(k) for k in by], *extra_names, *aliases)
 
 
-def _bracket_aggregates(x: dict[str, Column], probs: Sequence[float], accuracy: int) -> list[Column]:
+def _value(column: str) -> str:
+    """A column as a double, NaN as null."""
+    return f"nullif(cast(`{column}` AS double), double('NaN'))"
+
+
+def _double(x: float | None) -> str:
+    return "cast(NULL AS double)" if x is None else f"double('{x!r}')"
+
+
+def _bracket_aggregates(values: Sequence[str], probs: Sequence[float], accuracy: int) -> list[Column]:
     """Count per column, and a low and a high bound around every quantile.
 
     The sketch errs by at most 1/accuracy of the rows; bounds are set four times
     that far from the rank.  Up to ``2 * accuracy`` values, all of them are kept.
     """
     slack = 4.0 / accuracy
+    ends = [min(max(q, 0.0), 1.0) for p in probs for q in (p - slack, p + slack)]
     out: list[Column] = []
-    for i, v in enumerate(x.values()):
-        n = F.count(v)
-        ends = [min(max(q, 0.0), 1.0) for p in probs for q in (p - slack, p + slack)]
-        sketch = F.percentile_approx(v, ends, accuracy)
-        out.append(n.alias(f"__n{i}"))
+    for i, v in enumerate(values):
+        sketch = f"percentile_approx({v}, array({', '.join(f'{q!r}D' for q in ends)}), {accuracy})"
+        out.append(F.expr(f"count({v})").alias(f"__n{i}"))
         for j, p in enumerate(probs):
-            whole = n <= 2 * accuracy
-            low = F.when(whole | F.lit(p - slack <= 0), F.min(v)).otherwise(sketch[2 * j])
-            high = F.when(whole | F.lit(p + slack >= 1), F.max(v)).otherwise(sketch[2 * j + 1])
-            out += [low.alias(f"__lo{i}_{j}"), high.alias(f"__hi{i}_{j}")]
+            low = f"if(count({v}) <= {2 * accuracy} OR {p - slack <= 0}, min({v}), {sketch}[{2 * j}])"
+            high = f"if(count({v}) <= {2 * accuracy} OR {p + slack >= 1}, max({v}), {sketch}[{2 * j + 1}])"
+            out += [F.expr(low).alias(f"__lo{i}_{j}"), F.expr(high).alias(f"__hi{i}_{j}")]
     return out
 
 
@@ -151,7 +150,7 @@ def _value_counts(
     by: Sequence[str],
     n_columns: int,
     n_probs: int,
-    bound: Callable[[str], Column],
+    bound: Callable[[str], str],
     parts: int,
 ) -> DataFrame:
     """Rows per (group, column, region, part, value).
@@ -161,46 +160,37 @@ def _value_counts(
     sorts like the value itself.
     """
 
-    def region(i: int) -> Column:
-        v = F.col(f"__x{i}")
-        out = None
-        for j in range(n_probs):
-            inside = F.when(v >= bound(f"__lo{i}_{j}"), F.lit(2 * j + 1)).otherwise(F.lit(2 * j))
-            test = v <= bound(f"__hi{i}_{j}")
-            out = F.when(test, inside) if out is None else out.when(test, inside)
-        return F.when(v.isNotNull(), out.otherwise(F.lit(2 * n_probs)))
+    def ends(i: int, j: int) -> tuple[str, str]:
+        return bound(f"__lo{i}_{j}"), bound(f"__hi{i}_{j}")
 
-    def part(i: int) -> Column:
-        if parts == 1:
-            return F.lit(0)
-        v = F.col(f"__x{i}")
-        out = None
-        for j in range(n_probs):
-            low, high = bound(f"__lo{i}_{j}"), bound(f"__hi{i}_{j}")
-            cut = F.floor(F.try_divide(v - low, high - low) * parts)
-            cut = F.coalesce(F.least(cut, F.lit(parts - 1)), F.lit(0)).cast("int")
-            test = F.col(f"__r{i}") == 2 * j + 1
-            out = F.when(test, cut) if out is None else out.when(test, cut)
-        return out.otherwise(F.lit(0))
-
-    marked = df.withColumns({f"__r{i}": region(i) for i in range(n_columns)})
-
-    def entry(i: int) -> Column:
-        inside = F.col(f"__r{i}") % 2 == 1
-        return F.struct(
-            F.lit(i).alias("c"),
-            F.col(f"__r{i}").alias("r"),
-            part(i).alias("s"),
-            F.when(inside, F.col(f"__x{i}")).alias("v"),
-        )
+    def region(i: int) -> str:
+        cases = [
+            f"WHEN __x{i} <= {high} THEN if(__x{i} >= {low}, {2 * j + 1}, {2 * j})"
+            for j in range(n_probs)
+            for low, high in [ends(i, j)]
+        ]
+        return f"CASE WHEN __x{i} IS NULL THEN NULL {' '.join(cases)} ELSE {2 * n_probs} END"
 
-    if n_columns == 1:
-        long = marked.select(*by, entry(0).alias("e"))
-    else:
-        long = marked.select(*by, F.explode(F.array(*[entry(i) for i in range(n_columns)])).alias("e"))
+    def part(i: int) -> str:
+        if parts == 1:
+            return "0"
+        cases = [
+            f"WHEN __r{i} = {2 * j + 1} THEN "
+            f"coalesce(least(floor(try_divide(__x{i} - {low}, {high} - {low}) * {parts}), {parts - 1}), 0)"
+            for j in range(n_probs)
+            for low, high in [ends(i, j)]
+        ]
+        return f"cast(CASE {' '.join(cases)} ELSE 0 END AS int)"
+
+    marked = df.withColumns({f"__r{i}": F.expr(region(i)) for i in range(n_columns)})
+    entry = [
+        f"struct({i} AS c, __r{i} AS r, {part(i)} AS s, if(__r{i} % 2 = 1, __x{i}, NULL) AS v)"
+        for i in range(n_columns)
+    ]
+    one = entry[0] if n_columns == 1 else f"explode(array({', '.join(entry)}))"
+    long = marked.select(*by, F.expr(one).alias("e")).where("e.r IS NOT NULL")
     return (
-        long.where(F.col("e.r").isNotNull())
-        .select(*by, "e.c", "e.r", "e.s", "e.v")
+        long.select(*by, "e.c", "e.r", "e.s", "e.v")
         .groupBy(*by, "c", "r", "s", "v")
         .agg(F.count(F.lit(1)).alias("f"))
     )
@@ -209,23 +199,19 @@ def _value_counts(
 def _exact_ranks(entries: DataFrame, by: Sequence[str], probs: Sequence[float], parts: int) -> DataFrame:
     """Adds ``n`` (values of the column in the group) and ``end`` (values up to here)."""
     group = [*by, "c"]
+    whole = W.partitionBy(*group)
     if parts == 1:
-        whole = W.partitionBy(*group)
         running = whole.orderBy("r", "v").rowsBetween(W.unboundedPreceding, W.currentRow)
         return entries.withColumns({"end": F.sum("f").over(running), "n": F.sum("f").over(whole)})
 
     # Counts per part first, then ranks only inside the parts that hold a wanted rank.
-    whole = W.partitionBy(*group)
     running = whole.orderBy("r", "s").rowsBetween(W.unboundedPreceding, W.currentRow)
     totals = (
         entries.groupBy(*group, "r", "s")
         .agg(F.sum("f").alias("g"))
         .withColumns({"upto": F.sum("g").over(running), "n": F.sum("g").over(whole)})
     )
-    holds = reduce(
-        lambda a, b: a | b,
-        [_at(rank, F.col("upto") - F.col("g"), F.col("upto")) for p in probs for rank in _ranks(p)],
-    )
+    holds = " OR ".join(_holds(rank, "upto - g", "upto") for p in probs for rank in _ranks(p))
     wanted = totals.where(holds).select(
         *[F.col(k).alias(f"__w_{k}") for k in [*group, "r", "s"]],
         (F.col("upto") - F.col("g")).alias("before"),
@@ -240,47 +226,43 @@ def _exact_ranks(entries: DataFrame, by: Sequence[str], probs: Sequence[float],
     )
 
 
-def _ranks(p: float) -> tuple[Column, Column]:
+def _ranks(p: float) -> tuple[str, str]:
     """Zero-based ranks of the two neighbours of quantile ``p`` among ``n`` values."""
-    low = F.floor((F.col("n") - 1) * F.lit(float(p)))
-    return low, F.least(low + 1, F.col("n") - 1)
+    return f"floor((n - 1) * {p!r}D)", f"least(floor((n - 1) * {p!r}D) + 1, n - 1)"
 
 
-def _at(rank: Column, start: Column, end: Column) -> Column:
-    return (start <= rank) & (rank < end)
+def _holds(rank: str, start: str, end: str) -> str:
+    return f"({start} <= {rank} AND {rank} < {end})"
 
 
 def _pick(
     ranked: DataFrame, by: Sequence[str], n_columns: int, probs: Sequence[float], aliases: list[str]
 ) -> DataFrame:
-    start = F.col("end") - F.col("f")
+    """The values at the wanted ranks, and the point between each two of them."""
     aggs, outs = [], []
     for i in range(n_columns):
-        mine = F.col("c") == i
-        aggs.append(F.max(F.when(mine, F.col("n"))).alias(f"n{i}"))
+        aggs.append(F.expr(f"max(if(c = {i}, n, NULL)) AS n{i}"))
         for j, p in enumerate(probs):
             for side, rank in zip(("lo", "hi"), _ranks(p), strict=True):
-                hit = mine & _at(rank, start, F.col("end"))
-                aggs.append(F.max(F.when(hit, F.col("v"))).alias(f"{side}{i}_{j}"))
-            low, high, n = F.col(f"lo{i}_{j}"), F.col(f"hi{i}_{j}"), F.col(f"n{i}")
-            place = (n - 1) * F.lit(float(p))
-            weight = place - F.floor(place)
-            missed = n.isNotNull() & (low.isNull() | high.isNull())
+                hit = f"c = {i} AND {_holds(rank, 'end - f', 'end')}"
+                aggs.append(F.expr(f"max(if({hit}, v, NULL)) AS {side}{i}_{j}"))
+            low, high, place = f"lo{i}_{j}", f"hi{i}_{j}", f"((n{i} - 1) * {p!r}D)"
             outs.append(
-                F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-                .when(low == high, low)
-                .otherwise((1 - weight) * low + weight * high)
+                f"CASE WHEN n{i} IS NOT NULL AND ({low} IS NULL OR {high} IS NULL) "
+                "THEN cast(raise_error('quantile bracket missed its rank') AS double) "
+                f"WHEN {low} = {high} THEN {low} "
+                f"ELSE (1 - ({place} - floor({place}))) * {low} + ({place} - floor({place})) * {high} END"
             )
     picked = ranked.groupBy(*by).agg(*aggs)
-    return picked.select(*by, *[o.alias(a) for o, a in zip(outs, aliases, strict=True)])
+    return picked.select(*by, *[F.expr(o).alias(a) for o, a in zip(outs, aliases, strict=True)])
 
 
 def quantiles_long(
     df: DataFrame, column: str, probs: Sequence[float], by: Sequence[str] = (), **options
 ) -> DataFrame:
     """``by``, ``p``, ``value``: one row per group and probability."""
-    probs = sorted(set(probs))
+    probs = sorted({float(p) for p in probs})
     place = {p: f"__q{j}" for j, p in enumerate(probs)}
     wide = quantile_summary(df, [column], probs, by, name=lambda _, p: place[p], **options)
-    pairs = [F.struct(F.lit(float(p)).alias("p"), F.col(q).alias("value")) for p, q in place.items()]
+    pairs = [F.struct(F.lit(p).alias("p"), F.col(q).alias("value")) for p, q in place.items()]
     return wide.select(*by, F.explode(F.array(*pairs)).alias("e")).select(*by, "e.p", "e.value")

@@ -39,15 +39,10 @@ def basket(
     trim: bool = True,
     drop_null_target: bool = False,
 ) -> DataFrame:
-    """One cleaned row per booking.
-
-    ``columns`` are selected before the shuffle that keeps one row per key: an
-    aggregate of whole rows carries every column it is given.
-    """
+    """One cleaned row per booking, with all columns or the asked ones."""
     rows = service_rows(typed(bookings, layout), layout, drop_null_target)
     wanted = list(columns) if columns is not None else rows.columns
-    carried = list(dict.fromkeys([layout.key, *wanted, *layout.order_by]))
-    out = dedupe_first(rows.select(*carried), layout.key, layout.order_by).select(*wanted)
+    out = dedupe_first(rows, layout.key, layout.order_by).select(*wanted)
     if trim:
         out = clean.clean_categories(out, [c for c in layout.categorical if c in wanted])
     return out

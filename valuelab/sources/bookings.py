@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COLUMNS = (
@@ -34,7 +34,7 @@ COLUMNS = (
     "ord_c",
 )
 
-# Which dimension table each column needs; the others come from the fact table.
+# Which dimension tables each column needs; the others come from the fact table.
 _NEEDS = {
     "service_type": {"orders"},
     "traffic_level": {"orders"},
@@ -45,64 +45,40 @@ _NEEDS = {
     "weather_condition": {"part"},
 }
 
-
-def _null_if(rule: Column, value: Column) -> Column:
-    return F.when(~rule, value)
-
-
-def _expressions() -> dict[str, Column]:
-    c = F.col
-    h = c("h")
-
-    def every(n: int) -> Column:
-        return h % n == 0
-
-    stamp = F.concat(
-        F.substring(c("l_shipdate").cast("string"), 1, 10),
-        F.lit(" "),
-        F.lpad((h % 24).cast("string"), 2, "0"),
-        F.lit(":"),
-        F.lpad((h % 60).cast("string"), 2, "0"),
-    )
-    discount = (F.round(c("l_discount") * 100).cast("int") * 1000).cast("string")
-    return {
-        "booking_id": F.concat(F.lit("B"), c("l_orderkey"), F.lit("-"), c("l_linenumber")),
-        "booking_datetime": _null_if(every(53), stamp),
-        "customer_segment": _null_if(every(61), c("c_mktsegment")),
-        "service_type": F.when(every(101), F.concat(c("o_orderpriority"), F.lit(" "))).otherwise(
-            c("o_orderpriority")
-        ),
-        "customer_age": _null_if(
-            every(23),
-            F.when(every(997), F.lit(-1.0)).otherwise((c("c_custkey") % 45 + 18).cast("double")),
-        ),
-        "city": c("n_name"),
-        "payment_method": _null_if(
-            every(29),
-            F.when(every(31), F.lit(""))
-            .when(every(37), F.concat(F.lit("  "), c("l_returnflag"), F.lit(" ")))
-            .otherwise(c("l_returnflag")),
-        ),
-        "booking_channel": c("l_linestatus"),
-        "distance_km": _null_if(
-            every(19), F.when(every(499), F.lit(0.0)).otherwise(c("l_quantity") / 4)
-        ),
-        "estimated_duration_min": _null_if(
-            every(67),
-            F.when(every(503), F.lit(0.0)).otherwise((c("l_suppkey") % 60 + 8).cast("double")),
-        ),
-        "promo_code_used": _null_if(every(41), c("p_type")),
-        "discount_amount": _null_if(
-            every(43), F.when(every(59), F.lit("n/a")).otherwise(discount)
-        ),
-        "traffic_level": _null_if(every(43), c("o_orderstatus")),
-        "weather_condition": _null_if(every(71), c("p_brand")),
-        "cancellation_reason": F.when(every(20), c("l_linestatus")),
-        "basket_value": c("l_extendedprice"),
-        "ord_a": c("l_partkey"),
-        "ord_b": c("l_suppkey"),
-        "ord_c": c("l_shipdate"),
-    }
+# One expression per column; ``h`` is the hash of the row's keys.
+_EXPRESSIONS = {
+    "booking_id": "concat('B', l_orderkey, '-', l_linenumber)",
+    "booking_datetime": """
+        if(h % 53 = 0, NULL, concat(
+            substring(cast(l_shipdate AS string), 1, 10), ' ',
+            lpad(cast(h % 24 AS string), 2, '0'), ':', lpad(cast(h % 60 AS string), 2, '0')))""",
+    "customer_segment": "if(h % 61 = 0, NULL, c_mktsegment)",
+    "service_type": "if(h % 101 = 0, concat(o_orderpriority, ' '), o_orderpriority)",
+    "customer_age": """
+        CASE WHEN h % 23 = 0 THEN NULL WHEN h % 997 = 0 THEN -1D
+             ELSE cast(18 + c_custkey % 45 AS double) END""",
+    "city": "n_name",
+    "payment_method": """
+        CASE WHEN h % 29 = 0 THEN NULL WHEN h % 31 = 0 THEN ''
+             WHEN h % 37 = 0 THEN concat('  ', l_returnflag, ' ') ELSE l_returnflag END""",
+    "booking_channel": "l_linestatus",
+    "distance_km": """
+        CASE WHEN h % 19 = 0 THEN NULL WHEN h % 499 = 0 THEN 0D ELSE l_quantity / 4 END""",
+    "estimated_duration_min": """
+        CASE WHEN h % 67 = 0 THEN NULL WHEN h % 503 = 0 THEN 0D
+             ELSE cast(8 + l_suppkey % 60 AS double) END""",
+    "promo_code_used": "if(h % 41 = 0, NULL, p_type)",
+    "discount_amount": """
+        CASE WHEN h % 43 = 0 THEN NULL WHEN h % 59 = 0 THEN 'n/a'
+             ELSE cast(cast(round(l_discount * 100) AS int) * 1000 AS string) END""",
+    "traffic_level": "if(h % 43 = 0, NULL, o_orderstatus)",
+    "weather_condition": "if(h % 71 = 0, NULL, p_brand)",
+    "cancellation_reason": "if(h % 20 = 0, l_linestatus, NULL)",
+    "basket_value": "l_extendedprice",
+    "ord_a": "l_partkey",
+    "ord_b": "l_suppkey",
+    "ord_c": "l_shipdate",
+}
 
 
 def bookings(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None) -> DataFrame:
@@ -119,9 +95,8 @@ def bookings(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = N
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    df = table("lineitem").withColumn(
-        "h", F.col("l_orderkey") * 31 + F.col("l_partkey") * 7 + F.col("l_linenumber")
-    )
+    hash_ = "l_orderkey * 31 + l_partkey * 7 + l_linenumber"
+    df = table("lineitem").withColumn("h", F.expr(hash_))
     if "orders" in needs:
         df = df.join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     if "customer" in needs:
@@ -130,5 +105,4 @@ def bookings(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = N
         df = df.join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     if "part" in needs:
         df = df.join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
-    made = _expressions()
-    return df.select(*[made[c].alias(c) for c in wanted])
+    return df.selectExpr(*[f"{_EXPRESSIONS[c]} AS {c}" for c in wanted])
