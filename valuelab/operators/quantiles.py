@@ -184,51 +184,52 @@ def _value_counts(
 
     marked = df.withColumns({f"__r{i}": F.expr(region(i)) for i in range(n_columns)})
     entry = [
-        f"struct({i} AS c, __r{i} AS r, {part(i)} AS s, if(__r{i} % 2 = 1, __x{i}, NULL) AS v)"
+        f"struct({i} AS __c, __r{i} AS __r, {part(i)} AS __s, if(__r{i} % 2 = 1, __x{i}, NULL) AS __v)"
         for i in range(n_columns)
     ]
     one = entry[0] if n_columns == 1 else f"explode(array({', '.join(entry)}))"
-    long = marked.select(*by, F.expr(one).alias("e")).where("e.r IS NOT NULL")
+    long = marked.select(*by, F.expr(one).alias("__e")).where("__e.__r IS NOT NULL")
     return (
-        long.select(*by, "e.c", "e.r", "e.s", "e.v")
-        .groupBy(*by, "c", "r", "s", "v")
-        .agg(F.count(F.lit(1)).alias("f"))
+        long.select(*by, "__e.*")
+        .groupBy(*by, "__c", "__r", "__s", "__v")
+        .agg(F.count(F.lit(1)).alias("__f"))
     )
 
 
 def _exact_ranks(entries: DataFrame, by: Sequence[str], probs: Sequence[float], parts: int) -> DataFrame:
-    """Adds ``n`` (values of the column in the group) and ``end`` (values up to here)."""
-    group = [*by, "c"]
+    """Adds ``__n`` (values of the column in the group) and ``__end`` (values up to here)."""
+    group = [*by, "__c"]
     whole = W.partitionBy(*group)
     if parts == 1:
-        running = whole.orderBy("r", "v").rowsBetween(W.unboundedPreceding, W.currentRow)
-        return entries.withColumns({"end": F.sum("f").over(running), "n": F.sum("f").over(whole)})
+        running = whole.orderBy("__r", "__v").rowsBetween(W.unboundedPreceding, W.currentRow)
+        return entries.withColumns({"__end": F.sum("__f").over(running), "__n": F.sum("__f").over(whole)})
 
     # Counts per part first, then ranks only inside the parts that hold a wanted rank.
-    running = whole.orderBy("r", "s").rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = whole.orderBy("__r", "__s").rowsBetween(W.unboundedPreceding, W.currentRow)
     totals = (
-        entries.groupBy(*group, "r", "s")
-        .agg(F.sum("f").alias("g"))
-        .withColumns({"upto": F.sum("g").over(running), "n": F.sum("g").over(whole)})
+        entries.groupBy(*group, "__r", "__s")
+        .agg(F.sum("__f").alias("__g"))
+        .withColumns({"__upto": F.sum("__g").over(running), "__n": F.sum("__g").over(whole)})
     )
-    holds = " OR ".join(_holds(rank, "upto - g", "upto") for p in probs for rank in _ranks(p))
+    holds = " OR ".join(_holds(rank, "__upto - __g", "__upto") for p in probs for rank in _ranks(p))
     wanted = totals.where(holds).select(
-        *[F.col(k).alias(f"__w_{k}") for k in [*group, "r", "s"]],
-        (F.col("upto") - F.col("g")).alias("before"),
-        "n",
+        *[F.col(k).alias(f"__w_{k}") for k in [*group, "__r", "__s"]],
+        (F.col("__upto") - F.col("__g")).alias("__before"),
+        "__n",
     )
-    keys = [(k, f"__w_{k}") for k in [*group, "r", "s"]]
-    inner = W.partitionBy(*group, "r", "s").orderBy("v").rowsBetween(
+    keys = [(k, f"__w_{k}") for k in [*group, "__r", "__s"]]
+    inner = W.partitionBy(*group, "__r", "__s").orderBy("__v").rowsBetween(
         W.unboundedPreceding, W.currentRow
     )
     return entries.join(wanted, same_keys(entries, wanted, keys)).withColumn(
-        "end", F.col("before") + F.sum("f").over(inner)
+        "__end", F.col("__before") + F.sum("__f").over(inner)
     )
 
 
 def _ranks(p: float) -> tuple[str, str]:
     """Zero-based ranks of the two neighbours of quantile ``p`` among ``n`` values."""
-    return f"floor((n - 1) * {p!r}D)", f"least(floor((n - 1) * {p!r}D) + 1, n - 1)"
+    low = f"floor((__n - 1) * {p!r}D)"
+    return low, f"least({low} + 1, __n - 1)"
 
 
 def _holds(rank: str, start: str, end: str) -> str:
@@ -241,14 +242,14 @@ def _pick(
     """The values at the wanted ranks, and the point between each two of them."""
     aggs, outs = [], []
     for i in range(n_columns):
-        aggs.append(F.expr(f"max(if(c = {i}, n, NULL)) AS n{i}"))
+        aggs.append(F.expr(f"max(if(__c = {i}, __n, NULL)) AS __n{i}"))
         for j, p in enumerate(probs):
             for side, rank in zip(("lo", "hi"), _ranks(p), strict=True):
-                hit = f"c = {i} AND {_holds(rank, 'end - f', 'end')}"
-                aggs.append(F.expr(f"max(if({hit}, v, NULL)) AS {side}{i}_{j}"))
-            low, high, place = f"lo{i}_{j}", f"hi{i}_{j}", f"((n{i} - 1) * {p!r}D)"
+                hit = f"__c = {i} AND {_holds(rank, '__end - __f', '__end')}"
+                aggs.append(F.expr(f"max(if({hit}, __v, NULL)) AS __{side}{i}_{j}"))
+            low, high, place = f"__lo{i}_{j}", f"__hi{i}_{j}", f"((__n{i} - 1) * {p!r}D)"
             outs.append(
-                f"CASE WHEN n{i} IS NOT NULL AND ({low} IS NULL OR {high} IS NULL) "
+                f"CASE WHEN __n{i} IS NOT NULL AND ({low} IS NULL OR {high} IS NULL) "
                 "THEN cast(raise_error('quantile bracket missed its rank') AS double) "
                 f"WHEN {low} = {high} THEN {low} "
                 f"ELSE (1 - ({place} - floor({place}))) * {low} + ({place} - floor({place})) * {high} END"
@@ -265,4 +266,4 @@ def quantiles_long(
     place = {p: f"__q{j}" for j, p in enumerate(probs)}
     wide = quantile_summary(df, [column], probs, by, name=lambda _, p: place[p], **options)
     pairs = [F.struct(F.lit(p).alias("p"), F.col(q).alias("value")) for p, q in place.items()]
-    return wide.select(*by, F.explode(F.array(*pairs)).alias("e")).select(*by, "e.p", "e.value")
+    return wide.select(*by, F.inline(F.array(*pairs)))
