@@ -71,20 +71,25 @@ def _filled(spark: SparkSession, sf: str) -> DataFrame:
     return plans.imputed(_sided(spark, sf))
 
 
+def _labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, float]:
+    """The imputed table with its high-value label, and the label's threshold."""
+    sided = _sided(spark, sf)
+    facts = plans.train_facts(sided)
+    rows = plans.imputed(sided, facts=facts)
+    return evaluate.label_high_value(rows, L.target, facts.threshold), facts.threshold
+
+
 def _scored(spark: SparkSession, sf: str) -> tuple[DataFrame, float]:
     """A fixed linear rule as the prediction, so that engines score alike."""
-    rows = _filled(spark, sf)
-    threshold = evaluate.high_value_threshold(rows.where(F.col("dataset") == TRAIN), L.target)
+    rows, threshold = _labelled(spark, sf)
     rule = F.lit(20000.0) + F.lit(5000.0) * F.col(L.clean_distance) + F.lit(100.0) * F.col(L.age)
-    return evaluate.label_high_value(rows.withColumn("pred", rule), L.target, threshold), threshold
+    return rows.withColumn("pred", rule), threshold
 
 
 def _modelling(spark: SparkSession, sf: str) -> DataFrame:
-    """The imputed table with its label, on rows where every predictor is present."""
-    rows = _filled(spark, sf)
-    threshold = evaluate.high_value_threshold(rows.where(F.col("dataset") == TRAIN), L.target)
-    labelled = evaluate.label_high_value(rows, L.target, threshold)
-    return sources.staged(labelled.dropna(subset=list(L.predictors)))
+    """Labelled rows on which every predictor is present."""
+    rows, _ = _labelled(spark, sf)
+    return rows.dropna(subset=list(L.predictors))
 
 
 def _fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, linear.Design, DataFrame]:
@@ -92,7 +97,7 @@ def _fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, linear.Design, Dat
     rows = _modelling(spark, sf)
     train = rows.where(F.col("dataset") == TRAIN)
     design = linear.fit_design(train, L.predictors)
-    encoded = design.apply(train)
+    encoded = sources.staged(design.apply(train).select(L.key, L.target, "features"))
     return linear.fit_line(encoded, L.target).transform(encoded), design, rows
 
 
@@ -316,9 +321,8 @@ def mlr_coefficients(spark: SparkSession, sf: str) -> DataFrame:
     rows = _modelling(spark, sf)
     train = rows.where(F.col("dataset") == TRAIN)
     design = linear.fit_design(train, L.predictors)
-    return linear.coefficients(
-        rows, linear.fit_line(design.apply(train), L.target), design.names
-    )
+    encoded = sources.staged(design.apply(train).select(L.target, "features"))
+    return linear.coefficients(rows, linear.fit_line(encoded, L.target), design.names)
 
 
 def regression_metrics(spark: SparkSession, sf: str) -> DataFrame:

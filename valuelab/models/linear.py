@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.split import TEST, TRAIN
+from ..sources import staged
 from .distributions import chi2_tail
 from .evaluate import regression_metrics
 
@@ -110,14 +111,15 @@ def nested_regressions(
 ) -> DataFrame:
     """Models on growing predictor groups: metrics on both sides and gains per step.
 
-    Predictors are encoded once; a step uses a slice of the encoded vector, and all
-    steps predict side by side, so one pass over the table yields every metric.
+    Predictors are encoded once, into a table that every fit reads; a step uses a
+    slice of the encoded vector.  All steps predict side by side, so one more pass
+    yields every metric.
     """
     everything = [p for g in groups for p in g]
     train = df.where(F.col(side) == TRAIN)
     design = fit_design(train, everything)
     places = design.positions()
-    encoded = design.apply(df)
+    encoded = staged(design.apply(df).select(target, side, "features"))
     used: list[int] = []
     scored, models = encoded, {}
     for step, group in enumerate(groups, start=1):

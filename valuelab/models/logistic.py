@@ -12,6 +12,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import staged
 from .linear import Design, fit_design
 
 
@@ -46,7 +47,11 @@ class LogitFit:
 
 
 def fit_logit(train: DataFrame, label: str, predictors: Sequence[str], max_iter: int = 25) -> LogitFit:
-    """Iteratively reweighted least squares; every iteration is one combining pass."""
+    """Iteratively reweighted least squares.
+
+    Every iteration is one combining pass over the encoded rows, which are written
+    once instead of being encoded in each pass.
+    """
     design = fit_design(train, predictors)
     model = GeneralizedLinearRegression(
         family="binomial",
@@ -55,7 +60,7 @@ def fit_logit(train: DataFrame, label: str, predictors: Sequence[str], max_iter:
         labelCol=label,
         predictionCol="probability",
         maxIter=max_iter,
-    ).fit(design.apply(train))
+    ).fit(staged(design.apply(train).select(label, "features")))
     return LogitFit(design, model, label)
 
 

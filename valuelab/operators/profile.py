@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import is_missing, trim_unicode
+from ..functions import is_missing, nan_to_null, trim_unicode
 from .reshape import melt_categories
 
 
@@ -20,25 +21,52 @@ def table_shape(df: DataFrame) -> DataFrame:
 def schema_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """``position``, ``column``, ``type``, ``n_null``, ``n_distinct`` (null counts as a value).
 
-    Exact distinct counts shuffle every distinct value of every column; with
-    ``exact=False`` a fixed-size sketch counts them in one pass without that.
+    Exact distinct counts shuffle each distinct value of each column once, as two
+    short columns.  With ``exact=False`` fixed-size sketches count in one pass
+    without that shuffle.
     """
     names = df.columns
-    count = F.count_distinct if exact else F.approx_count_distinct
-    nulls = [F.count_if(is_missing(df, c)) for c in names]
+    facts = [
+        F.struct(
+            F.lit(i).alias("position"),
+            F.lit(c).alias("column"),
+            F.lit(df.schema[c].dataType.simpleString()).alias("type"),
+        )
+        for i, c in enumerate(names, start=1)
+    ]
+
+    def clean(c: str):
+        kind = df.schema[c].dataType
+        # Adding zero makes -0.0 and 0.0 one value.
+        return nan_to_null(F.col(c)) + 0 if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(c)
+
+    if exact:
+        text = df.select(*[clean(c).cast("string").alias(str(i)) for i, c in enumerate(names, 1)])
+        long = text.unpivot([], text.columns, "__at", "__value")
+        per_value = long.groupBy("__at", "__value").agg(F.count(F.lit(1)).alias("__n"))
+        stats = per_value.groupBy(F.col("__at").cast("int").alias("__at")).agg(
+            F.coalesce(F.sum(F.when(F.col("__value").isNull(), F.col("__n"))), F.lit(0)).alias(
+                "n_null"
+            ),
+            F.count(F.lit(1)).alias("n_distinct"),
+        )
+        what = F.get(F.array(*facts), F.col("__at") - 1)
+        return stats.select(what.alias("f"), "n_null", "n_distinct").select(
+            "f.*", "n_null", "n_distinct"
+        )
     stats = df.agg(
-        *[n.alias(f"__n{i}") for i, n in enumerate(nulls)],
-        *[count(F.col(c)).alias(f"__d{i}") for i, c in enumerate(names)],
+        *[F.count_if(is_missing(df, c)).alias(f"__n{i}") for i, c in enumerate(names)],
+        *[F.approx_count_distinct(clean(c)).alias(f"__d{i}") for i, c in enumerate(names)],
     )
     rows = [
         F.struct(
-            F.lit(i + 1).alias("position"),
-            F.lit(c).alias("column"),
-            F.lit(df.schema[c].dataType.simpleString()).alias("type"),
+            f["position"].alias("position"),
+            f["column"].alias("column"),
+            f["type"].alias("type"),
             F.col(f"__n{i}").alias("n_null"),
             (F.col(f"__d{i}") + (F.col(f"__n{i}") > 0).cast("int")).alias("n_distinct"),
         )
-        for i, c in enumerate(names)
+        for i, f in enumerate(facts)
     ]
     return stats.select(F.inline(F.array(*rows)))
 

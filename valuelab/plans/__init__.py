@@ -1,13 +1,25 @@
 from .layout import Layout
-from .prepare import basket, enriched, imputed, model_table, service_rows, split_table, typed
+from .prepare import (
+    TrainFacts,
+    basket,
+    enriched,
+    imputed,
+    model_table,
+    service_rows,
+    split_table,
+    train_facts,
+    typed,
+)
 
 __all__ = [
     "Layout",
+    "TrainFacts",
     "basket",
     "enriched",
     "imputed",
     "model_table",
     "service_rows",
     "split_table",
+    "train_facts",
     "typed",
 ]

@@ -6,14 +6,17 @@ bookings -> typed -> service_rows -> basket -> enriched -> model_table -> split_
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import clean
 from ..operators.dedupe import dedupe_first
 from ..operators.impute import fill_medians, fill_unknown, restrict_levels, train_medians
 from ..operators.missing import flag_missing
-from ..operators.split import SplitRule, fit_split
+from ..operators.quantiles import quantile_summary
+from ..operators.split import TRAIN, SplitRule, fit_split
 from ..sources import coerce_numeric, staged
 from .layout import Layout
 
@@ -82,9 +85,38 @@ def split_table(
     return rule.apply(table), rule
 
 
-def imputed(split: DataFrame, layout: Layout = LAYOUT, levels: str = "union") -> DataFrame:
+@dataclass(frozen=True)
+class TrainFacts:
+    """What is learned from training rows: fill values and the high-value threshold."""
+
+    medians: dict[str, float | None]
+    threshold: float | None
+
+
+def train_facts(split: DataFrame, layout: Layout = LAYOUT, share: float = 0.8) -> TrainFacts:
+    """Medians and threshold together, so that the training rows are passed over once."""
+    columns = [*layout.impute_numeric, layout.target]
+    row = quantile_summary(
+        split.where(F.col("dataset") == TRAIN),
+        columns,
+        [0.5, share],
+        name=lambda c, p: f"median_{c}" if p == 0.5 else f"high_{c}",
+    ).first()
+    medians = {c: row[f"median_{c}"] for c in layout.impute_numeric}
+    return TrainFacts(medians, row[f"high_{layout.target}"])
+
+
+def imputed(
+    split: DataFrame,
+    layout: Layout = LAYOUT,
+    levels: str = "union",
+    facts: TrainFacts | None = None,
+) -> DataFrame:
     """Training medians and ``Unknown`` on both sides; ``levels='train'`` also blanks
     categories that no training row has."""
-    medians = train_medians(split, layout.impute_numeric).first().asDict()
+    if facts is None:
+        medians = train_medians(split, layout.impute_numeric).first().asDict()
+    else:
+        medians = facts.medians
     out = fill_unknown(fill_medians(split, medians), layout.impute_unknown)
     return restrict_levels(out, layout.impute_unknown) if levels == "train" else out
