@@ -59,7 +59,7 @@ def test_percent_text(spark):
 
 def test_labels_fall_back_to_the_name(spark):
     df = spark.createDataFrame([("city", 5.0), ("other", 1.25)], "variable string, percentage double")
-    got = dict(rows_of(missing.missing_labels(df)))
+    got = dict(rows_of(missing.missing_labels(df, {"city": "City"})))
     assert got == {"city": "City\n(5%)", "other": "other\n(1.2%)"}
 
 

@@ -22,7 +22,6 @@ from ..sources.bookings import COLUMNS as BOOKING_COLUMNS
 
 L = plans.Layout()
 EDA = [L.age, L.distance, L.duration, L.discount]
-LABELS = {L.age: "Customer age", L.clean_distance: "Distance (km)"}
 RAW = list(BOOKING_COLUMNS)
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,12 +108,8 @@ def export_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     folder = sources.work_folder(spark)
     table = sources.staged(_filled(spark, sf).select(*L.model, "dataset"))
     results = []
-    for name in ("Train", "Test", "Full"):
-        part = table if name == "Full" else table.where(F.col("dataset") == name)
-        part = part.drop("dataset")
-        for fmt, write in (("csv", sources.export_csv), ("parquet", sources.export_parquet)):
-            path = f"{folder}/{fmt}/{name.lower()}"
-            write(part, path)
+    for fmt in ("csv", "parquet"):
+        for name, (part, path) in plans.write_datasets(table, f"{folder}/{fmt}", fmt).items():
             back = sources.load_table(spark, path, part.schema, fmt)
             checked = sources.reconcile(part, back, L.target)
             results.append(checked.select(F.lit(name).alias("dataset"), F.lit(fmt).alias("format"), "*"))
@@ -139,7 +134,9 @@ def invalid_distance_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def missing_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return missing.missing_labels(missing.missing_profile(_basket(spark, sf, *L.analysis)))
+    return missing.missing_labels(
+        missing.missing_profile(_basket(spark, sf, *L.analysis)), L.display_names
+    )
 
 
 def missing_mean_diff(spark: SparkSession, sf: str) -> DataFrame:
@@ -231,7 +228,7 @@ def correlations(spark: SparkSession, sf: str) -> DataFrame:
 def impute_mean_compare(spark: SparkSession, sf: str) -> DataFrame:
     sided = _sided(spark, sf)
     return rounded(
-        impute.compare_means(sided, plans.imputed(sided), L.impute_numeric, LABELS)
+        impute.compare_means(sided, plans.imputed(sided), L.impute_numeric, L.imputed_names)
     )
 
 

@@ -9,6 +9,7 @@ from .columns import (
     implied_speed,
     is_missing,
     nan_to_null,
+    number,
     parse_minute,
     pearson,
     plausible_distance,
@@ -29,6 +30,7 @@ __all__ = [
     "implied_speed",
     "is_missing",
     "nan_to_null",
+    "number",
     "parse_minute",
     "pearson",
     "plausible_distance",

@@ -25,6 +25,11 @@ def nan_to_null(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def number(name: str) -> Column:
+    """A column of that name as a double, NaN as null."""
+    return nan_to_null(F.col(name).cast("double"))
+
+
 def to_number(x: Column) -> Column:
     """Numeric value of a column; anything unreadable is null.
 

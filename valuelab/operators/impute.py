@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import UNKNOWN, is_missing
+from ..functions import UNKNOWN, is_missing, number
 from .quantiles import collect_bounded, quantile_summary
 from .reshape import melt_categories
 from .split import TRAIN
@@ -66,7 +66,7 @@ def compare_means(
     """``variable``, ``mean_value``, ``stage``: means before and after filling."""
 
     def means(df: DataFrame, stage: str) -> DataFrame:
-        row = df.agg(*[F.avg(c).alias(c) for c in columns])
+        row = df.agg(*[F.avg(number(c)).alias(c) for c in columns])
         return row.unpivot([], list(columns), "variable", "mean_value").withColumn(
             "stage", F.lit(stage)
         )

@@ -9,30 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import is_missing
+from ..functions import is_missing, number
 from .quantiles import quantile_summary
 from .reshape import melt_categories
 
 COMPLETE = "Complete"
 INCOMPLETE = "Has Missing Data"
 
-# Display names of the variables in the missingness figure.
-DISPLAY_NAMES = {
-    "customer_segment": "Customer\nsegment",
-    "service_type": "Service\ntype",
-    "customer_age": "Customer\nage",
-    "city": "City",
-    "payment_method": "Payment\nmethod",
-    "booking_channel": "Booking\nchannel",
-    "distance_km": "Distance",
-    "estimated_duration_min": "Estimated\nduration",
-    "promo_code_used": "Promo\ncode",
-    "discount_amount": "Discount",
-    "traffic_level": "Traffic\nlevel",
-    "weather_condition": "Weather\ncondition",
-    "basket_value": "Basket\nvalue",
-}
-
 
 def missing_profile(
     df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()
@@ -87,8 +70,11 @@ def percent_text(x: Column) -> Column:
     return F.regexp_replace(F.bround(x, 1).cast("string"), r"\.0$", "")
 
 
-def missing_labels(profile: DataFrame, names: dict[str, str] = DISPLAY_NAMES) -> DataFrame:
-    """``variable``, ``label`` as "Name\\n(x.x%)" from a ``missing_profile`` result."""
+def missing_labels(profile: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``variable``, ``label`` as "Name\\n(x.x%)" from a ``missing_profile`` result.
+
+    A variable without a display name in ``names`` is shown by its own.
+    """
     lookup = F.create_map(*[F.lit(s) for pair in names.items() for s in pair])
     shown = F.coalesce(F.try_element_at(lookup, F.col("variable")), F.col("variable"))
     label = F.concat(shown, F.lit("\n("), percent_text(F.col("percentage")), F.lit("%)"))
@@ -115,8 +101,8 @@ def compare_groups(
     """Per group: n, percentage, mean and median of every column, sd of the target."""
     columns = [target, *others]
     extra = [("n", F.count(F.lit(1)))]
-    extra += [(f"mean_{c}", F.avg(c)) for c in columns]
-    extra += [(f"sd_{target}", F.stddev_samp(target))]
+    extra += [(f"mean_{c}", F.avg(number(c))) for c in columns]
+    extra += [(f"sd_{target}", F.stddev_samp(number(target)))]
     stats = quantile_summary(
         df, columns, [0.5], [group], extra, name=lambda c, p: f"median_{c}", **options
     )
@@ -132,8 +118,8 @@ def mean_difference(
 ) -> DataFrame:
     """One row: mean in ``a``, mean in ``b``, b - a, and that as a percentage of a."""
     means = df.agg(
-        F.avg(F.when(F.col(group) == a, F.col(target))).alias("mean_a"),
-        F.avg(F.when(F.col(group) == b, F.col(target))).alias("mean_b"),
+        F.avg(F.when(F.col(group) == a, number(target))).alias("mean_a"),
+        F.avg(F.when(F.col(group) == b, number(target))).alias("mean_b"),
     )
     gap = F.col("mean_b") - F.col("mean_a")
     return means.select(

@@ -8,19 +8,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import nan_to_null
+from ..functions import number
 from .quantiles import bounded_side, quantile_summary, same_keys
 
 BELOW = "Below 80th Percentile"
 ABOVE = "High-value (Top 20%)"
 
 
-def _number(column: str):
-    return nan_to_null(F.col(column).cast("double"))
-
-
 def _range(df: DataFrame, *columns: str) -> list[tuple[float, float] | None]:
-    row = df.agg(*[f(_number(c)) for c in columns for f in (F.min, F.max)]).first()
+    row = df.agg(*[f(number(c)) for c in columns for f in (F.min, F.max)]).first()
     pairs = [(row[2 * i], row[2 * i + 1]) for i in range(len(columns))]
     return [None if low is None else (low, high) for low, high in pairs]
 
@@ -36,8 +32,8 @@ def _bins(low: float, high: float, bins: int) -> tuple[float, int, int]:
     return width, first, last
 
 
-def _bin_number(column: str, width: float, first: int):
-    at = F.ceil((_number(column) - F.lit(width / 2)) / F.lit(width))
+def _bin_at(column: str, width: float, first: int):
+    at = F.ceil((number(column) - F.lit(width / 2)) / F.lit(width))
     return F.greatest(at, F.lit(first))
 
 
@@ -53,8 +49,8 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
         return spark.createDataFrame([], "bin bigint, centre double, n bigint")
     width, first, last = _bins(*ends, bins)
     counts = (
-        df.where(_number(column).isNotNull())
-        .groupBy(_bin_number(column, width, first).alias("bin"))
+        df.where(number(column).isNotNull())
+        .groupBy(_bin_at(column, width, first).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     every = spark.range(first, last + 1, numPartitions=1).withColumnRenamed("id", "bin")
@@ -82,7 +78,7 @@ def box_plot(df: DataFrame, value: str, by: Sequence[str] = (), k: float = 1.5,
     Whiskers end at the furthest values within ``k`` times the IQR.  The quartiles
     of all groups are a checked broadcast side of the counting pass.
     """
-    x = _number(value)
+    x = number(value)
     boxes = quantile_summary(
         df,
         [value],
@@ -129,21 +125,21 @@ def outliers(df: DataFrame, value: str, boxes: DataFrame, by: Sequence[str], k:
         else df.withColumns({q: F.lit(rows[0][q]) for q in ("q1", "q3")})
     )
     reach = (F.col("q3") - F.col("q1")) * k
-    x = _number(value)
+    x = number(value)
     beyond = (x < F.col("q1") - reach) | (x > F.col("q3") + reach)
     return joined.where(beyond).select(*df.columns)
 
 
 def density_2d(df: DataFrame, x: str, y: str, bins: int = 30) -> DataFrame:
     """``x_bin``, ``y_bin``, ``n``: a scatter plot as counts on a grid."""
-    both = df.where(_number(x).isNotNull() & _number(y).isNotNull()).select(x, y)
+    both = df.where(number(x).isNotNull() & number(y).isNotNull()).select(x, y)
     ends = _range(both, x, y)
     if None in ends:
         return df.sparkSession.createDataFrame([], "x_bin bigint, y_bin bigint, n bigint")
     cells = []
     for c, (low, high) in zip((x, y), ends, strict=True):
         width, first, _ = _bins(low, high, bins)
-        cells.append(_bin_number(c, width, first))
+        cells.append(_bin_at(c, width, first))
     return both.groupBy(cells[0].alias("x_bin"), cells[1].alias("y_bin")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -154,7 +150,7 @@ def line_fit(df: DataFrame, x: str, y: str) -> DataFrame:
 
     Sums about the means from one aggregate over complete pairs.
     """
-    a, b = _number(x), _number(y)
+    a, b = number(x), number(y)
     both = a.isNotNull() & b.isNotNull()
     xs, ys = F.when(both, a), F.when(both, b)
     s = df.agg(
@@ -186,7 +182,7 @@ def line_band(df: DataFrame, x: str, y: str, points: int = 80, level: float = 0.
     from ..models.distributions import t_quantile
 
     fit = line_fit(df, x, y).first()
-    both = df.where(_number(x).isNotNull() & _number(y).isNotNull())
+    both = df.where(number(x).isNotNull() & number(y).isNotNull())
     (ends,) = _range(both, x)
     if ends is None or fit["slope"] is None or fit["n"] < 3:
         return df.sparkSession.createDataFrame([], "x double, fit double, low double, high double")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import nan_to_null
+from ..functions import number
 from .quantiles import quantile_summary
 
 TRAIN = "Train"
@@ -32,7 +32,7 @@ def _row_hash(key: str, seed: int | str) -> Column:
 
 def _bin(target: str, edges: Sequence[float]) -> Column:
     """Bin from 1; bins are closed on the right, the lowest also on the left."""
-    y = nan_to_null(F.col(target).cast("double"))
+    y = number(target)
     above = [(y > F.lit(e)).cast("int") for e in edges]
     return F.when(y.isNotNull(), reduce(lambda a, b: a + b, above, F.lit(1)))
 
@@ -82,7 +82,7 @@ def fit_split(
     it is refined until its rows are few, and only those are ranked.
     """
     probs = [i / bins for i in range(1, bins)]
-    y = nan_to_null(F.col(target).cast("double"))
+    y = number(target)
     found = quantile_summary(
         df,
         [target],

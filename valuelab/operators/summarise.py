@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import nan_to_null, pearson, skewness_sample_sd
+from ..functions import number, pearson, skewness_sample_sd
 from .quantiles import quantile_summary
 from .reshape import melt_categories
 
@@ -16,12 +16,8 @@ EIGHT = ("n", "mean", "median", "sd", "min", "q1", "q3", "max")
 _QUANTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
-def _number(column: str) -> Column:
-    return nan_to_null(F.col(column).cast("double"))
-
-
 def _basic(column: str, stat: str, strict: bool) -> Column:
-    x = _number(column)
+    x = number(column)
     if stat == "n":
         return F.count(x)
     if stat == "n_rows":
@@ -67,7 +63,7 @@ def summarise_many(
     if not wanted:
         return df.groupBy(*by).agg(*[e.alias(a) for a, e in extra]).select(*by, *order)
     if strict_null:
-        extra += [(f"__whole_{c}", F.count(_number(c)) == F.count(F.lit(1))) for c in columns]
+        extra += [(f"__whole_{c}", F.count(number(c)) == F.count(F.lit(1))) for c in columns]
     out = quantile_summary(
         df, columns, list(wanted), by, extra, name=lambda c, p: name(c, wanted[p]), **options
     )
@@ -135,7 +131,7 @@ def value_by_category(
         [target],
         [0.5],
         ["variable", "category"],
-        [("n", F.count(F.lit(1))), ("mean", F.avg(_number(target)))],
+        [("n", F.count(F.lit(1))), ("mean", F.avg(number(target)))],
         name=lambda c, p: "median",
         **options,
     )
@@ -145,14 +141,14 @@ def value_by_category(
 def correlations(df: DataFrame, columns: dict[str, str], target: str) -> DataFrame:
     """One row: Pearson r of each column with the target, as ``alias`` -> column."""
     return df.agg(
-        *[pearson(_number(c), _number(target)).alias(alias) for alias, c in columns.items()]
+        *[pearson(number(c), number(target)).alias(alias) for alias, c in columns.items()]
     )
 
 
 def skewness(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Third moment over the cubed sample sd."""
     return df.groupBy(*by).agg(
-        F.count(_number(column)).alias("n"), skewness_sample_sd(_number(column)).alias("skewness")
+        F.count(number(column)).alias("n"), skewness_sample_sd(number(column)).alias("skewness")
     )
 
 
@@ -163,7 +159,7 @@ def iqr_fences(df: DataFrame, column: str, k: float = 1.5, **options) -> DataFra
     predicate holds constants only.
     """
     q = summarise(df, column, stats=("q1", "q3"), **options).first()
-    x = _number(column)
+    x = number(column)
     if q["q1"] is None:
         q1 = q3 = low = high = F.lit(None).cast("double")
     else:

@@ -5,10 +5,12 @@ from .prepare import (
     enriched,
     imputed,
     model_table,
+    prepare,
     service_rows,
     split_table,
     train_facts,
     typed,
+    write_datasets,
 )
 
 __all__ = [
@@ -18,8 +20,10 @@ __all__ = [
     "enriched",
     "imputed",
     "model_table",
+    "prepare",
     "service_rows",
     "split_table",
     "train_facts",
     "typed",
+    "write_datasets",
 ]

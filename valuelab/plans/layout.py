@@ -118,3 +118,27 @@ class Layout:
     @property
     def impute_unknown(self) -> tuple[str, ...]:
         return (self.payment, self.traffic, self.weather, self.promo)
+
+    @property
+    def display_names(self) -> dict[str, str]:
+        """Names of the variables in the missingness figure (fixed values)."""
+        return {
+            self.segment: "Customer\nsegment",
+            self.service: "Service\ntype",
+            self.age: "Customer\nage",
+            self.city: "City",
+            self.payment: "Payment\nmethod",
+            self.channel: "Booking\nchannel",
+            self.distance: "Distance",
+            self.duration: "Estimated\nduration",
+            self.promo: "Promo\ncode",
+            self.discount: "Discount",
+            self.traffic: "Traffic\nlevel",
+            self.weather: "Weather\ncondition",
+            self.target: "Basket\nvalue",
+        }
+
+    @property
+    def imputed_names(self) -> dict[str, str]:
+        """Names of the imputed numbers in the before / after comparison (fixed values)."""
+        return {self.age: "Customer age", self.clean_distance: "Distance (km)"}

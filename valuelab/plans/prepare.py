@@ -16,8 +16,8 @@ from ..operators.dedupe import dedupe_first
 from ..operators.impute import fill_medians, fill_unknown, restrict_levels, train_medians
 from ..operators.missing import flag_missing
 from ..operators.quantiles import quantile_summary
-from ..operators.split import TRAIN, SplitRule, fit_split
-from ..sources import coerce_numeric, staged
+from ..operators.split import TEST, TRAIN, SplitRule, fit_split
+from ..sources import coerce_numeric, export_csv, export_parquet, staged
 from .layout import Layout
 
 LAYOUT = Layout()
@@ -120,3 +120,32 @@ def imputed(
         medians = facts.medians
     out = fill_unknown(fill_medians(split, medians), layout.impute_unknown)
     return restrict_levels(out, layout.impute_unknown) if levels == "train" else out
+
+
+def write_datasets(
+    filled: DataFrame, folder: str, fmt: str = "csv", side: str = "dataset"
+) -> dict[str, tuple[DataFrame, str]]:
+    """Writes the training, test and full tables; returns each with its path.
+
+    ``filled`` should be a written table (``staged``): it is read three times.
+    """
+    write = {"csv": export_csv, "parquet": export_parquet}[fmt]
+    parts = {
+        "Train": filled.where(F.col(side) == TRAIN),
+        "Test": filled.where(F.col(side) == TEST),
+        "Full": filled,
+    }
+    out = {}
+    for name, part in parts.items():
+        path = f"{folder}/{name.lower()}_cleaned"
+        write(part.drop(side), path)
+        out[name] = (part.drop(side), path)
+    return out
+
+
+def prepare(bookings: DataFrame, folder: str, layout: Layout = LAYOUT, fmt: str = "csv") -> DataFrame:
+    """From raw bookings to written train, test and full tables; returns the full one."""
+    sided, _ = split_table(model_table(basket(bookings, layout), layout), layout)
+    filled = staged(imputed(sided, layout, facts=train_facts(sided, layout)))
+    write_datasets(filled, folder, fmt)
+    return filled
