@@ -27,10 +27,10 @@ def test_numeric_nan_becomes_null(spark):
 
 
 def test_clean_categories(spark):
-    text = [" a ", "\ta ", "   ", "", None, "None", "NA", "a b"]
+    text = [" a ", "\ta\u00a0\u3000", " \u2003 ", "", None, "None", "NA", "a\u00a0b"]
     df = spark.createDataFrame([(t,) for t in text], "x string").coalesce(1)
     got = values(clean.clean_categories(df, ["x"]), "x")
-    assert got == ["a", "a", None, None, None, "None", "NA", "a b"]
+    assert got == ["a", "a", None, None, None, "None", "NA", "a\u00a0b"]
 
 
 def test_times(spark):

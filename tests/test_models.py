@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from valuelab.models import distributions, evaluate, linear, logistic, tree
+from valuelab.functions import distributions
+from valuelab.models import evaluate, linear, logistic, tree
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +39,7 @@ def test_coefficients_and_diagnostics(spark, data):
     df, X, y, train = data
     rows = df.where("dataset = 'Train'")
     design = linear.fit_design(rows, PREDICTORS)
-    assert design.names == ["seg_c", "seg_b", "x", "z"]  # the first level is the reference
+    assert design.names == ["seg_c", "seg_b", "x", "z"]  # the first level has no column
     encoded = design.apply(rows)
     model = linear.fit_line(encoded, "y")
     b, e, s2, inv = ols(X[train], y[train])

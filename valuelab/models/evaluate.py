@@ -10,13 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.quantiles import MAX_WINDOW_ROWS
+from ..operators.quantiles import MAX_WINDOW_ROWS, quantile_summary
 
 
 def high_value_threshold(train: DataFrame, target: str, p: float = 0.8, **options) -> float:
     """Quantile ``p`` of the target over the given (training) rows."""
-    from ..operators.quantiles import quantile_summary
-
     return quantile_summary(train, [target], [p], name=lambda c, _: "t", **options).first()["t"]
 
 

@@ -17,9 +17,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.distributions import chi2_tail
 from ..operators.split import TEST, TRAIN
 from ..sources import staged
-from .distributions import chi2_tail
 from .evaluate import regression_metrics
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import number
+from ..functions.distributions import t_quantile
 from .quantiles import bounded_side, quantile_summary, same_keys
 
 BELOW = "Below 80th Percentile"
@@ -179,8 +180,6 @@ def line_fit(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def line_band(df: DataFrame, x: str, y: str, points: int = 80, level: float = 0.95) -> DataFrame:
     """``x``, ``fit``, ``low``, ``high``: the line and its confidence band on a grid."""
-    from ..models.distributions import t_quantile
-
     fit = line_fit(df, x, y).first()
     both = df.where(number(x).isNotNull() & number(y).isNotNull())
     (ends,) = _range(both, x)
