@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import simhash, suffixes
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,7 +18,16 @@ def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf, "documents"))
 
 
+def op4_suffix_array(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of each document that a document with a smaller id has in a passage of 50."""
+    cut = suffixes.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return cut.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_simhash": op3_simhash,
+        "op4_suffix_array": op4_suffix_array,
     }
