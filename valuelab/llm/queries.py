@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, simhash, suffixes
+from . import langid, packing, simhash, suffixes
 from .common import table
 
+#: Where the vocabulary files lie; None: where the package of public tokenizers says.
+TOKENIZERS: str | None = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_file(name: str) -> str:
+    if TOKENIZERS is not None:
+        return os.path.join(TOKENIZERS, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return simhash.simhash_groups(table(spark, sf, "documents"))
@@ -31,9 +43,18 @@ def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify(table(spark, sf, "documents"))
 
 
+def op7_best_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in sequences of 2,048 tokens."""
+    packed = packing.pack_documents(
+        table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0
+    )
+    return packed.drop("row")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_simhash": op3_simhash,
         "op4_suffix_array": op4_suffix_array,
         "op6_language_id": op6_language_id,
+        "op7_best_fit": op7_best_fit,
     }
