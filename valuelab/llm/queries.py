@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, simhash, suffixes
+from . import langid, mixing, packing, simhash, suffixes
 from .common import table
 
 #: Where the vocabulary files lie; None: where the package of public tokenizers says.
@@ -51,10 +51,26 @@ def op7_best_fit(spark: SparkSession, sf: str) -> DataFrame:
     return packed.drop("row")
 
 
+#: Token shares of the mix: sources alike, languages and topics as listed.
+MIX = mixing.Targets(
+    shares={
+        "lang": {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15},
+        "topic": {"general": 0.92, "legal": 0.03, "tables": 0.03, "contact": 0.02},
+    },
+    fraction=0.7,
+)
+
+
+def op10_proportional_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """Chance of every document under the raked weights, and whether it is kept."""
+    return mixing.mix(table(spark, sf, "documents"), MIX)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_simhash": op3_simhash,
         "op4_suffix_array": op4_suffix_array,
         "op6_language_id": op6_language_id,
         "op7_best_fit": op7_best_fit,
+        "op10_proportional_mix": op10_proportional_mix,
     }
