@@ -133,30 +133,39 @@ def document_frequencies(rows: DataFrame, settings: Settings) -> tuple[np.ndarra
 def _sample(rows: DataFrame, settings: Settings) -> list[tuple[bytes, str]]:
     """A bounded sample of labelled rows, the same number for each language where it has them.
 
-    Rows are taken in order of a seeded hash of their content, per language by a ranked filter
-    that Spark applies in each task, until the documented bounds.
+    Rows are taken in order of a seeded hash of their content until the documented bounds; a
+    text that occurs again is taken once.
     """
     each = settings.sample + settings.calibration
-    languages = [r[0] for r in rows.select("lang").distinct().orderBy("lang").limit(1001).collect()]
-    if len(languages) > 1000:
+    counts = rows.groupBy("lang").count().orderBy("lang").limit(1001).collect()
+    if len(counts) > 1000:
         raise ValueError("over 1,000 languages: set a coarser label")
+    if not counts:
+        return []
+    share = max(1, each // len(counts))
+    # A row is picked if its hash lies in its language's part of the range.  That part gives
+    # the share and a little more, so few rows reach the driver, whatever their number was.
+    part = {lang: min(1.0, (share + 4 * share**0.5 + 4) / n) for lang, n in counts}
+    listed = F.create_map(*[F.lit(x) for pair in part.items() for x in pair])
+    mark = F.xxhash64(F.lit(settings.seed), "text")
+    place = F.shiftrightunsigned(mark, 11).cast("double") / F.lit(2.0**53)
+    picked = (
+        rows.where((place < F.element_at(listed, F.col("lang"))) & (F.octet_length("text") <= 200_000))
+        .select(F.col("text").cast("binary").alias("text"), "lang", mark.alias("mark"))
+        .collect()
+    )
     out: list[tuple[bytes, str]] = []
-    for language in languages:
-        share = max(1, each // len(languages))
-        mark = F.xxhash64(F.lit(settings.seed), "text")
-        picked = (
-            rows.where(F.col("lang") == language)
-            .select(F.col("text").cast("binary").alias("text"), mark.alias("mark"), F.octet_length("text").alias("size"))
-            .where(F.col("size") <= 200_000)
-            .orderBy("mark", "text")
-            .limit(share)
-        )
-        left = settings.sample_bytes // len(languages)
-        for text, _, size in picked.collect():
-            left -= size
-            if left < 0:
+    for lang, _ in counts:
+        left, taken, before = settings.sample_bytes // len(counts), 0, None
+        for row in sorted((r for r in picked if r.lang == lang), key=lambda r: (r.mark, bytes(r.text))):
+            if row.text == before:  # copies share a hash and would crowd out the rest
+                continue
+            before = row.text
+            left -= len(row.text)
+            if left < 0 or taken == share:
                 break
-            out.append((bytes(text), language))
+            taken += 1
+            out.append((bytes(row.text), lang))
     return out
 
 
