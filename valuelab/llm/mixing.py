@@ -37,7 +37,7 @@ class Targets:
     fraction: float = 0.5
     seed: int = 11
     sweeps: int = 40
-    tolerance: float = 1e-5
+    tolerance: float = 1e-4
 
 
 def topic(text: str = "text", cues=TOPIC_CUES) -> Column:
@@ -86,7 +86,9 @@ def _goals(cells: DataFrame, dimension: str, targets: Targets) -> DataFrame:
     )
 
 
-def rake(cells: DataFrame, targets: Targets = Targets()) -> DataFrame:
+def rake(
+    cells: DataFrame, targets: Targets = Targets(), cells_per_task: int = 100_000
+) -> DataFrame:
     """``cells`` with ``weight``: the tokens to take from each cell.
 
     ``cells`` has a row for each source, language and topic that occur together, with its
@@ -108,7 +110,13 @@ def rake(cells: DataFrame, targets: Targets = Targets()) -> DataFrame:
             .withColumn(f"goal_{dimension}", F.col("goal") * F.col("all") * F.lit(targets.fraction))
             .drop("goal")
         )
-    now = staged(now)
+    # Few cells are one partition, which needs no exchange; more cells are dealt out as usual.
+    parts = cells.count() // cells_per_task + 1
+
+    def settle(df: DataFrame) -> DataFrame:
+        return staged(df.coalesce(parts)).coalesce(parts)
+
+    now = settle(now)
     names = [n for n in now.columns if n != "weight"]
     for _ in range(targets.sweeps):
         swept = now.withColumn("old", F.col("weight"))
@@ -116,10 +124,10 @@ def rake(cells: DataFrame, targets: Targets = Targets()) -> DataFrame:
             sums = swept.groupBy(dimension).agg(F.sum("weight").alias("sum"))
             scaled = F.col("weight") * F.col(f"goal_{dimension}") / F.col("sum")
             most = F.col("tokens").cast("double")
-            swept = swept.join(sums, dimension).select(
+            swept = swept.join(sums.hint("shuffle_hash"), dimension).select(
                 *names, "old", F.least(F.coalesce(scaled, F.lit(0.0)), most).alias("weight")
             )
-        swept = staged(swept)
+        swept = settle(swept)
         moved = swept.agg(F.max(F.abs(F.col("weight") - F.col("old")) / F.col("all"))).first()[0]
         now = swept.drop("old")
         if moved is None or moved <= targets.tolerance:
