@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import staged
+from .. import sources
 
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -24,6 +24,21 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back; its shuffle files go at once.
+
+    Without that, they stay on the executors' disks until the driver collects garbage.
+    """
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    conf = df.sparkSession.conf
+    before = conf.get(setting, "false")
+    conf.set(setting, "true")
+    try:
+        return sources.staged(df)
+    finally:
+        conf.set(setting, before)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column in one array, and the offsets of its rows (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -12,8 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import staged
-from .common import text_buffer
+from .common import staged, text_buffer
 from .tokens import ByteEncoder, kept
 
 

@@ -10,8 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import staged
-from .common import complete_runs, components, spanning_labels, tasks, text_buffer
+from .common import complete_runs, components, spanning_labels, staged, tasks, text_buffer
 
 #: Widths of the five segments of the ring, from the lowest bit up.
 SEGMENTS = (13, 13, 13, 13, 12)

@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import staged
-from .common import tasks, text_buffer
+from .common import staged, tasks, text_buffer
 
+#: Anchors whose surroundings are looked at together.
+STEP = 100_000
 #: Length of a passage, half of it, and the places a passage has for a half.
 LENGTH, HALF = 50, 25
 PLACES = LENGTH - HALF + 1
@@ -87,39 +88,30 @@ def _batch_anchors(ids: np.ndarray, data: np.ndarray, at: np.ndarray):
 
 
 def _first_round(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (rank, doc, pos, n) of all anchors.
+    """Rows (rank, doc, place) of all anchors; ``place`` is n * 2**32 + pos.
 
     A rank that several documents of the batch have is known to repeat: only its first and
-    last document are dealt by rank, with the number of anchors they speak for, and the others
+    last document are dealt by rank, with the number n of anchors they speak for, and the others
     (n = 0) go anywhere.  So a very frequent rank sends a few rows per batch to one task.
     """
     for batch in batches:
         data, at = text_buffer(batch.column(1))
         rank, _, pos, doc = _batch_anchors(batch.column(0).to_numpy(), data, at)
-        order = np.lexsort((doc, rank))
-        rank, pos, doc = rank[order], pos[order], doc[order]
-        n = np.ones(len(rank), np.int32)
+        n = np.ones(len(rank), np.int64)
         if len(rank):
-            start = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]])
+            order = np.lexsort((doc, rank))
+            by_rank, by_doc = rank[order], doc[order]
+            start = np.flatnonzero(np.r_[True, by_rank[1:] != by_rank[:-1]])
             stop = np.r_[start[1:], len(rank)]
-            wide = (stop - start > 2) & (doc[start] != doc[stop - 1])
-            spoken = np.repeat(wide, stop - start)
-            n[spoken] = 0
-            n[start[wide]] = (stop - start)[wide] - 1
-            n[stop[wide] - 1] = 1
-            route = rank.copy()
+            wide = (stop - start > 2) & (by_doc[start] != by_doc[stop - 1])
+            n[order[np.repeat(wide, stop - start)]] = 0
+            n[order[start[wide]]] = (stop - start)[wide] - 1
+            n[order[stop[wide] - 1]] = 1
             free = n == 0
-            route[free] = _pair(doc[free].astype(np.uint64), pos[free].astype(np.uint64))
-        else:
-            route = rank
+            rank[free] = _pair(doc[free].astype(np.uint64), pos[free].astype(np.uint64))
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(route.view(np.int64)),
-                pa.array(doc, pa.int64()),
-                pa.array(pos.astype(np.int32)),
-                pa.array(n),
-            ],
-            names=["rank", "doc", "pos", "n"],
+            [pa.array(rank.view(np.int64)), pa.array(doc, pa.int64()), pa.array(n << 32 | pos)],
+            names=["rank", "doc", "place"],
         )
 
 
@@ -131,9 +123,8 @@ def _repeated(hot: int):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        rank, doc, pos, n = (
-            np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(4)
-        )
+        rank, doc, place = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
+        n, pos = place >> 32, place & 0xFFFFFFFF
         free = n == 0
         out = [(doc[free], pos[free], np.zeros(free.sum(), np.int64))]
         rank, doc, pos, n = (x[~free] for x in (rank, doc, pos, n))
@@ -145,8 +136,8 @@ def _repeated(hot: int):
             many = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
             keep = np.repeat(many, size)
             out.append((doc[keep], pos[keep], np.zeros(keep.sum(), np.int64)))
-            big = start[many & (np.add.reduceat(n.astype(np.int64), start) > hot)]
-            out.append((doc[big], np.full(len(big), -1, np.int32), rank[big]))
+            big = start[many & (np.add.reduceat(n, start) > hot)]
+            out.append((doc[big], np.full(len(big), -1), rank[big]))
         for d, p, r in out:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(d), pa.array(p.astype(np.int32)), pa.array(r)], names=["doc", "pos", "rank"]
@@ -159,10 +150,10 @@ CONTEXT = "rank long, doc long, pos int, mask int, context binary"
 
 
 def _contexts(id_at: int, text_at: int, pos_at: int):
-    """Second round: what stands around each kept anchor, 25 bytes before it to 50 after it.
+    """Second round: the 25 bytes before and the 25 bytes after each kept anchor.
 
     One row per anchor: rank, doc, pos, ``mask`` (bit r: a passage may start r bytes before
-    the anchor) and the bytes.  If another document of the batch with a smaller id has the same
+    the anchor) and those 50 bytes; the 25 bytes between them are what the rank names.  If another document of the batch with a smaller id has the same
     bytes there, the row is settled at once: it goes out without bytes, its mask the places
     to remove.
     """
@@ -178,34 +169,33 @@ def _contexts(id_at: int, text_at: int, pos_at: int):
             fits = (pos + HALF <= size) & (size >= LENGTH)
             row, pos, size = row[fits], pos[fits], size[fits]
             padded = np.concatenate([np.zeros(HALF, np.uint8), data, np.zeros(LENGTH, np.uint8)])
-            for low in range(0, len(pos), 50_000):
+            for low in range(0, len(pos), STEP):
                 yield _context_rows(
-                    padded, at, ids, row[low : low + 50_000], pos[low : low + 50_000], size[low : low + 50_000]
+                    padded, at, ids, row[low : low + STEP], pos[low : low + STEP], size[low : low + STEP]
                 )
 
     return run
 
 
 def _context_rows(padded, at, ids, row, pos, size) -> pa.RecordBatch:
-    width = HALF + LENGTH
     begin = at[row] + pos
-    context = padded[begin[:, None] + np.arange(width)]
     # Bytes of other texts count as zero, so that equal contexts compare equal.
-    offset = np.arange(width) - HALF
+    offset = np.r_[np.arange(-HALF, 0), np.arange(HALF, LENGTH)]
+    context = padded[begin[:, None] + HALF + offset]
     context[(offset < -pos[:, None]) | (offset >= (size - pos)[:, None])] = 0
     doc = ids[row]
     r = np.arange(PLACES)
     valid = (r <= pos[:, None]) & (pos[:, None] - r + LENGTH <= size[:, None])
     mask = (valid * (1 << r)).sum(axis=1).astype(np.int64)
-    around = ranks(context)
-    name = around[:, HALF]
-    whole = _pair(_pair(around[:, 0], around[:, 2 * HALF]), _pair(name, mask.astype(np.uint64)))
+    name = ranks(padded[begin[:, None] + HALF + np.arange(HALF)])[:, 0]
+    before, after = ranks(context[:, :HALF])[:, 0], ranks(context[:, HALF:])[:, 0]
+    whole = _pair(_pair(before, after), _pair(name, mask.astype(np.uint64)))
     order = np.lexsort((doc, whole))
     same = np.r_[False, whole[order][1:] == whole[order][:-1]]
     group = np.cumsum(~same) - 1
     first = order[np.flatnonzero(~same)][group]
     settled = np.zeros(len(doc), bool)
-    settled[order] = (doc[order] > doc[first]) & (context[order] == context[first]).all(axis=1)
+    settled[order] = (doc[order] > doc[first]) & (context[order] == context[first]).all(axis=1) & (name[order] == name[first])
     settled &= mask > 0
     keep = mask > 0
     rank = name.view(np.int64).copy()
@@ -224,12 +214,12 @@ def _context_rows(padded, at, ids, row, pos, size) -> pa.RecordBatch:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     data, at = text_buffer(column)
-    return data.reshape(len(at) - 1, HALF + LENGTH)
+    return data.reshape(len(at) - 1, LENGTH)
 
 
 def _passages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Third round: rank pairs at offset 25 name the 50 bytes of a passage; the least document
-    with a name keeps it.  Gives (doc, pos, mask) of what is to be removed."""
+    """Third round: a passage is named by the pair of its anchor's rank and the rank of its other
+    25 bytes; the least document with a pair keeps it.  Gives (doc, pos, mask) of what goes."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
@@ -257,8 +247,8 @@ def _passages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             around = ranks(_matrix(part["context"].chunk(0).take(pa.array(open_))))
             for r in range(PLACES):
                 has = np.flatnonzero(m >> r & 1)
-                a, b = around[has, HALF - r], around[has, LENGTH - r]
-                name = _pair(_pair(a, b), k[has])
+                a, b = k[has], around[has, HALF - r]
+                name = _pair(a, b)
                 by = np.argsort(name, kind="stable")  # rows of a name stay in order of doc
                 new = np.r_[
                     True,
@@ -288,13 +278,13 @@ def _each_passage(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for low in range(0, batch.num_rows, 4096):
             part = batch.slice(low, 4096)
             done = np.asarray(part.column(4).is_null())
-            doc, pos, mask = (part.column(i).to_numpy() for i in (1, 2, 3))
+            rank, doc, pos, mask = (part.column(i).to_numpy() for i in range(4))
             rows = np.flatnonzero(~done)
             around = ranks(_matrix(part.column(4).take(pa.array(rows))))
             has, r = np.nonzero(mask[rows, None] >> np.arange(PLACES) & 1)
-            a, b = around[has, HALF - r], around[has, LENGTH - r]
+            a, b = rank[rows[has]], around[has, HALF - r]
             parts = [
-                (a.view(np.int64), b.view(np.int64), doc[rows[has]], pos[rows[has]], 1 << r),
+                (a, b.view(np.int64), doc[rows[has]], pos[rows[has]], 1 << r),
                 (np.zeros(done.sum(), np.int64), np.zeros(done.sum(), np.int64), doc[done], pos[done], -mask[done]),
             ]
             for x in parts:
@@ -382,7 +372,7 @@ REPORT_DDL = (
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 100_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 250_000
 ) -> DataFrame:
     """``docs`` with repeated passages cut out of the text, and a report beside them.
 
@@ -398,7 +388,7 @@ def remove_repeats(
     doubling needs no join.  Round one keeps only anchors (about one position in thirteen;
     every passage holds one) and lets Spark bring equal ranks together: positions whose rank
     no other document has are dropped.  Round two takes the bytes around the rest, round three
-    brings rank pairs at offset 25, so 50 bytes, together.  Ranks with over ``hot`` anchors go
+    brings pairs of the anchor's rank and its surroundings' rank, so 50 bytes, together.  Ranks with over ``hot`` anchors go
     through a combining aggregate instead of one task; both ways are exact.
     """
     spark = docs.sparkSession
@@ -408,7 +398,7 @@ def remove_repeats(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest")
     )
     named = plain.where("id is not null")
-    first = named.select("id", "text").mapInArrow(_first_round, "rank long, doc long, pos int, n int")
+    first = named.select("id", "text").mapInArrow(_first_round, "rank long, doc long, place long")
     kept = staged(
         first.repartition(tasks(spark), "rank").mapInArrow(
             _repeated(hot), "doc long, pos int, rank long"
@@ -425,7 +415,7 @@ def remove_repeats(
     has_frequent = not frequent.isEmpty()
     normal = around.join(frequent, "rank", "left_anti") if has_frequent else around
     route = F.expr("if(context is null, xxhash64(doc, pos), rank)")
-    marks = (
+    marks = staged(
         normal.repartition(tasks(spark), route).mapInArrow(_passages, "doc long, pos int, mask int")
     )
     if has_frequent:
