@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import licenses
+
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": licenses.oracle()}

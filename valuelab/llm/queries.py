@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, simhash, suffixes
+from . import capfilters, langid, licenses, mixing, packing, simhash, suffixes
 from .common import table
 
 #: Where the vocabulary files lie; None: where the package of public tokenizers says.
@@ -25,6 +25,16 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Licence sentences and licences of every document."""
+    return licenses.scan_licenses(table(spark, sf, "documents"))
+
+
+def op2_cap_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate classes of all vectors within their labels."""
+    return capfilters.link_vectors(table(spark, sf, "embeddings"))
+
+
 def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return simhash.simhash_groups(table(spark, sf, "documents"))
@@ -68,6 +78,8 @@ def op10_proportional_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_license_scan": op1_license_scan,
+        "op2_cap_filters": op2_cap_filters,
         "op3_simhash": op3_simhash,
         "op4_suffix_array": op4_suffix_array,
         "op6_language_id": op6_language_id,
