@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import licenses
+from . import licenses, quality
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle()}
+    return {"op1_license_scan": licenses.oracle(), "op5_quality_rules": quality.oracle()}

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import capfilters, langid, licenses, mixing, packing, simhash, suffixes
+from . import capfilters, langid, licenses, mixing, orcids, packing, quality, shuffling, simhash, suffixes
+from ..sources import work_folder
 from .common import table
 
 #: Where the vocabulary files lie; None: where the package of public tokenizers says.
@@ -48,6 +49,11 @@ def op4_suffix_array(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    return quality.judge(table(spark, sf, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
     """Language of every document, learned from the four fifths that are not held out."""
     return langid.identify(table(spark, sf, "documents"))
@@ -61,6 +67,18 @@ def op7_best_fit(spark: SparkSession, sf: str) -> DataFrame:
     return packed.drop("row")
 
 
+def op8_orc_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids of all documents, written to ORC files and read back."""
+    path = work_folder(spark)
+    orcids.write_ids(table(spark, sf, "documents"), path, tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return orcids.digest(orcids.read_ids(spark, path))
+
+
+def op9_external_shuffle(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in random order in 40 shards."""
+    return shuffling.shuffle_to_shards(table(spark, sf, "documents"), shards=40)
+
+
 #: Token shares of the mix: sources alike, languages and topics as listed.
 MIX = mixing.Targets(
     shares={
@@ -82,7 +100,10 @@ def queries() -> dict[str, Query]:
         "op2_cap_filters": op2_cap_filters,
         "op3_simhash": op3_simhash,
         "op4_suffix_array": op4_suffix_array,
+        "op5_quality_rules": op5_quality_rules,
         "op6_language_id": op6_language_id,
         "op7_best_fit": op7_best_fit,
+        "op8_orc_ids": op8_orc_ids,
+        "op9_external_shuffle": op9_external_shuffle,
         "op10_proportional_mix": op10_proportional_mix,
     }
