@@ -57,6 +57,19 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
+def small_batches(
+    batches: Iterable[pa.RecordBatch], text_at: int, most: int = 4 << 20
+) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most ``most`` bytes of text (or one row), to bound memory."""
+    for batch in batches:
+        _, at = text_buffer(batch.column(text_at))
+        low = 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(at, at[low] + most, "right")) - 1)
+            yield batch.slice(low, high - low)
+            low = high
+
+
 def complete_runs(
     batches: Iterable[pa.RecordBatch], key: str, least: int = 50_000
 ) -> Iterator[pa.Table]:

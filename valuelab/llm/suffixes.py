@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, tasks, text_buffer
+from .common import small_batches, staged, tasks, text_buffer
 
 #: Anchors whose surroundings are looked at together.
-STEP = 100_000
+STEP = 50_000
 #: Length of a passage, half of it, and the places a passage has for a half.
 LENGTH, HALF = 50, 25
 PLACES = LENGTH - HALF + 1
@@ -94,7 +94,7 @@ def _first_round(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last document are dealt by rank, with the number n of anchors they speak for, and the others
     (n = 0) go anywhere.  So a very frequent rank sends a few rows per batch to one task.
     """
-    for batch in batches:
+    for batch in small_batches(batches, 1):
         data, at = text_buffer(batch.column(1))
         rank, _, pos, doc = _batch_anchors(batch.column(0).to_numpy(), data, at)
         n = np.ones(len(rank), np.int64)
@@ -159,7 +159,7 @@ def _contexts(id_at: int, text_at: int, pos_at: int):
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, text_at):
             ids = batch.column(id_at).to_numpy()
             data, at = text_buffer(batch.column(text_at))
             lists = batch.column(pos_at)
@@ -302,8 +302,8 @@ def _hot_masks(contexts: DataFrame) -> DataFrame:
     """
     each = staged(contexts.mapInArrow(_each_passage, "a long, b long, doc long, pos int, bit int"))
     open_ = each.where("bit > 0")
-    least = open_.groupBy("a", "b").agg(F.min("doc").alias("least"))
-    found = open_.join(least, ["a", "b"]).where("doc > least").select("doc", "pos", "bit")
+    least = open_.groupBy("a", "b", "bit").agg(F.min("doc").alias("least"))
+    found = open_.join(least, ["a", "b", "bit"]).where("doc > least").select("doc", "pos", "bit")
     settled = each.where("bit < 0").select("doc", "pos", (-F.col("bit")).alias("bit"))
     return found.unionByName(settled).groupBy("doc", "pos").agg(F.bit_or("bit").alias("mask"))
 
@@ -313,7 +313,7 @@ def _cut(names: list[str], text_at: int, marks_at: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.arange(PLACES)
-        for batch in batches:
+        for batch in small_batches(batches, text_at):
             data, at = text_buffer(batch.column(text_at))
             whole, at = data.tobytes(), at.tolist()
             texts: list[str | None] = []
