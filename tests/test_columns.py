@@ -102,7 +102,7 @@ def test_distance_needs_a_known_speed_within_the_limit(spark):
     effect = clean.cleaning_effect(
         clean.clean_distance(clean.flag_speed(df, "d", "t"), "d", "t"), "d"
     ).first()
-    assert tuple(effect) == (1, 4, 1)
+    assert tuple(effect) == (1, 4, 3, 1)
 
 
 def test_keep_categories_judges_raw_text(spark):

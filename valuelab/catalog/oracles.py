@@ -354,12 +354,12 @@ def oracles() -> dict[str, str]:
         """
 SELECT dataset, 'csv' AS format, count(*) AS rows_source, count(*) AS rows_written,
   round(sum(basket_value), 2) AS total_source, round(sum(basket_value), 2) AS total_written,
-  true AS same_columns, true AS complete
+  true AS same_columns, true AS same_content, true AS complete
 FROM (SELECT dataset, basket_value FROM filled UNION ALL SELECT 'Full', basket_value FROM filled)
 GROUP BY dataset
 UNION ALL
 SELECT dataset, 'parquet', count(*), count(*), round(sum(basket_value), 2),
-  round(sum(basket_value), 2), true, true
+  round(sum(basket_value), 2), true, true, true
 FROM (SELECT dataset, basket_value FROM filled UNION ALL SELECT 'Full', basket_value FROM filled)
 GROUP BY dataset""",
     )
@@ -568,6 +568,7 @@ GROUP BY dataset""",
         "rich",
         "SELECT count(*) - count(distance_km) AS missing_before, "
         "count(*) - count(distance_km_clean) AS missing_after, "
+        "count(*) FILTER (distance_km_clean IS NULL AND distance_km IS NOT NULL) AS newly_missing, "
         "count(*) FILTER (distance_invalid) AS flagged FROM rich",
     )
     factor = [*CATEGORICAL, "time_period", "is_weekend"]

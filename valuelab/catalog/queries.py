@@ -110,8 +110,9 @@ def export_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     results = []
     for fmt in ("csv", "parquet"):
         for name, (part, path) in plans.write_datasets(table, f"{folder}/{fmt}", fmt).items():
-            back = sources.load_table(spark, path, part.schema, fmt)
-            checked = sources.reconcile(part, back, L.target)
+            # Parquet says what it holds; a CSV's header is compared with the schema it is read by.
+            back = sources.load_table(spark, path, part.schema if fmt == "csv" else None, fmt)
+            checked = sources.reconcile(part, back, L.target, sources.columns_of(spark, path, fmt))
             results.append(checked.select(F.lit(name).alias("dataset"), F.lit(fmt).alias("format"), "*"))
     out = results[0]
     for more in results[1:]:
@@ -350,11 +351,19 @@ def cooks_distance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tree_segments(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _modelling(spark, sf)
-    fit = tree.fit_tree(rows.where(F.col("dataset") == TRAIN), L.target, L.predictors)
+    """Leaves of the tree fitted on complete rows; rows that reach no leaf have a line of their own."""
+    rows, _ = _labelled(spark, sf)
+    train = rows.where(F.col("dataset") == TRAIN).dropna(subset=list(L.predictors))
+    fit = tree.fit_tree(train, L.target, L.predictors)
     return tree.tree_segments(fit, rows, L.target)
 
 
+def tree_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of the variance reduction that each predictor brings."""
+    rows = _modelling(spark, sf)
+    return tree.fit_tree(rows.where(F.col("dataset") == TRAIN), L.target, L.predictors).importance(rows)
+
+
 def model_compare(spark: SparkSession, sf: str) -> DataFrame:
     """Best linear step against the tree, on test rows."""
     rows = _modelling(spark, sf)
@@ -375,8 +384,9 @@ def model_compare(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _logit(spark: SparkSession, sf: str) -> tuple[logistic.LogitFit, DataFrame]:
-    rows = _modelling(spark, sf)
-    train = rows.where(F.col("dataset") == TRAIN)
+    """The model fitted on complete training rows, and all labelled rows."""
+    rows, _ = _labelled(spark, sf)
+    train = rows.where(F.col("dataset") == TRAIN).dropna(subset=list(L.predictors))
     return logistic.fit_logit(train, "high_value", L.predictors), rows
 
 
@@ -397,12 +407,20 @@ def logit_ranking(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def logit_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Confusion counts, ratios and AUC of the logistic model on test rows."""
+    """Confusion counts, ratios and AUC of the logistic model on test rows, scored once."""
     fit, rows = _logit(spark, sf)
-    scored = fit.score(rows.where(F.col("dataset") != TRAIN))
+    test = fit.score(rows.where(F.col("dataset") != TRAIN))
+    scored = sources.staged(test.select(L.key, "high_value", "probability"))
     auc = evaluate.roc_auc(scored, "high_value", "probability").first()["auc"]
     out = evaluate.classification_metrics(scored, "high_value", "probability")
-    return out.withColumn("auc", F.lit(auc).cast("double"))
+    counts = scored.agg(F.count("probability"), F.count(F.lit(1))).first()
+    return out.withColumns(
+        {
+            "auc": F.lit(auc).cast("double"),
+            "n_scored": F.lit(counts[0]).cast("bigint"),
+            "n_unscored": F.lit(counts[1] - counts[0]).cast("bigint"),
+        }
+    )
 
 
 def score_ranking(spark: SparkSession, sf: str) -> DataFrame:
@@ -630,6 +648,7 @@ def queries() -> dict[str, Query]:
         "vif": vif,
         "cooks_distance": cooks_distance,
         "tree_segments": tree_segments,
+        "tree_importance": tree_importance,
         "model_compare": model_compare,
         "logit_fit": logit_fit,
         "odds_ratios": odds_ratios,

@@ -9,6 +9,7 @@ from .columns import (
     implied_speed,
     is_missing,
     nan_to_null,
+    finite,
     number,
     parse_minute,
     pearson,
@@ -30,6 +31,7 @@ __all__ = [
     "implied_speed",
     "is_missing",
     "nan_to_null",
+    "finite",
     "number",
     "parse_minute",
     "pearson",

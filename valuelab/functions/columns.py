@@ -30,6 +30,12 @@ def number(name: str) -> Column:
     return nan_to_null(F.col(name).cast("double"))
 
 
+def finite(name: str) -> Column:
+    """A column of that name as a double; what is no finite number is null."""
+    x = number(name)
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
+
+
 def to_number(x: Column) -> Column:
     """Numeric value of a column; anything unreadable is null.
 

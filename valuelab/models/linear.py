@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, Ve
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.ml.stat import Correlation, Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +23,10 @@ from ..sources import staged
 from .evaluate import regression_metrics
 
 
+#: Levels of one predictor; each becomes a column of a dense matrix on the driver.
+MAX_LEVELS = 2000
+
+
 @dataclass(frozen=True)
 class Design:
     """Encoded predictors: dummies against the alphabetically first level, numbers as they are."""
@@ -40,6 +44,26 @@ class Design:
         helpers = [c for p in self.terms for c in (f"__i_{p}", f"__d_{p}")]
         return self.encoder.transform(df).drop(*helpers)
 
+    def scorable(self) -> Column:
+        """Whether a row has every predictor, and no category that the training rows lack."""
+        known = self.encoder.stages[0].labelsArray if len(self.encoder.stages) > 1 else []
+        text = self.encoder.stages[0].getInputCols() if len(self.encoder.stages) > 1 else []
+        out = F.lit(True)
+        for p in self.terms:
+            out = out & F.col(p).isNotNull() & (F.lit(True) if p in text else ~F.isnan(F.col(p).cast("double")))
+        for p, levels in zip(text, known, strict=True):
+            out = out & F.array_contains(F.lit(list(levels)), F.col(p))
+        return F.coalesce(out, F.lit(False))
+
+    def score_all(self, df: DataFrame, predict: Callable, results: Sequence[str]) -> DataFrame:
+        """``df`` with ``results`` of ``predict``: rows that cannot be scored stay, with nulls."""
+        scored = predict(self.apply(df.where(self.scorable()))).select(*df.columns, *results)
+        kinds = {f.name: f.dataType for f in scored.schema}
+        others = df.where(~self.scorable()).select(
+            "*", *[F.lit(None).cast(kinds[r]).alias(r) for r in results]
+        )
+        return scored.unionByName(others)
+
     def positions(self) -> dict[str, list[int]]:
         """Places of each predictor in the encoded vector."""
         places, at = {}, 0
@@ -71,6 +95,9 @@ def fit_design(train: DataFrame, predictors: Sequence[str]) -> Design:
         handleInvalid="skip",
     )
     encoder = Pipeline(stages=[indexer, dummies, vector] if text else [vector]).fit(train)
+    for p, found in zip(text, encoder.stages[0].labelsArray if text else []):
+        if len(found) > MAX_LEVELS:
+            raise ValueError(f"{p} has over {MAX_LEVELS} levels: group them first")
     labels = dict(zip(text, encoder.stages[0].labelsArray, strict=True)) if text else {}
     terms = {
         p: [f"{p}_{level}" for level in labels[p][:-1]] if p in labels else [p] for p in predictors

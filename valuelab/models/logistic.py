@@ -21,16 +21,18 @@ class LogitFit:
     design: Design
     model: GeneralizedLinearRegressionModel
     label: str
+    #: False if the iterations ended before the estimates settled (as on separated data)
+    converged: bool = True
 
     def score(self, df: DataFrame) -> DataFrame:
-        """Adds ``probability`` of the label being 1."""
-        return self.model.transform(self.design.apply(df))
+        """Adds ``probability`` of the label being 1; null where a predictor is missing or new."""
+        return self.design.score_all(df, self.model.transform, ["probability"])
 
     def coefficients(self, df: DataFrame) -> DataFrame:
-        """``term``, estimate, std_error, z_value, p_value; the intercept first."""
+        """``term``, estimate, std_error, z_value, p_value, converged; the intercept first."""
         s = self.model.summary
         rows = [
-            (term, float(b), float(se), float(z), float(p))
+            (term, float(b), float(se), float(z), float(p), self.converged)
             for term, b, se, z, p in zip(
                 [*self.design.names, "(Intercept)"],
                 [*self.model.coefficients, self.model.intercept],
@@ -42,7 +44,7 @@ class LogitFit:
         ]
         return df.sparkSession.createDataFrame(
             rows[-1:] + rows[:-1],
-            "term string, estimate double, std_error double, z_value double, p_value double",
+            "term string, estimate double, std_error double, z_value double, p_value double, converged boolean",
         )
 
 
@@ -61,7 +63,7 @@ def fit_logit(train: DataFrame, label: str, predictors: Sequence[str], max_iter:
         predictionCol="probability",
         maxIter=max_iter,
     ).fit(staged(design.apply(train).select(label, "features")))
-    return LogitFit(design, model, label)
+    return LogitFit(design, model, label, model.summary.numIterations < max_iter)
 
 
 def odds_ratios(coefficients: DataFrame, z: float = 1.959963984540054) -> DataFrame:

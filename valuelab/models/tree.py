@@ -24,9 +24,26 @@ class TreeFit:
     levels: dict[str, list[str]]
 
     def score(self, df: DataFrame, prediction: str = "prediction") -> DataFrame:
+        """Adds ``prediction`` and ``leaf``; null for rows that lack a number."""
         tree = self.tree.copy()
         tree.setPredictionCol(prediction)
-        return tree.transform(self.encoder.transform(df))
+        whole = F.lit(True)
+        for p in self.predictors:
+            if p not in self.levels:
+                whole = whole & F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double"))
+            else:
+                whole = whole & F.col(p).isNotNull()
+        whole = F.coalesce(whole, F.lit(False))
+        scored = tree.transform(self.encoder.transform(df.where(whole)))
+        scored = scored.select(*df.columns, prediction, "leaf")
+        nothing = [F.lit(None).cast("double").alias(c) for c in (prediction, "leaf")]
+        return scored.unionByName(df.where(~whole).select("*", *nothing))
+
+    def importance(self, df: DataFrame) -> DataFrame:
+        """``predictor``, ``importance`` (shares that add up to one), the largest first."""
+        values = self.tree.featureImportances.toArray().tolist()
+        rows = sorted(zip(self.predictors, values), key=lambda r: (-r[1], r[0]))
+        return df.sparkSession.createDataFrame(rows, "predictor string, importance double")
 
     def rules(self) -> list[str]:
         """One readable rule per leaf, in leaf order (left to right)."""

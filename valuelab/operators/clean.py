@@ -90,9 +90,11 @@ def invalid_distance_rows(flagged: DataFrame, columns: Sequence[str]) -> DataFra
 def cleaning_effect(
     flagged: DataFrame, distance: str, cleaned: str = "distance_km_clean"
 ) -> DataFrame:
-    """One row: missing before and after cleaning, and rows flagged as too fast."""
+    """One row: missing before and after cleaning, missing only since cleaning (which an unknown
+    speed causes too), and rows flagged as too fast."""
     return flagged.agg(
         F.count_if(is_missing(flagged, distance)).alias("missing_before"),
         F.count_if(is_missing(flagged, cleaned)).alias("missing_after"),
+        F.count_if(is_missing(flagged, cleaned) & ~is_missing(flagged, distance)).alias("newly_missing"),
         F.count_if(F.col("distance_invalid")).alias("flagged"),
     )

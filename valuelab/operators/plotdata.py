@@ -1,4 +1,7 @@
-"""The numbers behind the figures: every result has a size that does not grow with rows."""
+"""The numbers behind the figures: every result has a size that does not grow with rows.
+
+Values that are no finite numbers are in no bin.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import number
+from ..functions import finite
 from ..functions.distributions import t_quantile
 from .quantiles import bounded_side, quantile_summary, same_keys
 
@@ -17,7 +20,7 @@ ABOVE = "High-value (Top 20%)"
 
 
 def _range(df: DataFrame, *columns: str) -> list[tuple[float, float] | None]:
-    row = df.agg(*[f(number(c)) for c in columns for f in (F.min, F.max)]).first()
+    row = df.agg(*[f(finite(c)) for c in columns for f in (F.min, F.max)]).first()
     pairs = [(row[2 * i], row[2 * i + 1]) for i in range(len(columns))]
     return [None if low is None else (low, high) for low, high in pairs]
 
@@ -34,7 +37,7 @@ def _bins(low: float, high: float, bins: int) -> tuple[float, int, int]:
 
 
 def _bin_at(column: str, width: float, first: int):
-    at = F.ceil((number(column) - F.lit(width / 2)) / F.lit(width))
+    at = F.ceil((finite(column) - F.lit(width / 2)) / F.lit(width))
     return F.greatest(at, F.lit(first))
 
 
@@ -50,7 +53,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
         return spark.createDataFrame([], "bin bigint, centre double, n bigint")
     width, first, last = _bins(*ends, bins)
     counts = (
-        df.where(number(column).isNotNull())
+        df.where(finite(column).isNotNull())
         .groupBy(_bin_at(column, width, first).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -79,7 +82,7 @@ def box_plot(df: DataFrame, value: str, by: Sequence[str] = (), k: float = 1.5,
     Whiskers end at the furthest values within ``k`` times the IQR.  The quartiles
     of all groups are a checked broadcast side of the counting pass.
     """
-    x = number(value)
+    x = finite(value)
     boxes = quantile_summary(
         df,
         [value],
@@ -126,14 +129,14 @@ def outliers(df: DataFrame, value: str, boxes: DataFrame, by: Sequence[str], k:
         else df.withColumns({q: F.lit(rows[0][q]) for q in ("q1", "q3")})
     )
     reach = (F.col("q3") - F.col("q1")) * k
-    x = number(value)
+    x = finite(value)
     beyond = (x < F.col("q1") - reach) | (x > F.col("q3") + reach)
     return joined.where(beyond).select(*df.columns)
 
 
 def density_2d(df: DataFrame, x: str, y: str, bins: int = 30) -> DataFrame:
     """``x_bin``, ``y_bin``, ``n``: a scatter plot as counts on a grid."""
-    both = df.where(number(x).isNotNull() & number(y).isNotNull()).select(x, y)
+    both = df.where(finite(x).isNotNull() & finite(y).isNotNull()).select(x, y)
     ends = _range(both, x, y)
     if None in ends:
         return df.sparkSession.createDataFrame([], "x_bin bigint, y_bin bigint, n bigint")
@@ -151,7 +154,7 @@ def line_fit(df: DataFrame, x: str, y: str) -> DataFrame:
 
     Sums about the means from one aggregate over complete pairs.
     """
-    a, b = number(x), number(y)
+    a, b = finite(x), finite(y)
     both = a.isNotNull() & b.isNotNull()
     xs, ys = F.when(both, a), F.when(both, b)
     s = df.agg(
@@ -181,7 +184,7 @@ def line_fit(df: DataFrame, x: str, y: str) -> DataFrame:
 def line_band(df: DataFrame, x: str, y: str, points: int = 80, level: float = 0.95) -> DataFrame:
     """``x``, ``fit``, ``low``, ``high``: the line and its confidence band on a grid."""
     fit = line_fit(df, x, y).first()
-    both = df.where(number(x).isNotNull() & number(y).isNotNull())
+    both = df.where(finite(x).isNotNull() & finite(y).isNotNull())
     (ends,) = _range(both, x)
     if ends is None or fit["slope"] is None or fit["n"] < 3:
         return df.sparkSession.createDataFrame([], "x double, fit double, low double, high double")

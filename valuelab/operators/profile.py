@@ -122,8 +122,8 @@ def padded_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def empty_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``variable``, ``n``: how many values are the empty string (0 where none are)."""
-    counts = df.agg(*[F.count_if(F.col(c) == "").alias(c) for c in columns])
+    """``variable``, ``n``: how many values are empty once trimmed (0 where none are)."""
+    counts = df.agg(*[F.count_if(trim_unicode(F.col(c)) == "").alias(c) for c in columns])
     return counts.unpivot([], list(columns), "variable", "n")
 
 

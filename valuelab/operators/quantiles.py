@@ -49,7 +49,7 @@ def bounded_side(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> tuple[DataFr
 
 
 def default_name(column: str, p: float) -> str:
-    return f"{column}_p{round(p * 100)}"
+    return f"{column}_p{p * 100:.10g}".replace(".", "_")
 
 
 def quantile_summary(

@@ -26,8 +26,13 @@ _STEP = 4  # hex digits per refinement: 65,536 buckets per bin
 _DIGITS = 32
 
 
+def _key_text(key: str) -> Column:
+    """The key as text; a null key is one key value."""
+    return F.coalesce(F.col(key).cast("string"), F.lit("(null)"))
+
+
 def _row_hash(key: str, seed: int | str) -> Column:
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    return F.md5(F.concat(_key_text(key), F.lit(f":{seed}")))
 
 
 def _bin(target: str, edges: Sequence[float]) -> Column:
@@ -54,7 +59,7 @@ class SplitRule:
 
     def side(self) -> Column:
         """Train / Test; null where the target is missing."""
-        h, key, bin_ = _row_hash(self.key, self.seed), F.col(self.key).cast("string"), self.bin()
+        h, key, bin_ = _row_hash(self.key, self.seed), _key_text(self.key), self.bin()
         train = F.lit(False)
         for b, (cut, last) in self.cutoffs.items():
             inside = (h < F.lit(cut)) | ((h == F.lit(cut)) & (key <= F.lit(last)))
@@ -62,8 +67,8 @@ class SplitRule:
         return F.when(bin_.isNotNull(), F.when(train, F.lit(TRAIN)).otherwise(F.lit(TEST)))
 
     def apply(self, df: DataFrame, name: str = "dataset") -> DataFrame:
-        """``df`` with the side of every row that has a target."""
-        return df.withColumn(name, self.side()).where(F.col(name).isNotNull())
+        """``df`` with the side of every row; rows without a target stay, their side is null."""
+        return df.withColumn(name, self.side())
 
 
 def fit_split(
@@ -97,7 +102,7 @@ def fit_split(
     hashed = df.select(
         _bin(target, edges).alias("b"),
         _row_hash(key, seed).alias("h"),
-        F.col(key).cast("string").alias("k"),
+        _key_text(key).alias("k"),
     ).where(F.col("b").isNotNull())
 
     digits, open_bins = _STEP, None

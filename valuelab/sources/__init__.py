@@ -1,6 +1,7 @@
 from .bookings import bookings
 from .tables import (
     coerce_numeric,
+    columns_of,
     export_csv,
     export_parquet,
     load_table,
@@ -12,6 +13,7 @@ from .tables import (
 __all__ = [
     "bookings",
     "coerce_numeric",
+    "columns_of",
     "export_csv",
     "export_parquet",
     "load_table",

@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The columns of the fixture.
 COLUMNS = (
     "booking_id",
     "booking_datetime",
@@ -34,17 +35,6 @@ COLUMNS = (
     "ord_c",
 )
 
-# Which dimension tables each column needs; the others come from the fact table.
-_NEEDS = {
-    "service_type": {"orders"},
-    "traffic_level": {"orders"},
-    "customer_segment": {"orders", "customer"},
-    "customer_age": {"orders", "customer"},
-    "city": {"orders", "customer", "nation"},
-    "promo_code_used": {"part"},
-    "weather_condition": {"part"},
-}
-
 # One expression per column; ``h`` is the hash of the row's keys.
 _EXPRESSIONS = {
     "booking_id": "concat('B', l_orderkey, '-', l_linenumber)",
@@ -84,25 +74,22 @@ _EXPRESSIONS = {
 def bookings(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None) -> DataFrame:
     """The view, or the asked columns of it.
 
-    Only dimensions that feed an asked column are joined (every foreign key has
-    exactly one match, so leaving one out changes no row).  No join is hinted:
-    Spark broadcasts a dimension when its size is under the session's threshold
-    and shuffles it otherwise.
+    The view is its four inner joins, whatever columns are asked: a fact row without a match
+    is in no result.  Catalyst leaves out the columns.  No join is hinted: Spark broadcasts
+    a dimension when its size is under the session's threshold and shuffles it otherwise.
     """
     wanted = [c for c in COLUMNS if columns is None or c in set(columns)]
-    needs = set().union(*[_NEEDS.get(c, set()) for c in wanted])
 
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     hash_ = "l_orderkey * 31 + l_partkey * 7 + l_linenumber"
-    df = table("lineitem").withColumn("h", F.expr(hash_))
-    if "orders" in needs:
-        df = df.join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    if "customer" in needs:
-        df = df.join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    if "nation" in needs:
-        df = df.join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    if "part" in needs:
-        df = df.join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
+    df = (
+        table("lineitem")
+        .withColumn("h", F.expr(hash_))
+        .join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
+    )
     return df.selectExpr(*[f"{_EXPRESSIONS[c]} AS {c}" for c in wanted])
