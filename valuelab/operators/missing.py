@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import is_missing, number
-from .quantiles import quantile_summary
+from .quantiles import quantile_summary, same_keys
 from .reshape import melt_categories
 
 COMPLETE = "Complete"
@@ -137,8 +137,13 @@ def category_shares_by(df: DataFrame, group: str, columns: Sequence[str]) -> Dat
         .groupBy("variable", group, "category")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    total = F.sum("n").over(W.partitionBy("variable", group))
-    return counts.withColumn("percentage", F.col("n") / total * 100)
+    totals = counts.groupBy(
+        F.col("variable").alias("__variable"), F.col(group).alias("__group")
+    ).agg(F.sum("n").alias("__total"))
+    same = same_keys(counts, totals, [("variable", "__variable"), (group, "__group")])
+    return counts.join(totals, same).select(
+        *counts.columns, (F.col("n") / F.col("__total") * 100).alias("percentage")
+    )
 
 
 def category_share_gap(

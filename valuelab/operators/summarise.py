@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import number, pearson, skewness_sample_sd
@@ -90,8 +89,10 @@ def category_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .groupBy("variable", "category")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return counts.withColumn(
-        "percentage", F.col("n") / F.sum("n").over(W.partitionBy("variable")) * 100
+    totals = counts.groupBy("variable").agg(F.sum("n").alias("__total"))
+    # one row per named column
+    return counts.join(F.broadcast(totals), "variable").select(
+        *counts.columns, (F.col("n") / F.col("__total") * 100).alias("percentage")
     )
 
 
@@ -107,15 +108,18 @@ def proportions_by(
     counts = long.groupBy("variable", "category").agg(
         *[F.count_if(F.col(group) == g).alias(f"__g{i}") for i, g in enumerate(groups)]
     )
-    whole = W.partitionBy("variable")
+    totals = counts.groupBy("variable").agg(
+        *[F.sum(f"__g{i}").alias(f"__t{i}") for i in range(len(groups))]
+    )
     cells = [
         F.struct(
             F.lit(g).alias(group),
-            F.try_divide(F.col(f"__g{i}"), F.sum(f"__g{i}").over(whole)).alias("share"),
+            F.try_divide(F.col(f"__g{i}"), F.col(f"__t{i}")).alias("share"),
         )
         for i, g in enumerate(groups)
     ]
-    shares = counts.select("variable", "category", F.array(*cells).alias("cells"))
+    # one row per named column
+    shares = counts.join(F.broadcast(totals), "variable").select("variable", "category", F.array(*cells).alias("cells"))
     return shares.select("variable", "category", F.inline("cells")).select(
         "variable", group, "category", "share"
     )
