@@ -127,6 +127,25 @@ def _padded(column: pa.Array) -> np.ndarray:
     return out
 
 
+#: Runs of so many vectors are compared by matrix products, smaller ones many at a time.
+DENSE = 12
+
+
+def _dense(rows: np.ndarray, filters: np.ndarray, own: int, side: np.ndarray, least: float):
+    """Links of one run as a matrix (above the diagonal), and those that count here (both ways):
+    the pair has no earlier filter in common, and lies across the chunks of a pair of chunks."""
+    near = rows @ rows.T >= least
+    np.fill_diagonal(near, False)
+    earlier = (filters >= 0) & (filters < own)
+    row = np.nonzero(earlier)[0]
+    known, place = np.unique(filters[earlier], return_inverse=True)
+    has = np.zeros((len(rows), len(known)), np.float32)
+    has[row, place] = 1
+    new = near & (has @ has.T < 0.5)
+    new &= (side[:, None] < 0) | (side[:, None] != side[None, :])
+    return np.triu(near), new
+
+
 def _verify(least: float):
     """Links within runs of one filter: verified by cosine, counted at their first common filter.
 
@@ -147,7 +166,14 @@ def _verify(least: float):
             labels = np.arange(len(ids))
             edge = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
             left = np.repeat(np.r_[edge[1:], len(runs)], np.diff(np.r_[edge, len(runs)])) - np.arange(len(runs))
-            active, step = np.arange(len(ids)), 1
+            size = np.diff(np.r_[edge, len(runs)])
+            for at in np.flatnonzero(size >= DENSE).tolist():
+                own_rows = slice(int(edge[at]), int(edge[at] + size[at]))
+                near, new = _dense(rows[own_rows], filters[own_rows], int(own[edge[at]]), side[own_rows], least)
+                counts[own_rows] += new @ n[own_rows]
+                a, b = np.nonzero(near)
+                labels = spanning_labels(len(ids), a + own_rows.start, b + own_rows.start, labels)
+            active, step = np.flatnonzero(np.repeat(size < DENSE, size)), 1
             while len(active := active[left[active] > step]):
                 for low in range(0, len(active), 4096):
                     a = active[low : low + 4096]
