@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import tasks, text_buffer
+from .common import staged, tasks, text_buffer
 from .tokens import WordEncoder, kept
 
 #: How the files are laid out: integers are run-length encoded by the format itself; a row index
@@ -100,8 +100,10 @@ def digest(rows: DataFrame) -> DataFrame:
                 names=["part", "doc_id", "n_tokens", "ids_crc32"],
             )
 
-    each = rows.select("part", "doc_id", "ids").mapInArrow(
-        run, "part int, doc_id long, n_tokens long, ids_crc32 long"
+    each = staged(
+        rows.select("part", "doc_id", "ids").mapInArrow(
+            run, "part int, doc_id long, n_tokens long, ids_crc32 long"
+        )
     )
     totals = each.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     # one row per file, however many documents it holds

@@ -6,7 +6,7 @@ import os
 import re
 import sys
 import types
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -76,6 +76,8 @@ class WordEncoder:
     def __init__(self, path: str, most: int = 700_000):
         self.tokenizer = _library(path)
         self.special = re.compile(_special(self.tokenizer).pattern + "|[\x1c-\x1f]")
+        #: Beyond Latin-1 lower case may depend on marks that follow, so it is left to the library.
+        self.beyond = re.compile("[^\x00-\xff]")
         self.most = most
         self.number: dict[str, int] = {}
         self.start = np.zeros(0, np.int64)
@@ -101,7 +103,7 @@ class WordEncoder:
     def _encode_some(self, texts: list[str]) -> list[np.ndarray]:
         whole = {i: self.encode(t) for i, t in enumerate(texts) if self.special.search(t)}
         cut = [
-            [] if i in whole else (t.lower() if t.isascii() else t).split()
+            [] if i in whole else (t if self.beyond.search(t) else t.lower()).split()
             for i, t in enumerate(texts)
         ]
         counts = [len(c) for c in cut]
@@ -116,7 +118,7 @@ class WordEncoder:
                 e.ids for e in self.tokenizer.encode_batch_fast(distinct, add_special_tokens=False)
             ]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.array([i for own in found for i in own], np.uint32)
+            ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
             start = np.concatenate([start, len(flat) + np.cumsum(sizes) - sizes])
             size = np.concatenate([size, sizes])
             flat = np.concatenate([flat, ids])
