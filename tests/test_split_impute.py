@@ -53,7 +53,7 @@ def test_tied_edges_and_missing_targets(spark):
     rule = split.fit_split(df, "k", "y")
     assert rule.edges == () and rule.n_without_target == 1
     sizes = {r["dataset"]: r["n"] for r in split.split_sizes(rule.apply(df)).collect()}
-    assert sizes == {"Train": 56, "Test": 14}
+    assert sizes == {"Train": 56, "Test": 14, None: 1}
 
 
 def test_constant_and_empty_target(spark):
