@@ -200,6 +200,92 @@ def test_licences(spark):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation."""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software."""
+GNU = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU {} as published by
+the Free Software Foundation; {}version {} of the License{}.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {} for more details."""
+
+
+def gnu(kind, version, later=True):
+    return GNU.format(kind, "either " if later else "", version, ", or\n(at your option) any later version" if later else "", kind)
+
+
+WRAPPED = [
+    ("Apache-2.0", APACHE),
+    ("MIT", MIT),
+    ("BSD-2-Clause", BSD2),
+    ("BSD-3-Clause", BSD3),
+    ("GPL-2.0-or-later", gnu("General Public License", "2")),
+    ("GPL-3.0-or-later", gnu("General Public License", "3").replace("software;", "software:")),
+    ("GPL-2.0-only", gnu("General Public License", "2", later=False)),
+    ("GPL-3.0-only", gnu("General Public License", "3", later=False)),
+    ("LGPL-2.1-or-later", gnu("Lesser General Public License", "2.1")),
+    ("LGPL-3.0-or-later", gnu("Lesser General Public License", "3")),
+    ("AGPL-3.0-or-later", gnu("Affero General Public License", "3")),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("CC-BY-NC-SA", "This work is licensed under a Creative Commons Attribution-\nNonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY", "This work is licensed under the Creative Commons\nAttribution 4.0 International License."),
+    ("CC0", "To the extent possible under law, the author has waived all copyright\nand related or neighboring rights to this work."),
+    ("PublicDomain", "This is free and unencumbered software released into the\npublic domain."),
+    ("Proprietary", "Copyright (c) 2020 Some Body\nAll rights\nreserved."),
+]
+
+
+@pytest.mark.parametrize("mark", ["", "# ", "// ", " * ", "; "])
+def test_wrapped_licence_notices(spark, mark):
+    texts = ["Some Heading\n" + "".join(f"{mark}{line}".rstrip() + "\n" for line in t.split("\n")) + "code()\n" for _, t in WRAPPED]
+    got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, texts)).collect()}
+    assert [got[i].licenses for i in range(len(texts))] == [name for name, _ in WRAPPED]
+    assert got[0].identifiers == ",ApacheGrant,,ApacheComply,,ApacheUrl,,ApacheAsIs,,ApacheSee," and got[0].n_unmatched == 0
+
+
+def test_spdx_lines_and_lines_without_stops(spark):
+    texts = [
+        "// SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note\nint x;",
+        "# SPDX-License-Identifier: (MIT OR Apache-2.0)\nx = 1",
+        "/* SPDX-License-Identifier: BSD-3-Clause */",
+        "Licensed under CC BY-NC 4.0\nReleased under the MIT License\nmore",
+        "Our licence is a\nlicense that no one\nknows.",
+    ]
+    got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, texts)).collect()}
+    assert [got[i].licenses for i in range(5)] == ["GPL-2.0-only", "Apache-2.0+MIT", "BSD-3-Clause", "MIT+CC-BY-NC", ""]
+    assert (got[4].n_sentences, got[4].n_unknown) == (1, 1)
+
+
 def test_language_on_held_out_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()

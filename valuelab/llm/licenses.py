@@ -64,31 +64,170 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 
 #: A sentence without one of these words is none of a licence; it is looked at no further.
 CRITICAL = "licens|copyright|permission|redistribut|warrant|public domain|any later version|endorse|under cc|under the cc|under a cc|all rights|apache"
-#: Ends of sentences: a line break, or a stop followed by white space or the end.
-SENTENCE_END = r"[\n\r]+|[.;!?]+(?=\s|$)"
-#: What normalising removes: comment marks and quotes; then all that is no word joins as a space.
-COMMENT_MARKS = r"[#*<>\"'`=_|]+|//+"
+#: What follows a version's "v." is no end of a sentence; nor is a ';' inside the GNU grants.
+SENTENCE_END = r"\n\s*\n|(?<!\b[vV])[.!?]+(?=\s|$)|(?<!(?i:free software));+(?=\s|$)(?!\s+(?i:(?:either )?version \d))"
+#: Comment marks before and after the words of a line.
+LINE_START = r"(?m)^[ \t]*(?:(?://+!?|/?\*+/?|#+|;+|--+|%+|>+|<!--|\|+|(?i:dnl|rem)(?=[ \t]))[ \t]*)+"
+LINE_END = r"(?m)[ \t]*(?:\*+/|-->|[*#|]+)[ \t]*$"
+#: Marks that count as a space.
+MARKS = r"[#*<>\"'`=_|/(){}\[\];,“”‘’\u0001\u0002]+"
+
+_FREE = (
+    r"(\S+ ){1,8}is free software you (can|may) redistribute it and or modify it under the terms of "
+    r"(version \d of )?the gnu KIND( version \d( \d)?)?( only)?( as published by the free software foundation)?"
+)
+_LATER = r" (either )?version NUMBER of the license or( at your option)? any later version"
+
+
+def _free(kind: str, end: str = "", number: str = "") -> str:
+    return (_FREE + end).replace("KIND", kind).replace("NUMBER", number)
+
+
+_CC = r"(this (work|text|file) is )?licensed under (a|the) creative commons KIND( [1-4] 0)?( international| unported| generic)?( public)? license.*"
+
+#: Sentences of whole public notices that the table above has not, in the same form but
+#: without brackets, commas and slashes.  They go before those above.
+NOTICES: tuple[tuple[str, str], ...] = (
+    ("LgplLater3", _free("(lesser|library) general public license", _LATER, "3")),
+    ("LgplLater2", _free("(lesser|library) general public license", _LATER, "2( 1)?")),
+    ("LgplFree", _free("(lesser|library) general public license") + ".*"),
+    ("AgplLater3", _free("affero general public license", _LATER, "3")),
+    ("AgplFree", _free("affero general public license") + ".*"),
+    ("GplLater3", _free("general public license", _LATER, "3")),
+    ("GplLater2", _free("general public license", _LATER, "2")),
+    ("GplOnly3", _FREE.replace("KIND( version \\d( \\d)?)?", "general public license( version 3| v3)") + "|" + _free("general public license", " version 3 of the license")),
+    ("GplOnly2", _FREE.replace("KIND( version \\d( \\d)?)?", "general public license( version 2| v2)") + "|" + _free("general public license", " version 2 of the license")),
+    ("GplFree", _free("general public license") + ".*"),
+    ("GplDetails", r"see the gnu (\w+ )?general public license for more details"),
+    ("GplCopy", r"you should have received a copy of the gnu (\w+ )?general public license.*|if not see .*gnu org licenses.*"),
+    ("ApacheGrant", r"(the )?(\S+ ){1,6}licenses this file to you under the apache license version 2 0( the license)?"),
+    ("ApacheAsIs", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis.*"),
+    ("ApacheSee", r"see the license for the specific language governing permissions and limitations under the license"),
+    ("BsdSource", r"redistributions of source code must retain the above copyright notice.*"),
+    ("BsdBinary", r"redistributions in binary form must reproduce the above copyright notice.*"),
+    ("BsdEndorse", r"(neither )?the names? of .* may (not )?be used to endorse or promote products.*"),
+    ("NoWarranty", r"this software is provided by .*as is and any express or implied warranties.*|without even the implied warranty of .*"),
+    ("NoLiability", r"in no event shall the .*liable.*"),
+    ("CcByNcSa", _CC.replace("KIND", "attribution-noncommercial-sharealike")),
+    ("CcByNc", _CC.replace("KIND", "attribution-noncommercial")),
+    ("CcBySa", _CC.replace("KIND", "attribution-sharealike")),
+    ("CcBy", _CC.replace("KIND", "attribution")),
+    ("Cc0", r"to the extent possible under law .*waived all copyright and related or neighboring rights.*"),
+    ("PublicDomain", r"this is free and unencumbered software released into the public domain"),
+)
+
+#: SPDX short identifiers (lower case, dots as spaces) and licence names.
+SPDX: tuple[tuple[str, str], ...] = (
+    ("apache-2 0", "Apache-2.0"),
+    ("mit", "MIT"),
+    ("bsd-2-clause", "BSD-2-Clause"),
+    ("bsd-3-clause", "BSD-3-Clause"),
+    ("gpl-2 0(-only)?", "GPL-2.0-only"),
+    (r"gpl-2 0(-or-later|\+)", "GPL-2.0-or-later"),
+    ("gpl-3 0(-only)?", "GPL-3.0-only"),
+    (r"gpl-3 0(-or-later|\+)", "GPL-3.0-or-later"),
+    (r"lgpl-[23] [01](-only)?", "LGPL"),
+    (r"lgpl-2 [01](-or-later|\+)", "LGPL-2.1-or-later"),
+    (r"lgpl-3 0(-or-later|\+)", "LGPL-3.0-or-later"),
+    ("agpl-3 0(-only)?", "AGPL"),
+    (r"agpl-3 0(-or-later|\+)", "AGPL-3.0-or-later"),
+    ("mpl-2 0", "MPL-2.0"),
+    ("cc-by-nc-sa-[1-4] [05]", "CC-BY-NC-SA"),
+    ("cc-by-nc-[1-4] [05]", "CC-BY-NC"),
+    ("cc-by-sa-[1-4] [05]", "CC-BY-SA"),
+    ("cc-by-[1-4] [05]", "CC-BY"),
+    ("cc0-1 0", "CC0"),
+    ("unlicense", "PublicDomain"),
+)
+
+#: Rules of the sentences that only whole notices have; they go before those above.
+NOTICE_RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("LGPL-3.0-or-later", ("LgplLater3",)),
+    ("LGPL-2.1-or-later", ("LgplLater2",)),
+    ("LGPL", ("LgplFree",)),
+    ("AGPL-3.0-or-later", ("AgplLater3",)),
+    ("AGPL", ("AgplFree",)),
+    ("GPL-3.0-or-later", ("GplLater3",)),
+    ("GPL-2.0-or-later", ("GplLater2",)),
+    ("GPL-3.0-only", ("GplOnly3",)),
+    ("GPL-2.0-only", ("GplOnly2",)),
+    ("Apache-2.0", ("ApacheGrant", "ApacheComply", "ApacheUrl", "ApacheAsIs", "ApacheSee")),
+    ("BSD-3-Clause", ("BsdRedistribution", "BsdSource", "BsdBinary", "BsdEndorse")),
+    ("BSD-2-Clause", ("BsdRedistribution", "BsdSource", "BsdBinary")),
+    *((name, (f"Spdx{i}",)) for i, (_, name) in enumerate(SPDX)),
+)
+
+
+def _plain(pattern: str) -> str:
+    """A pattern of ``SENTENCES`` for text whose brackets, commas and slashes are spaces."""
+    for old, new in ((r"\(", ""), (r"\)", ""), (",?", ""), (",", ""), ("/", " "), ("[ -]", "(?: |-)")):
+        pattern = pattern.replace(old, new)
+    return pattern
+
+
+def known_sentences() -> list[tuple[str, str]]:
+    """Identifier and pattern of every known sentence, in the order they are tried."""
+    short = [(f"Spdx{i}", f"spdx-license-identifier {p}") for i, (p, _) in enumerate(SPDX)]
+    return [*short, *NOTICES, *((name, _plain(p)) for name, p in SENTENCES)]
+
+
+def unwrapped(text: Column) -> Column:
+    """Lines without comment marks; a URL set off by a blank line belongs to what comes before;
+    an SPDX line stands alone."""
+    for pattern, new in (
+        (r"\r\n?", "\n"),
+        (LINE_END, ""),
+        (LINE_START, ""),
+        (r"(?<![.!?;\s])[ \t]*\n\s*\n[ \t]*(?=https?://)", "\n"),
+        (r"-\n[ \t]*(?=\p{L})", "-"),
+        (r"(?im)^.*(SPDX-License-Identifier:.*)$", "\n\n$1\n\n"),
+    ):
+        text = F.regexp_replace(text, pattern, new)
+    return text
 
 
 def normalise(sentence: Column) -> Column:
-    """Lower case, comment marks and single stops as spaces, white space as one space."""
-    plain = F.regexp_replace(F.lower(sentence), COMMENT_MARKS, " ")
-    plain = F.regexp_replace(plain, r"[.:\s]+", " ")
-    return F.trim(plain)
+    """Lower case, marks and single stops as spaces, white space as one space; line breaks stay."""
+    plain = F.regexp_replace(F.lower(sentence), MARKS, " ")
+    plain = F.regexp_replace(plain, r"(?:[.:]|[^\S\n])+", " ")
+    return F.regexp_replace(F.regexp_replace(plain, r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
+
+
+def critical(text: Column) -> Column:
+    return F.lower(text).rlike(CRITICAL.replace(" ", r"\s+"))
 
 
 def sentences(text: Column) -> Column:
-    """Normalised sentences of a text that hold a critical word, in order."""
-    parts = F.filter(F.split(text, SENTENCE_END), lambda s: F.lower(s).rlike(CRITICAL))
-    return F.transform(parts, normalise)
+    """Normalised sentences of a text that hold a critical word, in order; an SPDX expression
+    is one for each identifier in it."""
+    parts = F.transform(F.filter(F.split(unwrapped(text), SENTENCE_END), critical), normalise)
+    spdx = "spdx-license-identifier "
+    return F.flatten(
+        F.transform(
+            parts,
+            lambda s: F.when(
+                s.startswith(spdx),
+                F.transform(
+                    F.split(F.regexp_replace(F.substr(s, F.lit(len(spdx) + 1)), r" with \S+", ""), " (?:or|and) "),
+                    lambda x: F.concat(F.lit(spdx), F.trim(x)),
+                ),
+            ).otherwise(F.array(s)),
+        )
+    )
+
 
+def identifiers(sentence: Column) -> Column:
+    """Identifiers of the known sentences in a normalised one, in order; '' for critical words
+    that belong to none.
 
-def identifier(sentence: Column) -> Column:
-    """Identifier of the first known sentence that the normalised sentence equals; else ''."""
-    out = F.when(F.lit(False), F.lit(""))
-    for name, pattern in SENTENCES:
-        out = out.when(sentence.rlike(f"^(?:{pattern})$"), F.lit(name))
-    return out.otherwise(F.lit(""))
+    A known sentence starts and ends with a line (of any number), so a heading or a name without
+    a stop before it does not hide it.
+    """
+    for name, pattern in known_sentences():
+        wrapped = pattern.replace(" ", r"[ \n]")
+        sentence = F.regexp_replace(sentence, rf"(?s)(?<![^\n])(?:{wrapped})(?![^\n])", f"\x01\x02{name}\x01")
+    parts = F.filter(F.split(sentence, "\x01"), lambda p: p.startswith("\x02") | critical(p))
+    return F.transform(parts, lambda p: F.when(p.startswith("\x02"), F.substr(p, F.lit(2))).otherwise(F.lit("")))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,16 +236,18 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     that are not known), ``licenses`` (names in rule order, joined by ``+``) and ``n_unmatched``
     (identifiers that no rule took).
 
+    Wrapped lines are joined: a sentence ends at a stop or a blank line, and comment marks go.
     A known sentence keeps its place among unknown ones: rules need neighbours in the sequence
     of known identifiers.  A null text has no sentences.  A projection: no shuffle, no row count
     to bound, and texts without a critical word are passed over by one search.
     """
     text = F.col(text_col)
-    critical = F.coalesce(F.lower(text).rlike(CRITICAL), F.lit(False))
+    # line breaks and comment marks may lie between the words
+    worth = F.coalesce(F.lower(text).rlike(CRITICAL.replace(" ", r"\W+")), F.lit(False))
     none = F.expr("cast(array() as array<string>)")
     found = docs.select(
         F.col(id_col).alias("doc_id"),
-        F.when(critical, F.transform(sentences(text), identifier)).otherwise(none).alias("all"),
+        F.when(worth, F.flatten(F.transform(sentences(text), identifiers))).otherwise(none).alias("all"),
     )
     known = found.select(
         "doc_id",
@@ -129,7 +270,7 @@ def _apply_rules(column: str) -> list[Column]:
     rules = F.array(
         *[
             F.struct(F.lit(name).alias("name"), F.lit("".join(f",{i}," for i in ids)).alias("ids"))
-            for name, ids in RULES
+            for name, ids in NOTICE_RULES + RULES
         ]
     )
     done = F.aggregate(
@@ -152,7 +293,7 @@ def _apply_rules(column: str) -> list[Column]:
 
 
 def oracle() -> str:
-    """The same scan as DuckDB SQL, from the same tables of sentences and rules."""
+    """The scan of notices that lie on one line each as DuckDB SQL, from ``SENTENCES`` and ``RULES``."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     cases = " ".join(
         f"WHEN regexp_full_match(s, {quoted(p)}) THEN {quoted(n)}" for n, p in SENTENCES
