@@ -1,5 +1,6 @@
 """Cap filters, packing, token files, shards and mixing against brute force or a round trip."""
 
+import glob
 import os
 import random
 import zlib
@@ -7,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -189,6 +191,25 @@ def test_external_shuffle(spark):
     assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter(zip(ids, texts))
 
 
+def test_digest_is_of_the_written_records(spark, tmp_path):
+    texts = [None, "", *[f"t{i}" for i in range(500)], "same", "same"]
+    ids = [*range(502), 3, None]
+    docs = docs_frame(spark, texts, ids)
+    path = str(tmp_path / "shards")
+    rows = shuffling.shuffle_to_shards(docs, shards=5, bucket_rows=40, path=path).collect()
+    found = []
+    for name in glob.glob(f"{path}/shard=*/*.parquet"):
+        held = pq.ParquetFile(name).read()
+        slots = held["slot"].to_pylist()
+        assert slots == sorted(slots) and set(docs.columns) < set(held.column_names)
+        shard = int(name.split("shard=")[1].split("/")[0])
+        for i, text, slot in zip(held["doc_id"].to_pylist(), held["text"].to_pylist(), slots):
+            data = (text or "").encode()
+            found.append((i, len(data) + 16, zlib.crc32(data), shard, slot))
+    assert Counter(found) == Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in rows)
+    assert len(found) == len(ids)
+
+
 def mixed(spark, seed=6):
     r = random.Random(seed)
     rows = []

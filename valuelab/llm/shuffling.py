@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from ..sources import work_folder
 from .common import staged
@@ -54,13 +55,14 @@ def place(
     )
 
 
-def keys_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``size`` (bytes of the text and 16) and ``text_crc32`` of each row."""
+def keys_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """``doc_id``, ``size`` (bytes of the text and 16) and ``text_crc32`` of each row, and ``more`` columns."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
+        *more,
     )
 
 
@@ -71,16 +73,17 @@ def shuffle_to_shards(
     text_col: str = "text",
     bucket_rows: int = 50_000,
     seed: int = 17,
+    path: str | None = None,
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``,
-    ``grown_shard``.
+    ``grown_shard``, derived from the records in the files that ``write_shards`` has written.
 
     The law is ``rows``: counts of shards differ by one at most.  A null text counts as empty.
     Null and repeated ids are rows like others; an empty table gives an empty result.
     Hash, seed and the order inside a bucket are fixed, so a task run again deals alike.
     """
-    placed = place(keys_of(docs, id_col, text_col), shards, "doc_id", bucket_rows, seed)
-    return placed.select(
+    path = write_shards(docs, path, shards, seed=seed, text_col=text_col, bucket_rows=bucket_rows)
+    return keys_of(read_shards(docs, path), id_col, text_col, "shard", "slot").select(
         "doc_id",
         "size",
         "text_crc32",
@@ -91,6 +94,12 @@ def shuffle_to_shards(
     )
 
 
+def read_shards(docs: DataFrame, path: str) -> DataFrame:
+    """The records in the files, with ``slot`` and ``shard``; also where no file was written."""
+    schema = StructType([*docs.schema.fields]).add("slot", LongType()).add("shard", IntegerType())
+    return docs.sparkSession.read.schema(schema).parquet(path)
+
+
 def write_shards(
     docs: DataFrame,
     path: str | None = None,
@@ -99,16 +108,17 @@ def write_shards(
     seed: int = 17,
     id_col: str = "doc_id",
     text_col: str = "text",
+    bucket_rows: int | None = None,
 ) -> str:
-    """Writes whole records to ``path`` in folders ``shard=k``, by slot; returns the path.
+    """Writes whole records to ``path`` in folders ``shard=k``, each file by slot; returns the path.
 
     The same two passes over the records themselves, in buckets of about ``bucket_bytes`` of
-    text: scatter by hash, shuffle each bucket, write it.  A bucket lies in one or two shards,
-    so files are few.
+    text (at most ``bucket_rows`` rows): scatter by hash, shuffle each bucket, write it.  A
+    bucket lies in one or two shards, so files are few.
     """
     path = path or work_folder(docs.sparkSession)
     total = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 16), F.count(F.lit(1))).first()
     rows = max(1, int((total[1] or 1) * bucket_bytes / max(1, total[0] or 1)))
-    placed = place(docs.withColumn("_bytes", F.octet_length(text_col)), shards, id_col, rows, seed)
-    placed.drop("_bytes", "bucket").write.partitionBy("shard").parquet(path)
+    placed = place(docs, shards, id_col, min(rows, bucket_rows or rows), seed)
+    placed.drop("bucket").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return path
