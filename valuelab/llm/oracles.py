@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from . import licenses, quality
+from . import leaks, licenses, quality
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op5_quality_rules": quality.oracle()}
+    return {
+        "op1_license_scan": licenses.oracle(),
+        "op5_quality_rules": quality.oracle(),
+        "op13_benchmark_windows": leaks.oracle(),
+    }

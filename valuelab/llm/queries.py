@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import capfilters, langid, licenses, mixing, orcids, packing, quality, shuffling, simhash, suffixes
+from . import capfilters, langid, leaks, licenses, mixing, orcids, packing, quality, shuffling, simhash, suffixes
 from ..sources import work_folder
 from .common import table
 
@@ -94,6 +94,11 @@ def op10_proportional_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), MIX)
 
 
+def op13_benchmark_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    return leaks.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -106,4 +111,5 @@ def queries() -> dict[str, Query]:
         "op8_orc_ids": op8_orc_ids,
         "op9_external_shuffle": op9_external_shuffle,
         "op10_proportional_mix": op10_proportional_mix,
+        "op13_benchmark_windows": op13_benchmark_windows,
     }
