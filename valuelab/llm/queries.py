@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import capfilters, langid, leaks, licenses, mixing, orcids, packing, quality, shuffling, simhash, suffixes
+from . import capfilters, langid, leaks, licenses, mixing, orcids, packing, quality, shuffling, simhash, suffixes, variants, whitening
 from ..sources import work_folder
 from .common import table
 
@@ -94,6 +94,16 @@ def op10_proportional_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), MIX)
 
 
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of all documents with the spelling that most of their neighbours have."""
+    return variants.group_variants(table(spark, sf, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors on the eight leading components of their own covariance."""
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
 def op13_benchmark_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark passages in every document."""
     return leaks.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
@@ -111,5 +121,7 @@ def queries() -> dict[str, Query]:
         "op8_orc_ids": op8_orc_ids,
         "op9_external_shuffle": op9_external_shuffle,
         "op10_proportional_mix": op10_proportional_mix,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_embedding_whitening": op12_embedding_whitening,
         "op13_benchmark_windows": op13_benchmark_windows,
     }
