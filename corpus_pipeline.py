@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from valuelab.llm import langid, mixing, nearcopies, packing, suffixes  # noqa: E402
+from valuelab.llm import langid, mixing, packing, simhash, suffixes  # noqa: E402
 from valuelab.llm.common import staged, table  # noqa: E402
 from valuelab.llm.queries import MIX, tokenizer_file  # noqa: E402
 
@@ -27,9 +27,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near copies: five-word shingles
-    with a Jaccard similarity of 0.8 or more."""
-    return nearcopies.drop_similar(docs.select(*COLUMNS))
+    """Keeps the document with the smallest id of each class whose fingerprints (three-word
+    shingles) are linked by at most three differing bits."""
+    return simhash.drop_near_copies(docs.select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: SQL has no fitted model and no tokenizer; tests hold each stage against brute force.
+#: SQL has no fitted model and no tokenizer; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
