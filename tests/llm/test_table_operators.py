@@ -61,6 +61,43 @@ def test_cap_filters_against_brute_force(spark, tile):
     assert capfilters.link_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [1, 2, 3, 4, 6, 8, 16, 64])
+def test_cap_filters_of_any_length(spark, dim):
+    """All links that brute force finds, over pairs just above the threshold."""
+    r = np.random.default_rng(dim)
+    a = r.normal(size=(150, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    o = r.normal(size=a.shape)
+    o -= (o * a).sum(1, keepdims=True) * a
+    o /= np.maximum(np.linalg.norm(o, axis=1, keepdims=True), 1e-9)
+    b = 0.985 * a + np.sqrt(1 - 0.985**2) * o
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([a, b]))]
+    want = brute_links(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {x.vec_id: (x.n_links, x.component_id) for x in capfilters.link_vectors(df).collect()}
+    found, all_ = (sum(v[0] for v in x.values()) for x in (got, want))
+    assert all_ > 0 and 0.99 * all_ <= found <= all_
+    if dim <= 4:
+        assert got == want
+
+
+def test_cap_filters_of_many_lengths_and_null_ids(spark):
+    r = np.random.default_rng(4)
+    rows = []
+    for d in range(1, 131):
+        v = r.normal(size=d)
+        rows += [(2 * d, v.tolist(), 1), (2 * d + 1, (v + 0.001).tolist() if d > 1 else v.tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {x.vec_id: (x.n_links, x.component_id) for x in capfilters.link_vectors(df).collect()}
+    assert got == {i: (1, i - i % 2) for i, _, _ in rows}
+    # two classes, each with vectors whose ids are null, stay apart; one class has no id at all
+    axis = lambda i, e: [1.0 * (k == i) + e * (k == 5) for k in range(6)]
+    ids = [(10, 0, 0.0), (None, 0, 0.1), (20, 1, 0.0), (None, 1, 0.1), (None, 2, 0.0), (None, 2, 0.1), (30, 3, 0.0)]
+    df = spark.createDataFrame([(i, axis(k, e), 1) for i, k, e in ids], df.schema)
+    got = sorted(((x.vec_id or 0, x.n_links, x.component_id or 0) for x in capfilters.link_vectors(df).collect()))
+    assert got == sorted([(10, 1, 10), (0, 1, 10), (20, 1, 20), (0, 1, 20), (0, 1, 0), (0, 1, 0), (30, 0, 30)])
+
+
 def test_cap_filter_recall_at_the_threshold():
     r = np.random.default_rng(1)
     a = r.normal(size=(1500, 64))
@@ -101,6 +138,25 @@ def docs_frame(spark, texts, ids=None):
     )
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\t "])
+def test_long_runs_of_blanks(spark, blank):
+    text = f"a{blank * (2_000_000 // len(blank))}b"
+    tokenizer = Tokenizer.from_file(BYTES)
+    want = tokenizer.encode(text, add_special_tokens=False).ids
+    assert ByteEncoder(BYTES).encode(text).tolist() == want
+    if blank == " ":
+        rows = packing.pack_documents(docs_frame(spark, [text, "plain"]), BYTES).collect()
+        assert sum(r.length for r in rows if r.doc_id == 0) == len(want) + 1 and {r.doc_id for r in rows} == {0, 1}
+
+
+def test_packing_of_several_groups_near_the_bound(spark):
+    r = random.Random(2)
+    texts = [" ".join("word" for _ in range(r.randrange(1, 400))) for _ in range(3000)]
+    rows = packing.pack_documents(docs_frame(spark, texts), BYTES, group=700).collect()
+    total = sum(x.length for x in rows)
+    assert len({x.sequence_id for x in rows}) <= 1.02 * (total / 2048) + 2 * 5
+
+
 def test_packing_keeps_every_id(spark):
     texts = [None, "", "word", "many words " * 3000, *fuzz(80), "same", "same"]
     ids = [*range(len(texts) - 2), 5, 5]
@@ -191,6 +247,25 @@ def test_external_shuffle(spark):
     assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter(zip(ids, texts))
 
 
+def test_shards_of_records_with_clashing_and_map_columns(spark):
+    """Columns named like the operator's own, a map column, and one row a thousand times over."""
+    rows = [(i, f"t{i}", i, f"s{i}", i * 2, {"k": i}, None) for i in range(200)] + [(7, "same", 1, "s", 2, {}, "r")] * 1000
+    names = "doc_id long, text string, bucket int, Shard string, slot int, part map<string,int>, row string"
+    docs = spark.createDataFrame(rows, names)
+    path = shuffling.write_shards(docs, shards=6, bucket_rows=100)
+    back = shuffling.read_shards(docs, path)
+    assert back.columns == [*docs.columns, "slot_", "shard_"]
+    key = lambda r: repr(tuple(r)[:7])
+    got = back.collect()
+    assert sorted(map(key, got)) == sorted(map(key, docs.collect()))
+    size = Counter(r.shard_ for r in got)
+    assert sorted(size.values()) == [200] * 6
+    alike = Counter(r.shard_ for r in got if r.text == "same")
+    assert len(alike) == 6 and max(alike.values()) < 190
+    again = shuffling.shuffle_to_shards(docs, shards=6, bucket_rows=100).collect()
+    assert {(r.shard, r.slot) for r in again} == {(s, i) for s in range(6) for i in range(200)}
+
+
 def test_digest_is_of_the_written_records(spark, tmp_path):
     texts = [None, "", *[f"t{i}" for i in range(500)], "same", "same"]
     ids = [*range(502), 3, None]
@@ -271,3 +346,15 @@ def test_mix_follows_probabilities(spark):
 def test_mix_runs_no_python(spark):
     plan = mixing.mix(mixed(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_mix_returns_the_callers_columns(spark):
+    rows = [(i, f"text {i}", "en", "s", "mine", "t", i, {"k": i}) for i in range(50)]
+    names = "doc_id long, text string, lang string, source string, _source string, topic string, unit int, row map<string,int>"
+    docs = spark.createDataFrame(rows, names)
+    kept = mixing.sample_mix(docs, mixing.Targets(fraction=0.5), topic_col="topic")
+    assert kept.columns == docs.columns
+    got = [tuple(r) for r in kept.collect()]
+    assert 5 < len(got) < 45 and all(r in rows for r in got)
+    told = mixing.mix(docs, mixing.Targets(fraction=0.5), topic_col="topic").collect()
+    assert {r.topic for r in told} == {"t"} and {r.doc_id for r in told if r.kept} == {r[0] for r in got}

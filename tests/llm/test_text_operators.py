@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from valuelab.llm import langid, licenses, nearcopies, quality, simhash, suffixes
+from valuelab.llm import langid, licenses, quality, simhash, suffixes
 from valuelab.llm.common import components, spanning_labels
 
 SCHEMA = "doc_id long, text string, lang string, source string, count long, id string"
@@ -85,41 +85,12 @@ def test_simhash_nulls_repeats_and_empty(spark):
     assert simhash.drop_near_copies(docs).columns == docs.columns
 
 
-def brute_kept(texts, ids):
-    """Ids whose class (pairs with a five-word Jaccard of 0.8 or more) has no smaller id."""
-    sets = []
-    for t in texts:
-        w = (t or "").lower().split()
-        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
-    near = np.array([[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets])
-    root = spanning_labels(len(sets), *np.nonzero(near))
-    least = {}
-    for i, r in zip(ids, root):
-        least[r] = min(i, least.get(r, i))
-    return {i for i, r in zip(ids, root) if least[r] == i}
-
-
-@pytest.mark.parametrize("tile", [512, 4])
-def test_near_copies_against_brute_force(spark, tile):
-    r = random.Random(8)
-    texts = [None, "", "one two", "one two", "One  TWO", "x " * 40]
-    for _ in range(25):
-        words = [f"w{r.randint(0, 10**6)}" for _ in range(r.randint(30, 200))]
-        texts.append(" ".join(words))
-        for edits in (1, 2, 3, 5, 8):  # similarities from about 0.4 to 0.97
-            changed = list(words)
-            for k in range(edits):
-                changed[r.randrange(len(words))] = f"v{k}"
-            texts.append(" ".join(changed) if edits % 2 else " ".join(changed[edits:]))
-    line = " ".join(f"c{k}" for k in range(30))
-    texts += [f"{line} own{k} words{k} of{k} a{k} text{k} " + " ".join(f"q{k}x{i}" for i in range(40)) for k in range(20)]
-    ids = list(range(len(texts)))
-    r.shuffle(ids)
-    docs = frame(spark, texts, ids)
-    got = {x.doc_id for x in nearcopies.drop_similar(docs, tile=tile).collect()}
-    assert got == brute_kept(texts, ids)
-    assert len(got) < len(simhash.drop_near_copies(docs).collect())
-    assert nearcopies.drop_similar(docs.limit(0)).count() == 0
+def test_kept_documents_have_their_own_columns(spark):
+    rows = [(1, "same words here", 5, "a"), (2, "same words here", 6, "b"), (None, "x", 7, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone long, row string")
+    kept = simhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r)[2:] for r in kept.collect()) == [(5, "a"), (7, "c")]
 
 
 def test_components_of_chains_and_stars(spark):
@@ -182,6 +153,22 @@ def test_repeated_passages_odd_rows(spark):
     assert suffixes.remove_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [250_000, 1])
+def test_texts_under_one_id_lose_their_own_bytes(spark, hot):
+    r = random.Random(3)
+    text = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    passage, other = text(80), text(80)
+    rows = [(1, passage), (5, text(60) + passage + text(30)), (5, text(200)), (5, other), (6, other + text(9)), (6, text(90))]
+    rows += [(5, rows[1][1]), (7, rows[2][1])]
+    want = Counter()
+    for d, t in rows:
+        gone = brute_cut([x for x in rows if x[0] < d] + [(d, t)])[d]
+        want[(d, *gone)] += 1
+    got = suffixes.remove_repeats(frame(spark, [t for _, t in rows], [d for d, _ in rows]), hot=hot).collect()
+    assert Counter((x.id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == want
+    assert sum(x.n_removed > 0 for x in got) == 4
+
+
 def brute_quality(text):
     text = text or ""
     words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text) if w]

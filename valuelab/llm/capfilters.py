@@ -27,14 +27,41 @@ class Code:
     words: int = 512
     mean_filters: float = 10.0
     seed: int = 5
+    #: Up to this length one book of single directions is used, and this cosine is its threshold.
+    short: int = 12
+    short_least: float = 0.766
+    #: Directions that two short vectors at the cosine looked for exceed both, on average.
+    short_common: float = 14.0
 
 
-def codebooks(dim: int, code: Code) -> list[tuple[np.ndarray, list[np.ndarray], float]]:
+def short_book(dim: int, code: Code, least: float) -> np.ndarray:
+    """Directions for short vectors, so many that neighbours exceed ``short_common`` of them.
+
+    In few dimensions the product code's quantile is wide of the mark; a cap of a fixed width
+    is not.  How many directions it takes follows from the share of random ones that a pair at
+    cosine ``least`` exceeds both.
+    """
+    random = np.random.default_rng([code.seed, dim])
+    draws = random.normal(size=(200_000, dim))
+    draws /= np.linalg.norm(draws, axis=1, keepdims=True)
+    first = draws[:, 0] >= code.short_least
+    if dim == 1:
+        return np.array([[1.0], [-1.0]])
+    second = draws[:, 0] * least + draws[:, 1] * np.sqrt(max(0.0, 1 - least * least)) >= code.short_least
+    share = max(float((first & second).mean()), 1e-4)
+    return draws[: min(len(draws), int(np.ceil(code.short_common / share)))]
+
+
+def codebooks(dim: int, code: Code, least: float = 0.98) -> list[tuple[np.ndarray, list[np.ndarray], float]]:
     """For each code its rotation, its codebooks and the least product that counts.
 
+    Vectors of at most ``code.short`` components have one code of one book, :func:`short_book`.
+
     The threshold is the quantile of the products of 2,000 random unit vectors at which
     ``mean_filters`` directions are exceeded on average.
     """
+    if dim <= code.short:
+        return [(np.eye(dim), [short_book(dim, code, least)], code.short_least)]
     cuts = [round(dim * b / code.blocks) for b in range(code.blocks + 1)]
     out = []
     for number in range(code.codes):
@@ -97,27 +124,48 @@ def usable(vectors: DataFrame, vector_col: str, label_col: str):
     )
 
 
-def _assign(dim: int, code: Code):
+def _assign(code: Code, least: float):
+    """(rep, filter) of every direction that a vector exceeds; rows come in order of length."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = codebooks(dim, code)
+        dim, tables = -1, []
+        size = code.words**code.blocks
         for whole in batches:
             for low in range(0, whole.num_rows, 2000):
-                batch = whole.slice(low, 2000)
-                rows = _matrix(batch.column(1))
-                rows /= np.abs(rows).max(axis=1, keepdims=True)
-                rows /= np.linalg.norm(rows, axis=1, keepdims=True)
-                ids = batch.column(0).to_numpy()
-                found = [list_decode(rows @ q, books, least) for q, books, least in tables]
-                size = code.words**code.blocks
-                at = np.concatenate([r for r, _ in found])
-                number = np.concatenate([f + i * size for i, (_, f) in enumerate(found)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at]), pa.array(number)], names=["rep", "filter"]
-                )
+                for batch in _by_length(whole.slice(low, 2000), 1):
+                    rows = _matrix(batch.column(1))
+                    if rows.shape[1] != dim:
+                        dim = rows.shape[1]
+                        tables = codebooks(dim, code, least)
+                    rows /= np.abs(rows).max(axis=1, keepdims=True)
+                    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+                    ids = batch.column(0).to_numpy()
+                    step = max(1, (1 << 22) // max(len(b) for _, books, _ in tables for b in books))
+                    for start in range(0, len(ids), step):
+                        some = rows[start : start + step]
+                        found = [list_decode(some @ q, books, top) for q, books, top in tables]
+                        at = np.concatenate([r for r, _ in found])
+                        number = np.concatenate([f + i * size for i, (_, f) in enumerate(found)])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(ids[start + at]), pa.array(number)], names=["rep", "filter"]
+                        )
 
     return run
 
 
+def _by_length(rows, column: int):
+    """The rows of a batch or table, those of one list length at a time."""
+    values = rows.column(column)
+    sizes = np.diff((values.chunk(0) if isinstance(values, pa.ChunkedArray) else values).offsets.to_numpy())
+    found = np.unique(sizes)
+    if len(found) == 1:
+        yield rows
+        return
+    for size in found.tolist():
+        part = rows.take(pa.array(np.flatnonzero(sizes == size)))
+        yield part.combine_chunks() if isinstance(part, pa.Table) else part
+
+
 def _padded(column: pa.Array) -> np.ndarray:
     """A list column as a matrix, short rows filled with -1."""
     offsets = column.offsets.to_numpy()
@@ -154,7 +202,8 @@ def _verify(least: float):
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in complete_runs(batches, "run", 20_000):
+        whole = complete_runs(batches, "run", 20_000)
+        for piece in (part for table in whole for part in _by_length(table, table.column_names.index("vector"))):
             ids, n = piece["rep"].to_numpy(), piece["n"].to_numpy()
             runs, own = piece["run"].to_numpy(), piece["filter"].to_numpy()
             side = piece["side"].to_numpy()
@@ -215,8 +264,9 @@ def link_vectors(
 
     Rows link if their labels are equal and not null and their cosine, in double precision, is
     ``least`` or more.  A null vector or label, a zero vector, and one with a null or non-finite
-    component link with nothing and stand alone.  Vectors of other lengths than the rest form
-    spaces of their own.  Rows with a null id count as links of others but have no component.
+    component link with nothing and stand alone.  Vectors of another length are a space of their
+    own, of however many lengths there are.  Rows with a null id count as links of others and
+    have the component of their class, null where all ids of it are.
     Equal vectors are folded first and count with their number.  An empty table gives an
     empty result.
 
@@ -224,8 +274,8 @@ def link_vectors(
     share a filter (and label) meet in a run.  Filters that one vector alone exceeds are dropped
     by a count before vectors travel.  A run of over ``tile`` vectors is cut into chunks that meet
     pair by pair.  A pair meets at many filters; it is counted at its first common one.  At the
-    threshold itself a pair has no common filter with a probability of about 1 in 1,000
-    (measured in the tests); every pair found is exact.
+    threshold itself a pair has no common filter with a probability of about 1 in 1,000, also
+    in few dimensions (measured in the tests); every pair found is exact.
     """
     spark = vectors.sparkSession
     source = vectors.select(
@@ -240,18 +290,14 @@ def link_vectors(
         .agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
         .withColumn("rep", F.xxhash64("label", "vector"))
     )
-    dims = [r[0] for r in folded.select(F.size("vector")).distinct().limit(101).collect()]
-    if len(dims) > 100:
-        raise ValueError("over 100 vector lengths in one table")
-    assigned = None
-    for dim in sorted(dims):
-        rows = folded.where(F.size("vector") == dim).select("rep", "vector")
-        found = rows.mapInArrow(_assign(dim, code), "rep long, filter long")
-        assigned = found if assigned is None else assigned.unionByName(found)
-    if assigned is None:
+    shortest, longest = folded.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
+    if shortest is None:
         linked = spark.createDataFrame([], "rep long, links long, component_id long")
     else:
-        linked = _links(folded, assigned, least, tile)
+        rows = folded.select("rep", "vector")
+        if shortest < longest:  # each task makes the books of a length once
+            rows = rows.sortWithinPartitions(F.size("vector"))
+        linked = _links(folded, rows.mapInArrow(_assign(code, least), "rep long, filter long"), least, tile)
     classes = folded.join(linked, "rep", "left").select(
         F.col("label").alias("_l"),
         F.col("vector").alias("_v"),
@@ -275,8 +321,8 @@ def _links(folded: DataFrame, assigned: DataFrame, least: float, tile: int) -> D
     """``rep``, ``links`` and ``component_id`` of the distinct vectors that have a link."""
     spark = folded.sparkSession
     spread = staged(
-        assigned.join(folded.select("rep", "label"), "rep").select(
-            "rep", "filter", F.xxhash64("label", "filter").alias("key")
+        assigned.join(folded.select("rep", "label", F.size("vector").alias("dim")), "rep").select(
+            "rep", "filter", F.xxhash64("label", "dim", "filter").alias("key")
         )
     )
     shared = spread.groupBy("key").count().where("count > 1")
@@ -304,18 +350,14 @@ def _links(folded: DataFrame, assigned: DataFrame, least: float, tile: int) -> D
         .select("run", "rep", "filter", "side", "vector", "n", "filters")
         .mapInArrow(_verify(least), "node long, other long, links long")
     )
-    names = folded.select("rep", F.coalesce("first", F.lit((1 << 63) - 1)).alias("first"))
     links = found.groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("links"))
-    edges = (
-        found.where("node <> other")
-        .select("node", "other")
-        .distinct()
-        .join(names.select(F.col("rep").alias("node"), F.col("first").alias("a")), "node")
-        .join(names.select(F.col("rep").alias("other"), F.col("first").alias("b")), "other")
-    )
-    groups = components(edges.select("a", "b"))
+    edges = found.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    # Components are of vectors; their name is the least id in them, null if all ids are.
+    groups = components(edges)
+    inside = groups.join(folded.select(F.col("rep").alias("node"), "first"), "node")
+    named = inside.groupBy("component").agg(F.min("first").alias("component_id"))
     return (
-        links.join(names, "rep")
-        .join(groups, F.col("first") == F.col("node"), "left")
-        .select("rep", "links", F.col("component").alias("component_id"))
+        links.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+        .join(named, "component", "left")
+        .select("rep", "links", "component_id")
     )

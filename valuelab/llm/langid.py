@@ -18,7 +18,8 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the rows a model is fitted on, ``sample_bytes`` their total size.
+    """``sample`` and ``calibration`` bound the texts a model is fitted on, ``sample_bytes`` their
+    total size, ``longest`` the bytes of one of them (longer texts are not fitted on).
 
     Everything else (document frequencies, predictions) covers all rows and whole texts.
     """
@@ -28,6 +29,7 @@ class Settings:
     sample: int = 3000
     calibration: int = 1000
     sample_bytes: int = 24_000_000
+    longest: int = 200_000
     epochs: int = 3
     alpha: float = 0.5
     beta: float = 1.0
@@ -137,7 +139,11 @@ def _sample(rows: DataFrame, settings: Settings) -> list[tuple[bytes, str]]:
     text that occurs again is taken once.
     """
     each = settings.sample + settings.calibration
-    counts = rows.groupBy("lang").count().orderBy("lang").limit(1001).collect()
+    mark = F.xxhash64(F.lit(settings.seed), "text")
+    fit = rows.where(F.octet_length("text") <= settings.longest).select("text", "lang", mark.alias("mark"))
+    # Copies count once: by the hash of the text, which is all that is shuffled.
+    texts = fit.select("lang", "mark").distinct()
+    counts = texts.groupBy("lang").count().orderBy("lang").limit(1001).collect()
     if len(counts) > 1000:
         raise ValueError("over 1,000 languages: set a coarser label")
     if not counts:
@@ -147,11 +153,11 @@ def _sample(rows: DataFrame, settings: Settings) -> list[tuple[bytes, str]]:
     # the share and a little more, so few rows reach the driver, whatever their number was.
     part = {lang: min(1.0, (share + 4 * share**0.5 + 4) / n) for lang, n in counts}
     listed = F.create_map(*[F.lit(x) for pair in part.items() for x in pair])
-    mark = F.xxhash64(F.lit(settings.seed), "text")
-    place = F.shiftrightunsigned(mark, 11).cast("double") / F.lit(2.0**53)
+    place = F.shiftrightunsigned("mark", 11).cast("double") / F.lit(2.0**53)
     picked = (
-        rows.where((place < F.element_at(listed, F.col("lang"))) & (F.octet_length("text") <= 200_000))
-        .select(F.col("text").cast("binary").alias("text"), "lang", mark.alias("mark"))
+        fit.where(place < F.element_at(listed, F.col("lang")))
+        .dropDuplicates(["lang", "mark"])
+        .select(F.col("text").cast("binary").alias("text"), "lang", "mark")
         .collect()
     )
     out: list[tuple[bytes, str]] = []

@@ -48,17 +48,24 @@ def topic(text: str = "text", cues=TOPIC_CUES) -> Column:
     return out.otherwise(F.lit(GENERAL))
 
 
+def dimensions(
+    text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None
+) -> list[Column]:
+    """``source``, ``lang`` and ``topic`` of a row; the topic by cues unless a column gives it."""
+    given = [F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in (source_col, lang_col)]
+    label = topic(text_col) if topic_col is None else F.coalesce(F.col(topic_col).cast("string"), F.lit(MISSING))
+    return [c.alias(d) for c, d in zip([*given, label], DIMENSIONS)]
+
+
 def weighed(
-    docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", lang_col="lang"
+    docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", lang_col="lang", topic_col=None
 ) -> DataFrame:
     """``doc_id``, ``source``, ``lang``, ``topic`` and ``tokens`` (words, one at least) of each row."""
     text = F.col(text_col)
     words = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     return docs.select(
         F.col(id_col).alias("doc_id"),
-        F.coalesce(F.col(source_col).cast("string"), F.lit(MISSING)).alias("source"),
-        F.coalesce(F.col(lang_col).cast("string"), F.lit(MISSING)).alias("lang"),
-        topic(text_col).alias("topic"),
+        *dimensions(text_col, source_col, lang_col, topic_col),
         F.greatest(F.coalesce(words, F.lit(0)), F.lit(1)).cast("long").alias("tokens"),
     )
 
@@ -156,6 +163,7 @@ def mix(
     source_col: str = "source",
     lang_col: str = "lang",
     broadcast_cells: int = 10_000,
+    topic_col: str | None = None,
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``source``, ``lang``, ``topic``, ``tokens``,
     ``probability`` and ``kept``.
@@ -164,9 +172,10 @@ def mix(
     its weight on average; a document is kept if its ``unit`` number is below it.  Null
     source or language is a value of its own, a null text has one token and no topic, rows
     that repeat an id are kept or left together.  An empty table gives an empty result.
+    The topic is the first cue that the text holds, or ``topic_col`` where a label is at hand.
     Cells are joined by broadcast only after a count shows at most ``broadcast_cells``.
     """
-    rows = staged(weighed(docs, id_col, text_col, source_col, lang_col))
+    rows = staged(weighed(docs, id_col, text_col, source_col, lang_col, topic_col))
     cells = rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     raked = staged(rake(staged(cells), targets))
     chances = raked.select(*DIMENSIONS, F.least(F.lit(1.0), F.col("weight") / F.col("tokens")).alias("probability"))
@@ -196,20 +205,12 @@ def sample_mix(docs: DataFrame, targets: Targets = Targets(), **columns) -> Data
     )
     raked = staged(rake(staged(cells), targets))
     chances = raked.select(
-        *[F.col(d).alias(f"_{d}") for d in DIMENSIONS],
-        F.least(F.lit(1.0), F.col("weight") / F.col("tokens")).alias("_chance"),
+        *DIMENSIONS, F.least(F.lit(1.0), F.col("weight") / F.col("tokens")).alias("chance")
     )
     if raked.limit(limit + 1).count() <= limit:
         chances = F.broadcast(chances)
-    marked = docs.withColumns(
-        {
-            "_source": F.coalesce(F.col(how["source_col"]).cast("string"), F.lit(MISSING)),
-            "_lang": F.coalesce(F.col(how["lang_col"]).cast("string"), F.lit(MISSING)),
-            "_topic": topic(how["text_col"]),
-        }
-    )
-    return (
-        marked.join(chances, [f"_{d}" for d in DIMENSIONS])
-        .where(unit(how["id_col"], targets.seed) < F.col("_chance"))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    # One struct holds the caller's columns, so none of their names can clash.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    cell = {k: v for k, v in how.items() if k != "id_col"}
+    marked = docs.select(row, *dimensions(**cell), unit(how["id_col"], targets.seed).alias("unit"))
+    return marked.join(chances, list(DIMENSIONS)).where("unit < chance").select("row.*")

@@ -208,5 +208,7 @@ def drop_near_copies(
     Rows that share that smallest id all stay; so do rows whose component is null.
     """
     groups = simhash_groups(docs, id_col, text_col, **how)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    # One struct holds the caller's columns, so none of their names can clash.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return packed.join(gone, F.col("row")[id_col].cast("long") == F.col("doc_id"), "left_anti").select("row.*")

@@ -146,13 +146,13 @@ def _repeated(hot: int):
     return run
 
 
-CONTEXT = "rank long, doc long, pos int, mask int, context binary"
+CONTEXT = "rank long, doc long, key long, pos int, mask int, context binary"
 
 
-def _contexts(id_at: int, text_at: int, pos_at: int):
+def _contexts(id_at: int, text_at: int, key_at: int, pos_at: int):
     """Second round: the 25 bytes before and the 25 bytes after each kept anchor.
 
-    One row per anchor: rank, doc, pos, ``mask`` (bit r: a passage may start r bytes before
+    One row per anchor: rank, doc, key (tells apart texts that share a doc), pos, ``mask`` (bit r: a passage may start r bytes before
     the anchor) and those 50 bytes; the 25 bytes between them are what the rank names.  If another document of the batch with a smaller id has the same
     bytes there, the row is settled at once: it goes out without bytes, its mask the places
     to remove.
@@ -160,7 +160,7 @@ def _contexts(id_at: int, text_at: int, pos_at: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, text_at):
-            ids = batch.column(id_at).to_numpy()
+            ids, keys = batch.column(id_at).to_numpy(), batch.column(key_at).to_numpy()
             data, at = text_buffer(batch.column(text_at))
             lists = batch.column(pos_at)
             row = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
@@ -171,13 +171,13 @@ def _contexts(id_at: int, text_at: int, pos_at: int):
             padded = np.concatenate([np.zeros(HALF, np.uint8), data, np.zeros(LENGTH, np.uint8)])
             for low in range(0, len(pos), STEP):
                 yield _context_rows(
-                    padded, at, ids, row[low : low + STEP], pos[low : low + STEP], size[low : low + STEP]
+                    padded, at, ids, keys, row[low : low + STEP], pos[low : low + STEP], size[low : low + STEP]
                 )
 
     return run
 
 
-def _context_rows(padded, at, ids, row, pos, size) -> pa.RecordBatch:
+def _context_rows(padded, at, ids, keys, row, pos, size) -> pa.RecordBatch:
     begin = at[row] + pos
     # Bytes of other texts count as zero, so that equal contexts compare equal.
     offset = np.r_[np.arange(-HALF, 0), np.arange(HALF, LENGTH)]
@@ -204,11 +204,12 @@ def _context_rows(padded, at, ids, row, pos, size) -> pa.RecordBatch:
         [
             pa.array(rank[keep]),
             pa.array(doc[keep], pa.int64()),
+            pa.array(keys[row][keep], pa.int64()),
             pa.array(pos[keep].astype(np.int32)),
             pa.array(mask[keep].astype(np.int32)),
             pa.array(body, pa.binary()),
         ],
-        names=["rank", "doc", "pos", "mask", "context"],
+        names=["rank", "doc", "key", "pos", "mask", "context"],
     )
 
 
@@ -219,7 +220,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _passages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Third round: a passage is named by the pair of its anchor's rank and the rank of its other
-    25 bytes; the least document with a pair keeps it.  Gives (doc, pos, mask) of what goes."""
+    25 bytes; the least document with a pair keeps it.  Gives (doc, key, pos, mask) of what goes."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
@@ -265,47 +266,49 @@ def _passages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(doc[own][hit]),
+                part["key"].chunk(0).filter(pa.array(hit)),
                 part["pos"].chunk(0).filter(pa.array(hit)),
                 pa.array(out[hit].astype(np.int32)),
             ],
-            names=["doc", "pos", "mask"],
+            names=["doc", "key", "pos", "mask"],
         )
 
 
 def _each_passage(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, doc, pos, bit) of every passage of the contexts: its two ranks and its place."""
+    """Rows (a, b, doc, key, pos, bit) of every passage of the contexts: its two ranks and its place."""
     for batch in batches:
         for low in range(0, batch.num_rows, 4096):
             part = batch.slice(low, 4096)
-            done = np.asarray(part.column(4).is_null())
-            rank, doc, pos, mask = (part.column(i).to_numpy() for i in range(4))
+            done = np.asarray(part.column(5).is_null())
+            rank, doc, key, pos, mask = (part.column(i).to_numpy() for i in range(5))
             rows = np.flatnonzero(~done)
-            around = ranks(_matrix(part.column(4).take(pa.array(rows))))
+            around = ranks(_matrix(part.column(5).take(pa.array(rows))))
             has, r = np.nonzero(mask[rows, None] >> np.arange(PLACES) & 1)
-            a, b = rank[rows[has]], around[has, HALF - r]
+            a, b, at = rank[rows[has]], around[has, HALF - r], rows[has]
+            none = np.zeros(done.sum(), np.int64)
             parts = [
-                (a, b.view(np.int64), doc[rows[has]], pos[rows[has]], 1 << r),
-                (np.zeros(done.sum(), np.int64), np.zeros(done.sum(), np.int64), doc[done], pos[done], -mask[done]),
+                (a, b.view(np.int64), doc[at], key[at], pos[at], 1 << r),
+                (none, none, doc[done], key[done], pos[done], -mask[done]),
             ]
             for x in parts:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v) for v in x[:3]] + [pa.array(np.asarray(v, np.int32)) for v in x[3:]],
-                    names=["a", "b", "doc", "pos", "bit"],
+                    [pa.array(v) for v in x[:4]] + [pa.array(np.asarray(v, np.int32)) for v in x[4:]],
+                    names=["a", "b", "doc", "key", "pos", "bit"],
                 )
 
 
 def _hot_masks(contexts: DataFrame) -> DataFrame:
-    """(doc, pos, mask) for anchors of very frequent ranks, by grouping single passages.
+    """(doc, key, pos, mask) for anchors of very frequent ranks, by grouping single passages.
 
     The least document of a passage is a combining aggregate, and it returns to the rows by a
     join whose large side Spark may split, so no task holds all rows of such a rank.
     """
-    each = staged(contexts.mapInArrow(_each_passage, "a long, b long, doc long, pos int, bit int"))
+    each = staged(contexts.mapInArrow(_each_passage, "a long, b long, doc long, key long, pos int, bit int"))
     open_ = each.where("bit > 0")
     least = open_.groupBy("a", "b", "bit").agg(F.min("doc").alias("least"))
-    found = open_.join(least, ["a", "b", "bit"]).where("doc > least").select("doc", "pos", "bit")
-    settled = each.where("bit < 0").select("doc", "pos", (-F.col("bit")).alias("bit"))
-    return found.unionByName(settled).groupBy("doc", "pos").agg(F.bit_or("bit").alias("mask"))
+    found = open_.join(least, ["a", "b", "bit"]).where("doc > least").select("doc", "key", "pos", "bit")
+    settled = each.where("bit < 0").select("doc", "key", "pos", (-F.col("bit")).alias("bit"))
+    return found.unionByName(settled).groupBy("doc", "key", "pos").agg(F.bit_or("bit").alias("mask"))
 
 
 def _cut(names: list[str], text_at: int, marks_at: int):
@@ -380,8 +383,8 @@ def remove_repeats(
     Strings are judged on the input and never cross documents.  Columns ``id``, ``text`` and
     ``rest`` (a struct of the other columns), then ``n_bytes``, ``n_removed``, ``n_spans``,
     ``kept_sha256`` and ``spans`` (byte ranges removed).  A null text is empty and stays null.
-    Rows with one id do not remove from each other; a row with a null id neither removes nor
-    loses.  Kept bytes that no longer form a whole character are left out of the text, not
+    Rows with one id do not remove from each other, each loses what is repeated in its own text;
+    a row with a null id neither removes nor loses.  Kept bytes that no longer form a whole character are left out of the text, not
     out of the hash.  An empty table gives an empty result.
 
     Prefix doubling, cut short: ranks of 8, 16 and 25 bytes are named inside each text, so
@@ -398,6 +401,13 @@ def remove_repeats(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest")
     )
     named = plain.where("id is not null")
+    # Texts that share an id are told apart by a hash; where none do, which a combining count
+    # over ids shows, the key is zero throughout and takes no room.
+    mark = F.xxhash64("text")
+    shared = (
+        named.select("id", mark.alias("m")).groupBy("id").agg(F.min("m").alias("a"), F.max("m").alias("b")).where("a <> b")
+    )
+    named = named.withColumn("key", F.lit(0).cast("long") if shared.isEmpty() else mark)
     first = named.select("id", "text").mapInArrow(_first_round, "rank long, doc long, place long")
     kept = staged(
         first.repartition(tasks(spark), "rank").mapInArrow(
@@ -408,21 +418,24 @@ def remove_repeats(
     frequent = kept.where("pos < 0").select("rank").distinct()
     around = (
         named.join(places, named["id"] == places["doc"])
-        .drop("doc")
+        .select("id", "text", "key", "places")
         .sortWithinPartitions("id")
-        .mapInArrow(_contexts(0, 1, 3), CONTEXT)
+        .mapInArrow(_contexts(0, 1, 2, 3), CONTEXT)
     )
     has_frequent = not frequent.isEmpty()
     normal = around.join(frequent, "rank", "left_anti") if has_frequent else around
-    route = F.expr("if(context is null, xxhash64(doc, pos), rank)")
+    route = F.expr("if(context is null, xxhash64(doc, key, pos), rank)")
     marks = staged(
-        normal.repartition(tasks(spark), route).mapInArrow(_passages, "doc long, pos int, mask int")
+        normal.repartition(tasks(spark), route).mapInArrow(_passages, "doc long, key long, pos int, mask int")
     )
     if has_frequent:
         marks = marks.unionByName(_hot_masks(around.join(frequent, "rank", "left_semi")))
-    marked = marks.groupBy("doc").agg(F.collect_list(F.struct("pos", "mask")).alias("marks"))
+    marked = (
+        marks.groupBy("doc", F.col("key").alias("of")).agg(F.collect_list(F.struct("pos", "mask")).alias("marks"))
+    )
     empty = F.expr("cast(array() as array<struct<pos: int, mask: int>>)")
-    joined = named.join(marked, named["id"] == marked["doc"], "left").select(
+    own = (named["id"] == marked["doc"]) & (named["key"] == marked["of"])
+    joined = named.join(marked, own, "left").select(
         "id", "text", "rest", F.coalesce("marks", empty).alias("marks")
     )
     nameless = plain.where("id is null").withColumn("marks", empty)

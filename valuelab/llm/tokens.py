@@ -51,9 +51,12 @@ class ByteEncoder:
         )
 
     def encode(self, text: str) -> np.ndarray:
-        if self.special.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
+        if not self.special.search(text):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
+            except ValueError:
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def _byte_letters() -> dict[str, int]:
