@@ -856,6 +856,65 @@ error AS (SELECT booking_id, distance_km_clean AS x, basket_value - intercept -
         "round(e * e / (2 * mse) * h / (1 - h) ** 2, 9) AS cooks_d FROM error",
         line,
     )
+    two = """
+ab AS (SELECT dataset, basket_value AS y, distance_km_clean AS a, estimated_duration_min AS b FROM filled
+  WHERE basket_value IS NOT NULL AND distance_km_clean IS NOT NULL AND estimated_duration_min IS NOT NULL),
+m AS (SELECT count(*)::DOUBLE AS n, avg(y) AS ym, avg(a) AS am, avg(b) AS bm, var_pop(y) AS yy, var_pop(a) AS aa,
+    var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_
+  FROM ab WHERE dataset = 'Train'),
+coef AS (SELECT *, ay / aa AS s1, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS s2,
+  (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS t2 FROM m),
+guess AS (SELECT dataset, y, ym + s1 * (a - am) AS p1, ym + s2 * (a - am) + t2 * (b - bm) AS p2 FROM ab, coef),
+met AS (SELECT step, dataset, count(*) AS n, 1 - avg((y - p) ** 2) / var_pop(y) AS r2, sqrt(avg((y - p) ** 2)) AS rmse,
+    avg(abs(y - p)) AS mae, sum((y - p) ** 2) AS sse, var_pop(y) * count(*) AS sst
+  FROM (SELECT 1 AS step, dataset, y, p1 AS p FROM guess UNION ALL SELECT 2, dataset, y, p2 FROM guess) GROUP BY 1, 2),
+adj AS (SELECT *, 1 - (1 - r2) * (n - 1) / (n - step - 1) AS adj FROM met)"""
+    sides = ", ".join(
+        f"{x}.n AS n_{side}, {_r(f'{x}.r2', f'r2_{side}', 9)}, {_r(f'{x}.adj', f'adj_r2_{side}', 9)}, "
+        f"{_r(f'{x}.rmse', f'rmse_{side}', 4)}, {_r(f'{x}.mae', f'mae_{side}', 4)}"
+        for x, side in (("tr", "train"), ("te", "test"))
+    )
+    along = "OVER (ORDER BY tr.step)"
+    q["mlr_two"] = on(
+        "filled",
+        f"""
+SELECT CAST(tr.step AS INTEGER) AS step, CAST(tr.step AS INTEGER) AS n_terms, {sides},
+  round(tr.adj - lag(tr.adj) {along}, 9) AS adj_r2_gain, round(lag(te.rmse) {along} - te.rmse, 4) AS rmse_test_gain,
+  round((coalesce(lag(tr.sse) {along}, tr.sst) - tr.sse) / (tr.sse / (tr.n - tr.step - 1)), 4) AS f_value,
+  CAST(1 AS INTEGER) AS f_df1, CAST(tr.n - tr.step - 1 AS BIGINT) AS f_df2
+FROM adj tr JOIN adj te ON tr.step = te.step AND tr.dataset = 'Train' AND te.dataset = 'Test'""",
+        two,
+    )
+    q["mlr_robust_one"] = on(
+        "filled",
+        """
+SELECT term, round(b, 4) AS estimate, round(se, 4) AS std_error, round(robust, 4) AS robust_error, round(b / robust, 4) AS robust_t
+FROM (SELECT unnest(['(Intercept)', 'distance_km_clean']) AS term, unnest([any_value(intercept), any_value(slope)]) AS b,
+    unnest([sqrt(any_value(mse) * (1 / any_value(n) + any_value(xm) ** 2 / any_value(sxx))), sqrt(any_value(mse) / any_value(sxx))]) AS se,
+    unnest([sqrt(any_value(n / (n - 2)) * sum((e * (1 / n - xm * (x - xm) / sxx)) ** 2)),
+      sqrt(any_value(n / (n - 2)) * sum((e * (x - xm) / sxx) ** 2))]) AS robust
+  FROM error, line)""",
+        line,
+    )
+    q["reset_one"] = on(
+        "filled",
+        """
+SELECT CAST(n AS BIGINT) AS n, CAST(1 AS INTEGER) AS df1, CAST(n - 3 AS BIGINT) AS df2, round((one - two) / (two / (n - 3)), 4) AS f_value
+FROM (SELECT n, n * (yy - ay * ay / aa) AS one,
+    n * (yy - (ay * ay * bb - 2 * ay * by_ * ab + by_ * by_ * aa) / (aa * bb - ab * ab)) AS two
+  FROM (SELECT count(*)::DOUBLE AS n, var_pop(y) AS yy, var_pop(z) AS aa, var_pop(z * z) AS bb, covar_pop(z, z * z) AS ab,
+      covar_pop(z, y) AS ay, covar_pop(z * z, y) AS by_
+    FROM (SELECT basket_value AS y, distance_km_clean - xm AS z FROM filled, line WHERE dataset = 'Train')))""",
+        line,
+    )
+    q["collinearity_pair"] = on(
+        "filled",
+        """
+SELECT CAST(j AS INTEGER) AS component, round(1 - s * r, 6) AS eigenvalue, round(sqrt((1 + r) / (1 - s * r)), 6) AS condition_index,
+  term, round((1 + s * r) / 2, 6) AS share
+FROM (SELECT abs(corr(distance_km_clean, estimated_duration_min)) AS r FROM filled WHERE dataset = 'Train'),
+  (VALUES (1, -1), (2, 1)) AS c(j, s), (VALUES ('distance_km_clean'), ('estimated_duration_min')) AS t(term)""",
+    )
     odds = """
 odds AS (SELECT service_type AS level, avg(high_value) AS p, sum(high_value) / (count(*) - sum(high_value)) AS o
   FROM labelled WHERE dataset = 'Train' GROUP BY 1),

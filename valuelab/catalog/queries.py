@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .. import plans, sources
 from ..functions import parse_minute
-from ..models import evaluate, linear, logistic, tree
+from ..models import evaluate, linear, logistic, moments, tree
 from ..operators import clean, dedupe, impute, missing, plotdata, profile, reshape, split, summarise
 from ..operators.quantiles import quantiles_long
 from ..operators.split import TRAIN
@@ -315,6 +315,50 @@ def mlr_nested(spark: SparkSession, sf: str) -> DataFrame:
     return linear.nested_regressions(_modelling(spark, sf), L.target, L.nested_predictors)
 
 
+TWO = ((L.clean_distance,), (L.duration,))
+
+
+def mlr_two(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested steps on one, then two numbers; the chance of the F value is left to the tests."""
+    steps = linear.nested_regressions(_filled(spark, sf), L.target, TWO)
+    return rounded(steps.drop("p_value"), r2_train=9, r2_test=9, adj_r2_train=9, adj_r2_test=9, adj_r2_gain=9, rmse_train=4, rmse_test=4, mae_train=4, mae_test=4, rmse_test_gain=4, f_value=4)
+
+
+def _train_moments(spark: SparkSession, sf: str, *predictors: str) -> tuple[DataFrame, moments.Moments]:
+    train = sources.staged(_filled(spark, sf).where(F.col("dataset") == TRAIN).select(L.target, *predictors))
+    return train, moments.collect_moments(train, linear.fit_design(train, predictors), L.target)
+
+
+def mlr_robust(spark: SparkSession, sf: str) -> DataFrame:
+    """Coefficients of the full model with usual and sandwich errors."""
+    return moments.robust_coefficients(*_train_moments(spark, sf, *L.predictors))
+
+
+def mlr_robust_one(spark: SparkSession, sf: str) -> DataFrame:
+    told = moments.robust_coefficients(*_train_moments(spark, sf, L.clean_distance))
+    return rounded(told.drop("robust_p"), 4)
+
+
+def reset_test(spark: SparkSession, sf: str) -> DataFrame:
+    """Linearity of the full model: squares and cubes of the fitted value."""
+    return moments.reset_test(*_train_moments(spark, sf, *L.predictors))
+
+
+def reset_one(spark: SparkSession, sf: str) -> DataFrame:
+    told = moments.reset_test(*_train_moments(spark, sf, L.clean_distance), powers=(2,))
+    return rounded(told.drop("p_value"), 4)
+
+
+def collinearity(spark: SparkSession, sf: str) -> DataFrame:
+    """Near dependences of the full model's columns, and the terms that take part."""
+    return moments.collinearity(*_train_moments(spark, sf, *L.predictors))
+
+
+def collinearity_pair(spark: SparkSession, sf: str) -> DataFrame:
+    told = moments.collinearity(*_train_moments(spark, sf, L.clean_distance, L.duration), centred=True)
+    return rounded(told)
+
+
 def mlr_coefficients(spark: SparkSession, sf: str) -> DataFrame:
     rows = _modelling(spark, sf)
     train = rows.where(F.col("dataset") == TRAIN)
@@ -692,6 +736,13 @@ def queries() -> dict[str, Query]:
         "high_value_label": high_value_label,
         "mlr_nested": mlr_nested,
         "mlr_coefficients": mlr_coefficients,
+        "mlr_two": mlr_two,
+        "mlr_robust": mlr_robust,
+        "mlr_robust_one": mlr_robust_one,
+        "reset_test": reset_test,
+        "reset_one": reset_one,
+        "collinearity": collinearity,
+        "collinearity_pair": collinearity_pair,
         "regression_metrics": regression_metrics,
         "residual_bins": residual_bins,
         "breusch_pagan": breusch_pagan,

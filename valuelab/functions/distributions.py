@@ -1,4 +1,4 @@
-"""Tail probabilities of two distributions, for a handful of numbers per report."""
+"""Tail probabilities of a few distributions, for a handful of numbers per report."""
 
 from __future__ import annotations
 
@@ -71,3 +71,40 @@ def chi2_tail(x: float, df: float) -> float:
         if abs(d * c - 1) < 1e-15:
             return front * h
     raise ArithmeticError(f"the tail of chi-squared at {x} with {df} degrees did not settle")
+
+
+def beta_share(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function I_x(a, b), by its continued fraction."""
+    if x <= 0.0:
+        return 0.0
+    if x >= 1.0:
+        return 1.0
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - beta_share(1.0 - x, b, a)
+    front = math.exp(
+        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    )
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1) or tiny)
+    h = d
+    for m in range(1, 100_000):
+        for step in (
+            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
+        ):
+            d = 1.0 / (1.0 + step * d or tiny)
+            c = 1.0 + step / c or tiny
+            h *= c * d
+        if abs(c * d - 1.0) < 1e-15:
+            return front * h / a
+    raise ArithmeticError(f"the incomplete beta function at {x}, {a}, {b} did not settle")
+
+
+def f_tail(x: float, df1: float, df2: float) -> float:
+    """P(F > x) for an F variable."""
+    return beta_share(df2 / (df2 + df1 * x), df2 / 2, df1 / 2) if x > 0 else 1.0
+
+
+def t_tail_two_sided(t: float, df: float) -> float:
+    """P(|T| > |t|) for Student's t."""
+    return beta_share(df / (df + t * t), df / 2, 0.5)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.ml.stat import Correlation, Summarizer
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.distributions import chi2_tail
 from ..operators.split import TEST, TRAIN
-from ..sources import staged
+from . import moments
 from .evaluate import regression_metrics
 
 
@@ -136,27 +136,24 @@ def coefficients(df: DataFrame, model: LinearRegressionModel, names: Sequence[st
 def nested_regressions(
     df: DataFrame, target: str, groups: Sequence[Sequence[str]], side: str = "dataset"
 ) -> DataFrame:
-    """Models on growing predictor groups: metrics on both sides and gains per step.
+    """Models on growing predictor groups: metrics on both sides, gains and partial F tests per step.
 
-    Predictors are encoded once, into a table that every fit reads; a step uses a
-    slice of the encoded vector.  All steps predict side by side, so one more pass
-    yields every metric.
+    One pass over the training rows gives the cross products of all columns; sweeping them,
+    column after column, yields the model of every step.  All steps predict side by side, as
+    built-in expressions, so one more pass yields every metric.  ``n_terms`` counts the columns
+    estimated: one that adds nothing to those before it is passed over.  ``f_value`` and
+    ``p_value`` say whether a step's columns explain more than chance would, beyond the step before.
     """
     everything = [p for g in groups for p in g]
     train = df.where(F.col(side) == TRAIN)
     design = fit_design(train, everything)
     places = design.positions()
-    encoded = staged(design.apply(df).select(target, side, "features"))
-    used: list[int] = []
-    scored, models = encoded, {}
-    for step, group in enumerate(groups, start=1):
-        used = used + [i for p in group for i in places[p]]
-        cut = VectorSlicer(inputCol="features", outputCol=f"__f{step}", indices=used)
-        model = fit_line(
-            cut.transform(encoded.where(F.col(side) == TRAIN)), target, f"__f{step}", f"__p{step}"
-        )
-        scored = model.transform(cut.transform(scored)).drop(f"__f{step}")
-        models[str(step)] = (f"__p{step}", len(used))
+    sums = moments.collect_moments(train, design, target)
+    fits = sums.fits([[i for p in group for i in places[p]] for group in groups])
+    models = {str(k): (f"__p{k}", len(fit.used)) for k, fit in enumerate(fits, start=1)}
+    scored = df.where(design.scorable()).select(
+        side, target, *[fit.predict().alias(name) for fit, (name, _) in zip(fits, models.values())]
+    )
     m = regression_metrics(scored, target, models, [side])
     steps = m.groupBy(F.col("model").cast("int").alias("step")).agg(
         *[
@@ -165,25 +162,43 @@ def nested_regressions(
             for c in ("n", "r2", "adj_r2", "rmse", "mae")
         ]
     )
-    terms = F.create_map(*[F.lit(x) for k, (_, n) in models.items() for x in (int(k), n)])
+    tests = df.sparkSession.createDataFrame(
+        [
+            (k, len(fit.used), *moments.partial_f(before, fit))
+            for k, (before, fit) in enumerate(zip([None, *fits], fits), start=1)
+        ],
+        "step int, n_terms int, f_value double, f_df1 int, f_df2 bigint, p_value double",
+    )
     along = W.orderBy("step")  # one row per predictor group
-    return steps.select(
-        "step",
-        terms[F.col("step")].alias("n_terms"),
-        *steps.columns[1:],
-        (F.col("adj_r2_train") - F.lag("adj_r2_train").over(along)).alias("adj_r2_gain"),
-        (F.lag("rmse_test").over(along) - F.col("rmse_test")).alias("rmse_test_gain"),
-    ).orderBy("step")
-
-
-def choose_step(steps: DataFrame, min_gain: float = 0.001) -> int:
-    """The last step whose adjusted R2 gain is meaningful, not the largest model by default."""
-    rows = steps.select("step", "adj_r2_gain").orderBy("step").collect()
-    return max(
-        [rows[0]["step"], *[r["step"] for r in rows[1:] if (r["adj_r2_gain"] or 0) >= min_gain]]
+    return (
+        steps.join(tests, "step")
+        .select(
+            "step",
+            "n_terms",
+            *steps.columns[1:],
+            (F.col("adj_r2_train") - F.lag("adj_r2_train").over(along)).alias("adj_r2_gain"),
+            (F.lag("rmse_test").over(along) - F.col("rmse_test")).alias("rmse_test_gain"),
+            *tests.columns[2:],
+        )
+        .orderBy("step")
     )
 
 
+def choose_step(steps: DataFrame, min_gain: float = 0.0, alpha: float = 0.05) -> int:
+    """The last step whose columns explain more than chance would and raise adjusted R2.
+
+    A step counts if its partial F test has a p-value below ``alpha`` and its gain is at least
+    ``min_gain``; otherwise the first step stands, not the largest model by default.
+    """
+    rows = steps.select("step", "adj_r2_gain", "p_value").orderBy("step").collect()
+    good = [
+        r["step"]
+        for r in rows[1:]
+        if r["p_value"] is not None and r["p_value"] < alpha and (r["adj_r2_gain"] or 0) >= max(min_gain, 0.0)
+    ]
+    return max([rows[0]["step"], *good])
+
+
 def breusch_pagan(scored: DataFrame, target: str, prediction: str = "prediction") -> DataFrame:
     """One row: n, df, statistic (n * R2 of squared residuals on the predictors), p_value."""
     squared = scored.withColumn("__e2", F.pow(F.col(target) - F.col(prediction), F.lit(2.0)))
