@@ -342,6 +342,62 @@ labelled AS (
 )"""
 
 
+# Coefficients of the normal quantile by rational functions (Wichura, algorithm AS 241),
+# from the highest power down; numerator and denominator, near the middle and in the tails.
+_MIDDLE = (
+    (2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457,
+     13731.693765509461125, 1971.5909503065514427, 133.14166789178437745, 3.387132872796366608),
+    (5226.495278852854561, 28729.085735721942674, 39307.89580009271061, 21213.794301586595867,
+     5394.1960214247511077, 687.1870074920579083, 42.313330701600911252, 1.0),
+)
+_TAIL = (
+    (7.7454501427834140764e-4, 0.0227238449892691845833, 0.24178072517745061177, 1.27045825245236838258,
+     3.64784832476320460504, 5.7694972214606914055, 4.6303378461565452959, 1.42343711074968357734),
+    (1.05075007164441684324e-9, 5.475938084995344946e-4, 0.0151986665636164571966, 0.14810397642748007459,
+     0.68976733498510000455, 1.6763848301838038494, 2.05319162663775882187, 1.0),
+)
+
+
+def _ratio(parts: tuple, r: str) -> str:
+    """A rational function of ``r`` in nested form."""
+
+    def nested(values: tuple) -> str:
+        out = f"{values[0]!r}::DOUBLE"
+        for v in values[1:]:
+            out = f"({out} * {r} + {v!r}::DOUBLE)"
+        return out
+
+    return f"({nested(parts[0])} / {nested(parts[1])})"
+
+
+def _normal_quantile(p: str) -> str:
+    """The normal quantile of ``p`` for chances between e**-25 and 1 - e**-25."""
+    q = f"({p} - 0.5)"
+    r = f"(sqrt(-ln(least({p}, 1 - {p}))) - 1.6)"
+    middle = f"{q} * {_ratio(_MIDDLE, f'(0.180625 - {q} * {q})')}"
+    return f"CASE WHEN abs({q}) <= 0.425 THEN {middle} ELSE sign({q}) * {_ratio(_TAIL, r)} END"
+
+
+def _type_counts(c: str) -> str:
+    """Numbers of present cells of a text column, and of those that each type holds."""
+    cell = f"trim({c})"
+    day = "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
+    date = f"(regexp_full_match({cell}, '{day}') AND TRY_CAST({cell} AS DATE) IS NOT NULL)"
+    stamp = (
+        f"(regexp_full_match({cell}, '{day}[ T][0-9]{{1,2}}:[0-9]{{2}}(:[0-5][0-9])?') "
+        f"AND TRY_CAST({cell} AS TIMESTAMP) IS NOT NULL)"
+    )
+    fits = {
+        "boolean": f"lower({cell}) IN ('true', 'false', 'yes', 'no')",
+        "integer": f"regexp_full_match({cell}, '[+-]?[0-9]{{1,18}}')",
+        "number": f"TRY_CAST({cell} AS DOUBLE) IS NOT NULL",
+        "date": date,
+        "timestamp": f"({date} OR {stamp})",
+    }
+    counts = ", ".join(f"count(*) FILTER ({cell} <> '' AND {f}) AS \"{t}\"" for t, f in fits.items())
+    return f"SELECT '{c}' AS variable, count(*) FILTER ({cell} <> '') AS n, {counts} FROM bookings"
+
+
 def oracles() -> dict[str, str]:
     melt = _melt(CATEGORICAL, "basket")
     q: dict[str, str] = {}
@@ -925,6 +981,71 @@ base AS (SELECT min(level) AS first, arg_min(o, level) AS o0 FROM odds)"""
         "round(CASE WHEN level = first THEN o0 ELSE o / o0 END, 4) AS odds_ratio FROM odds, base",
         _SCORED + "," + odds,
     )
+    q["firth_odds_one"] = on(
+        "filled",
+        "SELECT CASE WHEN level = first THEN '(Intercept)' ELSE 'service_type_' || level END AS term, "
+        "round(CASE WHEN level = first THEN o0 ELSE o / o0 END, 6) AS odds_ratio FROM half, half_base",
+        _SCORED
+        + """,
+half AS (SELECT service_type AS level, (sum(high_value) + 0.5::DOUBLE) / (count(*) - sum(high_value) + 0.5::DOUBLE) AS o
+  FROM labelled WHERE dataset = 'Train' GROUP BY 1),
+half_base AS (SELECT min(level) AS first, arg_min(o, level) AS o0 FROM half)""",
+    )
+    q["residual_normal_points"] = on(
+        "filled",
+        f"""
+SELECT rank, round({_normal_quantile('p')}, 6) AS expected, round(e, 6) AS observed
+FROM (SELECT rank, e, (rank - 0.5::DOUBLE) / n AS p FROM (SELECT e, n, row_number() OVER (ORDER BY e) AS rank
+    FROM (SELECT basket_value - pred AS e, count(*) OVER () AS n FROM scored WHERE dataset = 'Train'
+      AND basket_value - pred IS NOT NULL))
+  WHERE rank IN (SELECT (2 * j + 1) * (SELECT count(*) FROM scored WHERE dataset = 'Train'
+    AND basket_value - pred IS NOT NULL) // 200 + 1 FROM range(100) AS g(j)))""",
+        _SCORED,
+    )
+    q["auc_interval"] = on(
+        "filled",
+        """
+SELECT CAST(p AS BIGINT) AS n_positive, CAST(n AS BIGINT) AS n_negative, round(auc, 6) AS auc, round(se, 6) AS std_error,
+  round(auc - 1.959963984540054 * se, 6) AS low, round(auc + 1.959963984540054 * se, 6) AS high
+FROM (SELECT count(*) FILTER (high_value = 1) AS p, count(*) FILTER (high_value = 0) AS n,
+    avg(below) FILTER (high_value = 1) AS auc,
+    sqrt(var_samp(below) FILTER (high_value = 1) / count(*) FILTER (high_value = 1)
+      + var_samp(above) FILTER (high_value = 0) / count(*) FILTER (high_value = 0)) AS se
+  FROM (SELECT high_value,
+      (coalesce(sum(1 - high_value) OVER lower, 0) + sum(1 - high_value) OVER same * 0.5::DOUBLE) / sum(1 - high_value) OVER () AS below,
+      (sum(high_value) OVER () - coalesce(sum(high_value) OVER lower, 0) - sum(high_value) OVER same * 0.5::DOUBLE) / sum(high_value) OVER () AS above
+    FROM labelled WHERE dataset = 'Test' AND pred IS NOT NULL
+    WINDOW same AS (PARTITION BY pred),
+      lower AS (ORDER BY pred RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP)))""",
+        _SCORED,
+    )
+    q["row_number"] = on(
+        "basket",
+        "SELECT booking_id, row_number() OVER (ORDER BY ord_a NULLS LAST, ord_b NULLS LAST, ord_c NULLS LAST, "
+        "basket_value NULLS LAST, booking_id NULLS LAST) AS row_number FROM basket",
+    )
+    texts = [
+        "booking_id", "booking_datetime", "customer_segment", "service_type", "city", "payment_method",
+        "booking_channel", "promo_code_used", "discount_amount", "traffic_level", "weather_condition",
+        "cancellation_reason",
+    ]
+    kinds = ("boolean", "integer", "number", "date", "timestamp")
+    guess = " ".join(f"WHEN n > 0 AND \"{t}\" >= 0.9 * n THEN '{t}'" for t in kinds)
+    fit = " ".join(f"WHEN n > 0 AND \"{t}\" >= 0.9 * n THEN \"{t}\"" for t in kinds)
+    q["guess_types"] = on(
+        "bookings",
+        f"SELECT variable, CASE {guess} ELSE 'text' END AS guess, n, CASE {fit} ELSE n END AS n_fit, "
+        f"n - CASE {fit} ELSE n END AS n_rejected FROM ({' UNION ALL '.join(map(_type_counts, texts))})",
+    )
+    q["rejected_cells"] = on(
+        "bookings",
+        "SELECT booking_id, 'discount_amount' AS variable, discount_amount AS cell, 'number' AS wanted FROM bookings "
+        "WHERE trim(discount_amount) <> '' AND TRY_CAST(discount_amount AS DOUBLE) IS NULL UNION ALL "
+        "SELECT booking_id, 'booking_datetime', booking_datetime, 'timestamp' FROM bookings "
+        "WHERE trim(booking_datetime) <> '' AND TRY_CAST(booking_datetime AS TIMESTAMP) IS NULL UNION ALL "
+        "SELECT booking_id, 'payment_method', payment_method, 'boolean' FROM bookings "
+        "WHERE trim(payment_method) <> '' AND lower(trim(payment_method)) NOT IN ('true', 'false', 'yes', 'no')",
+    )
     q["logit_scores_one"] = on(
         "filled",
         "SELECT booking_id, round(p, 5) AS probability, high_value FROM labelled LEFT JOIN odds "

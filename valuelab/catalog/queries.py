@@ -14,8 +14,20 @@ from pyspark.sql import types as T
 
 from .. import plans, sources
 from ..functions import parse_minute
-from ..models import evaluate, linear, logistic, moments, tree
-from ..operators import clean, dedupe, impute, missing, plotdata, profile, reshape, split, summarise
+from ..models import evaluate, linear, logistic, moments, pruning, tree
+from ..operators import (
+    celltypes,
+    clean,
+    dedupe,
+    impute,
+    missing,
+    numbering,
+    plotdata,
+    profile,
+    reshape,
+    split,
+    summarise,
+)
 from ..operators.quantiles import quantiles_long
 from ..operators.split import TRAIN
 from ..sources.bookings import COLUMNS as BOOKING_COLUMNS
@@ -435,6 +447,57 @@ def logit_scores_one(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(evaluate.score_ranking(scored, L.key, "probability", "high_value"), 5)
 
 
+def firth_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Bias-reduced coefficients of the full logistic model."""
+    rows, _ = _labelled(spark, sf)
+    train = rows.where(F.col("dataset") == TRAIN)
+    return logistic.fit_firth(train, "high_value", L.predictors).coefficients(rows)
+
+
+def firth_odds_one(spark: SparkSession, sf: str) -> DataFrame:
+    """One factor: half a row is added to either class of each level."""
+    rows, _ = _labelled(spark, sf)
+    fit = logistic.fit_firth(rows.where(F.col("dataset") == TRAIN), "high_value", [L.service])
+    return rounded(logistic.odds_ratios(fit.coefficients(rows)).select("term", "odds_ratio"))
+
+
+def residual_normal_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Q-Q points of the fixed rule's residuals on the training rows."""
+    rows, _ = _scored(spark, sf)
+    residual = (F.col(L.target) - F.col("pred")).alias("residual")
+    table = sources.staged(rows.where(F.col("dataset") == TRAIN).select(residual))
+    return rounded(evaluate.normal_points(table, "residual"), 6)
+
+
+def auc_interval(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _ = _scored(spark, sf)
+    return rounded(evaluate.auc_interval(rows.where(F.col("dataset") != TRAIN), "high_value", "pred"))
+
+
+def row_number(spark: SparkSession, sf: str) -> DataFrame:
+    """Number of every booking in the order in which its duplicates are ranked."""
+    rows = _basket(spark, sf, L.key, *L.order_by)
+    return numbering.row_numbers(rows, [*L.order_by, L.key]).select(L.key, "row_number")
+
+
+def guess_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Types of the raw text columns, if one cell in ten may be of another."""
+    return celltypes.guess_types(sources.bookings(spark, sf), least_share=0.9)
+
+
+def rejected_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells that the numeric and the time column cannot hold."""
+    rows = sources.bookings(spark, sf, [L.key, L.discount, L.time, L.payment])
+    return celltypes.rejected_cells(rows, [L.key], {L.discount: "number", L.time: "timestamp", L.payment: "boolean"})
+
+
+def tree_pruning(spark: SparkSession, sf: str) -> DataFrame:
+    """Size, cost and cross-validated error of each subtree of a deep tree."""
+    rows = _modelling(spark, sf)
+    train = sources.staged(rows.where(F.col("dataset") == TRAIN).select(L.key, L.target, *L.predictors))
+    return pruning.validated_tree(train, L.target, L.predictors, L.key, max_depth=6).table(train)
+
+
 def same_columns(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the training and test tables have the same columns, and how many."""
     rows = _filled(spark, sf)
@@ -759,6 +822,14 @@ def queries() -> dict[str, Query]:
             L.key, "dataset", L.promo
         ),
         "tree_importance": tree_importance,
+        "tree_pruning": tree_pruning,
+        "firth_fit": firth_fit,
+        "firth_odds_one": firth_odds_one,
+        "residual_normal_points": residual_normal_points,
+        "auc_interval": auc_interval,
+        "row_number": row_number,
+        "guess_types": guess_types,
+        "rejected_cells": rejected_cells,
         "model_compare": model_compare,
         "logit_fit": logit_fit,
         "odds_ratios": odds_ratios,

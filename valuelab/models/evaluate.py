@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.quantiles import MAX_WINDOW_ROWS, quantile_summary
+from ..functions import number
+from ..operators.quantiles import MAX_WINDOW_ROWS, quantile_summary, quantiles_long
 
 
 def high_value_threshold(train: DataFrame, target: str, p: float = 0.8, **options) -> float:
@@ -86,6 +88,29 @@ def residual_bins(df: DataFrame, label: str, prediction: str, bins: int = 10) ->
     )
 
 
+def normal_points(df: DataFrame, column: str, points: int = 100, **options) -> DataFrame:
+    """``rank``, ``expected``, ``observed``: at most ``points`` points of a normal Q-Q plot.
+
+    The points are ranks spread evenly over all n rows, the middle of each of ``points`` equal
+    parts; ``observed`` is the value at exactly that rank, ``expected`` the normal quantile at
+    (rank - 0.5) / n.  Residuals that are normal lie on a line.  The plot has the same size at
+    any row count.  Missing values are skipped; without values there are no points.
+    """
+    value = number(column)
+    n = df.agg(F.count(value)).first()[0]
+    shown = min(points, n)
+    ranks = [((2 * j + 1) * n) // (2 * shown) + 1 for j in range(shown)]
+    rows = [
+        (i, (i - 1) / (n - 1) if n > 1 else 0.5, NormalDist().inv_cdf((i - 0.5) / n)) for i in ranks
+    ]
+    marks = df.sparkSession.createDataFrame(rows, "rank bigint, p double, expected double")
+    if not rows:
+        return marks.select("rank", "expected", F.col("p").alias("observed"))
+    values = quantiles_long(df, column, [p for _, p, _ in rows], **options)
+    same = F.round(marks["p"] * (n - 1)) == F.round(values["p"] * (n - 1))
+    return marks.join(values, same).select("rank", "expected", F.col("value").alias("observed"))
+
+
 def classification_metrics(
     df: DataFrame, label: str, score: str, threshold: float = 0.5, by: Sequence[str] = ()
 ) -> DataFrame:
@@ -175,10 +200,10 @@ def running_totals(
     return out.select(*df.columns, *[f"{a}_before" for a in amounts])
 
 
-def roc_auc(df: DataFrame, label: str, score: str, **options) -> DataFrame:
-    """One row: n_positive, n_negative, auc (ties count half; null with one class only)."""
+def _per_score(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Rows of either class at each distinct score."""
     yes = F.col(label) == 1
-    per_score = (
+    return (
         df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
         .groupBy(F.col(score).cast("double").alias("__score"))
         .agg(
@@ -186,6 +211,11 @@ def roc_auc(df: DataFrame, label: str, score: str, **options) -> DataFrame:
             F.count_if(~yes).cast("double").alias("neg"),
         )
     )
+
+
+def roc_auc(df: DataFrame, label: str, score: str, **options) -> DataFrame:
+    """One row: n_positive, n_negative, auc (ties count half; null with one class only)."""
+    per_score = _per_score(df, label, score)
     ranked = running_totals(per_score, "__score", ["neg"], **options)
     won = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") * 0.5))
     sums = ranked.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), won.alias("w"))
@@ -194,3 +224,46 @@ def roc_auc(df: DataFrame, label: str, score: str, **options) -> DataFrame:
         F.coalesce(F.col("n"), F.lit(0.0)).cast("bigint").alias("n_negative"),
         F.try_divide(F.col("w"), F.col("p") * F.col("n")).alias("auc"),
     )
+
+
+def auc_interval(df: DataFrame, label: str, score: str, level: float = 0.95, **options) -> DataFrame:
+    """One row: n_positive, n_negative, auc, std_error, low, high.
+
+    DeLong's variance: a positive's placement is the share of negatives below it, a negative's the
+    share of positives above it (ties count half), and the variance of the AUC is that of the
+    positives' placements over their number plus that of the negatives' over theirs.  Placements
+    follow from the running totals of both classes, so nothing is ranked in one task.  The error
+    is null with fewer than two rows of a class.
+    """
+    ranked = running_totals(_per_score(df, label, score), "__score", ["pos", "neg"], **options)
+    sizes = ranked.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    both = ranked.join(F.broadcast(sizes))  # one row
+    below = F.try_divide(F.col("neg_before") + F.col("neg") * 0.5, F.col("all_neg"))
+    above = F.try_divide(F.col("all_pos") - F.col("pos_before") - F.col("pos") * 0.5, F.col("all_pos"))
+    sums = both.agg(
+        F.coalesce(F.sum("pos"), F.lit(0.0)).alias("p"),
+        F.coalesce(F.sum("neg"), F.lit(0.0)).alias("n"),
+        F.sum(F.col("pos") * below).alias("v"),
+        F.sum(F.col("pos") * below * below).alias("vv"),
+        F.sum(F.col("neg") * above).alias("w"),
+        F.sum(F.col("neg") * above * above).alias("ww"),
+    )
+
+    def variance(total: str, squares: str, count: str) -> Column:
+        n = F.col(count)
+        return F.try_divide(F.try_divide(F.col(squares) - F.try_divide(F.col(total) * F.col(total), n), n - 1), n)
+
+    z = NormalDist().inv_cdf((1 + level) / 2)
+    told = sums.select(
+        F.col("p").cast("bigint").alias("n_positive"),
+        F.col("n").cast("bigint").alias("n_negative"),
+        F.when(F.col("n") > 0, F.try_divide("v", "p")).alias("auc"),
+        F.sqrt(F.greatest(variance("v", "vv", "p") + variance("w", "ww", "n"), F.lit(0.0))).alias("std_error"),
+    ).withColumn("std_error", F.when((F.col("n_positive") > 1) & (F.col("n_negative") > 1), F.col("std_error")))
+    half = F.col("std_error") * z
+    return told.withColumns(
+        {
+            "low": F.when(half.isNotNull(), F.greatest(F.col("auc") - half, F.lit(0.0))),
+            "high": F.when(half.isNotNull(), F.least(F.col("auc") + half, F.lit(1.0))),
+        }
+    )

@@ -104,23 +104,19 @@ def coding(df: DataFrame, design: Design, target: str) -> Coding:
 Change = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray | None]]
 
 
-def products(df: DataFrame, code: Coding, change: Change | None = None, width: int | None = None) -> np.ndarray:
-    """Sums over the rows of the products of every two columns; rows that lack a value are left out.
+def summed(df: DataFrame, code: Coding, size: int, add: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of ``add`` (a symmetric ``size`` x ``size`` matrix) over all complete rows.
 
-    One pass; the sums of tasks meet in a combining aggregate.
+    ``add`` gets up to 20,000 rows of shifted columns at a time.  One pass; what tasks have added
+    up meets in a combining aggregate.  Rows that lack a value are left out.
     """
-    size = width or sum(code.widths) + 2
     rows, columns = np.triu_indices(size)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, size))
         for batch in batches:
             for low in range(0, batch.num_rows, 20_000):
-                z, _ = code.matrix(batch.slice(low, 20_000))
-                weight = None
-                if change is not None:
-                    z, weight = change(z)
-                total += z.T @ (z if weight is None else z * weight[:, None])
+                total += add(code.matrix(batch.slice(low, 20_000))[0])
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(total[rows, columns])], names=["pair", "s"]
         )
@@ -133,6 +129,18 @@ def products(df: DataFrame, code: Coding, change: Change | None = None, width: i
     return out
 
 
+def products(df: DataFrame, code: Coding, change: Change | None = None, width: int | None = None) -> np.ndarray:
+    """Sums over the rows of the products of every two columns, of those that ``change`` makes."""
+
+    def add(z: np.ndarray) -> np.ndarray:
+        weight = None
+        if change is not None:
+            z, weight = change(z)
+        return z.T @ (z if weight is None else z * weight[:, None])
+
+    return summed(df, code, width or sum(code.widths) + 2, add)
+
+
 def sweep(a: np.ndarray, k: int) -> None:
     """Sweeps the symmetric matrix ``a`` on pivot ``k``, in place.
 

@@ -57,8 +57,10 @@ def fit_tree(
     max_depth: int = 4,
     min_rows: int = 50,
     seed: int = 123,
+    bins: int = 32,
 ) -> TreeFit:
-    """Categories are indexed alphabetically and split as sets, numbers at thresholds."""
+    """Categories are indexed alphabetically and split as sets, numbers at thresholds: ``bins`` of
+    them at most are tried, at quantiles of a number that has more values."""
     text = [p for p in predictors if isinstance(train.schema[p].dataType, T.StringType)]
     inputs = [f"__t_{p}" if p in text else p for p in predictors]
     indexer = StringIndexer(
@@ -79,7 +81,7 @@ def fit_tree(
         labelCol=target,
         maxDepth=max_depth,
         minInstancesPerNode=min_rows,
-        maxBins=max(32, most),
+        maxBins=max(bins, most),
         leafCol="leaf",
         seed=seed,
     ).fit(encoder.transform(train))
