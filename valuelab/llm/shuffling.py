@@ -10,6 +10,8 @@ from pyspark.sql.types import IntegerType, LongType, StructType
 from ..sources import work_folder
 from .common import staged
 
+#: Buckets whose starts (three numbers each) are broadcast.
+MOST_STARTS = 1_000_000
 #: Buckets a task may hold one after the other, beyond this number of tasks.
 MOST_TASKS = 100_000
 
@@ -60,6 +62,8 @@ def place(
     # one row per bucket; the order over them is of numbers only
     before = F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
     starts = sizes.select("bucket", before.alias("start"), F.sum("n").over(W.partitionBy()).alias("all"))
+    # Without the hint both sides would be dealt by bucket before the small one is seen to be small.
+    starts = F.broadcast(starts) if buckets <= MOST_STARTS else starts
     order = mixed.join(starts, "bucket").withColumn("order", F.col("start") + F.col("at"))
     # exact integers: order * shards div n
     shard = F.expr(f"cast((`order` * {shards}L) div `all` as int)")

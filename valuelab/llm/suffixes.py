@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, tasks, text_buffer
+from .common import complete_runs, small_batches, staged, tasks, text_buffer
 
 #: Anchors whose surroundings are looked at together.
 STEP = 50_000
@@ -116,32 +116,30 @@ def _first_round(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeated(hot: int):
-    """Keeps the anchors whose rank two documents have; also names ranks with over ``hot`` anchors."""
+    """Keeps the anchors whose rank two documents have; also names ranks with over ``hot`` anchors.
+
+    Rows come in order of rank and are looked at in pieces that cut no rank.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The partition's share of the anchors: three numbers each, sorted here.
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rank, doc, place = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
-        n, pos = place >> 32, place & 0xFFFFFFFF
-        free = n == 0
-        out = [(doc[free], pos[free], np.zeros(free.sum(), np.int64))]
-        rank, doc, pos, n = (x[~free] for x in (rank, doc, pos, n))
-        if len(rank):
-            order = np.argsort(rank, kind="stable")
-            rank, doc, pos, n = (x[order] for x in (rank, doc, pos, n))
-            start = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]])
-            size = np.diff(np.r_[start, len(rank)])
-            many = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
-            keep = np.repeat(many, size)
-            out.append((doc[keep], pos[keep], np.zeros(keep.sum(), np.int64)))
-            big = start[many & (np.add.reduceat(n, start) > hot)]
-            out.append((doc[big], np.full(len(big), -1), rank[big]))
-        for d, p, r in out:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(d), pa.array(p.astype(np.int32)), pa.array(r)], names=["doc", "pos", "rank"]
-            )
+        for piece in complete_runs(batches, "rank", 100_000):
+            rank, doc, place = (piece[c].to_numpy() for c in ("rank", "doc", "place"))
+            n, pos = place >> 32, place & 0xFFFFFFFF
+            free = n == 0
+            out = [(doc[free], pos[free], np.zeros(free.sum(), np.int64))]
+            rank, doc, pos, n = (x[~free] for x in (rank, doc, pos, n))
+            if len(rank):
+                start = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]])
+                size = np.diff(np.r_[start, len(rank)])
+                many = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
+                keep = np.repeat(many, size)
+                out.append((doc[keep], pos[keep], np.zeros(keep.sum(), np.int64)))
+                big = start[many & (np.add.reduceat(n, start) > hot)]
+                out.append((doc[big], np.full(len(big), -1), rank[big]))
+            for d, p, r in out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(d), pa.array(p.astype(np.int32)), pa.array(r)], names=["doc", "pos", "rank"]
+                )
 
     return run
 
@@ -221,33 +219,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _passages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Third round: a passage is named by the pair of its anchor's rank and the rank of its other
     25 bytes; the least document with a pair keeps it.  Gives (doc, key, pos, mask) of what goes."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    rows = pa.Table.from_batches(held).combine_chunks()
-    del held
-    rank = rows["rank"].to_numpy()
-    doc = rows["doc"].to_numpy()
-    done = np.asarray(rows["context"].chunk(0).is_null())
-    order = np.lexsort((doc, rank))
-    start = np.flatnonzero(np.r_[True, rank[order][1:] != rank[order][:-1]])
-    cuts, last = [0], 0
-    for s in start.tolist()[1:]:
-        if s - last >= 20_000:
-            cuts.append(s)
-            last = s
-    cuts.append(len(order))
-    for low, high in zip(cuts, cuts[1:]):
-        own = order[low:high]
-        part = rows.take(pa.array(own)).combine_chunks()
-        mask = part["mask"].to_numpy()
-        out = np.where(done[own], mask, 0).astype(np.int64)
-        open_ = np.flatnonzero(~done[own])
+    for part in complete_runs(batches, "rank", 20_000):
+        doc, mask = part["doc"].to_numpy(), part["mask"].to_numpy()
+        done = np.asarray(part["context"].chunk(0).is_null())
+        out = np.where(done, mask, 0).astype(np.int64)
+        open_ = np.flatnonzero(~done)
         if len(open_):
-            d, m, k = doc[own][open_], mask[open_], rank[own][open_].view(np.uint64)
+            open_ = open_[np.lexsort((doc[open_], part["rank"].to_numpy()[open_]))]
+            d, m, k = doc[open_], mask[open_], part["rank"].to_numpy()[open_].view(np.uint64)
             around = ranks(_matrix(part["context"].chunk(0).take(pa.array(open_))))
             for r in range(PLACES):
                 has = np.flatnonzero(m >> r & 1)
+                if len(has) == 0:
+                    continue
                 a, b = k[has], around[has, HALF - r]
                 name = _pair(a, b)
                 by = np.argsort(name, kind="stable")  # rows of a name stay in order of doc
@@ -256,16 +240,14 @@ def _passages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     (name[by][1:] != name[by][:-1])
                     | (a[by][1:] != a[by][:-1])
                     | (b[by][1:] != b[by][:-1]),
-                ][: len(by)]
-                if len(by) == 0:
-                    continue
+                ]
                 least = d[has[by[np.flatnonzero(new)]]][np.cumsum(new) - 1]
                 more = has[by[d[has[by]] > least]]
                 out[open_[more]] |= 1 << r
         hit = out > 0
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(doc[own][hit]),
+                pa.array(doc[hit]),
                 part["key"].chunk(0).filter(pa.array(hit)),
                 part["pos"].chunk(0).filter(pa.array(hit)),
                 pa.array(out[hit].astype(np.int32)),
@@ -410,9 +392,9 @@ def remove_repeats(
     named = named.withColumn("key", F.lit(0).cast("long") if shared.isEmpty() else mark)
     first = named.select("id", "text").mapInArrow(_first_round, "rank long, doc long, place long")
     kept = staged(
-        first.repartition(tasks(spark), "rank").mapInArrow(
-            _repeated(hot), "doc long, pos int, rank long"
-        )
+        first.repartition(tasks(spark), "rank")
+        .sortWithinPartitions("rank")
+        .mapInArrow(_repeated(hot), "doc long, pos int, rank long")
     )
     places = kept.where("pos >= 0").groupBy("doc").agg(F.collect_list("pos").alias("places"))
     frequent = kept.where("pos < 0").select("rank").distinct()
@@ -426,7 +408,9 @@ def remove_repeats(
     normal = around.join(frequent, "rank", "left_anti") if has_frequent else around
     route = F.expr("if(context is null, xxhash64(doc, key, pos), rank)")
     marks = staged(
-        normal.repartition(tasks(spark), route).mapInArrow(_passages, "doc long, key long, pos int, mask int")
+        normal.repartition(tasks(spark), route)
+        .sortWithinPartitions("rank")
+        .mapInArrow(_passages, "doc long, key long, pos int, mask int")
     )
     if has_frequent:
         marks = marks.unionByName(_hot_masks(around.join(frequent, "rank", "left_semi")))
