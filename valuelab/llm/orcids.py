@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import staged, tasks, text_buffer
+from .common import small_batches, staged, tasks
 from .tokens import WordEncoder, kept
 
 #: How the files are laid out: integers are run-length encoded by the format itself; a row index
@@ -44,22 +44,17 @@ def write_ids(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(WordEncoder, tokenizer)
-        for whole in batches:
-            for low in range(0, whole.num_rows, 1000):
-                batch = whole.slice(low, 1000)
-                data, at = text_buffer(batch.column(2))
-                text, at = data.tobytes(), at.tolist()
-                ids = encoder.encode_all([text[a:b].decode() for a, b in zip(at, at[1:])])
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids)) + 1
-                ends = np.cumsum(sizes)
-                flat = np.full(int(ends[-1]) if len(ends) else 0, end_id, np.int32)
-                inside = np.ones(len(flat), bool)
-                inside[ends - 1] = False
-                flat[inside] = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), lists], names=["part", "doc_id", "ids"]
-                )
+        for batch in small_batches(batches, 2, 8 << 20):
+            sizes, ids = encoder.encode_column(batch.column(2))
+            ends = np.cumsum(sizes + 1)
+            flat = np.full(int(ends[-1]) if len(ends) else 0, end_id, np.int32)
+            inside = np.ones(len(flat), bool)
+            inside[ends - 1] = False
+            flat[inside] = ids
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), lists], names=["part", "doc_id", "ids"]
+            )
 
     (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -9,6 +9,8 @@ import types
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space of the tokenizers' own patterns (the Unicode property).
 _WS = "\\t-\\r \x85\xa0  -     　"
@@ -80,7 +82,7 @@ class WordEncoder:
         self.tokenizer = _library(path)
         self.special = re.compile(_special(self.tokenizer).pattern + "|[\x1c-\x1f]")
         #: Beyond Latin-1 lower case may depend on marks that follow, so it is left to the library.
-        self.beyond = re.compile("[^\x00-\xff]")
+        self.beyond = r"[^\x{00}-\x{ff}]"
         self.most = most
         self.number: dict[str, int] = {}
         self.start = np.zeros(0, np.int64)
@@ -91,53 +93,51 @@ class WordEncoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text.  Looks the words of about two million characters up at a time."""
-        out: list[np.ndarray] = []
-        low = 0
-        while low < len(texts):
-            high, size = low, 0
-            while high < len(texts) and (high == low or size + len(texts[high]) <= 2_000_000):
-                size += len(texts[high])
-                high += 1
-            out += self._encode_some(texts[low:high])
-            low = high
-        return out
-
-    def _encode_some(self, texts: list[str]) -> list[np.ndarray]:
-        whole = {i: self.encode(t) for i, t in enumerate(texts) if self.special.search(t)}
-        cut = [
-            [] if i in whole else (t if self.beyond.search(t) else t.lower()).split()
-            for i, t in enumerate(texts)
-        ]
-        counts = [len(c) for c in cut]
-        words = [w for c in cut for w in c]
+        """Ids of each text."""
+        sizes, ids = self.encode_column(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(sizes)[:-1]) if len(texts) else []
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text (null: none), and the ids of all of them in a row.
+
+        Arrow lower-cases, splits and numbers the words, so what Python touches is each distinct
+        word of the column once.
+        """
+        texts = texts.fill_null("")
+        if pc.any(pc.match_substring_regex(texts, self.special.pattern)).as_py():
+            own = [
+                np.array(self.encode(t), np.uint32)
+                if self.special.search(t)
+                else self.encode_column(pa.array([t], pa.string()))[1]
+                for t in texts.to_pylist()
+            ]
+            sizes = np.fromiter(map(len, own), np.int64, len(own))
+            return sizes, np.concatenate([*own, np.zeros(0, np.uint32)])
+        beyond = pc.match_substring_regex(texts, self.beyond)
+        lists = pc.utf8_split_whitespace(pc.if_else(beyond, texts, pc.utf8_lower(texts)))
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
         at = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
         missed = np.flatnonzero(at < 0)
         start, size, flat = self.start, self.size, self.flat
         if len(missed):
-            lost = [words[i] for i in missed.tolist()]
-            new = dict(zip(distinct := list(dict.fromkeys(lost)), range(len(size), len(size) + len(lost))))
-            found = [
-                e.ids for e in self.tokenizer.encode_batch_fast(distinct, add_special_tokens=False)
-            ]
+            new = [words[i] for i in missed.tolist()]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+            at[missed] = np.arange(len(size), len(size) + len(new))
             start = np.concatenate([start, len(flat) + np.cumsum(sizes) - sizes])
             size = np.concatenate([size, sizes])
             flat = np.concatenate([flat, ids])
-            at[missed] = np.fromiter(map(new.__getitem__, lost), np.int64, len(lost))
             if len(self.number) < self.most:
-                self.number |= new
+                self.number |= zip(new, at[missed].tolist())
                 self.start, self.size, self.flat = start, size, flat
-        sizes = size[at]
-        ends = np.cumsum(sizes)
-        count = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(start[at] - (ends - sizes), sizes) + np.arange(count)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *counts])].tolist()
-        return [
-            np.array(whole[i], np.uint32) if i in whole else ids[a:b]
-            for i, (a, b) in enumerate(zip(bounds, bounds[1:]))
-        ]
+        place = at[coded.indices.to_numpy(zero_copy_only=False)]
+        sizes = size[place]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = flat[np.repeat(start[place] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return np.diff(ends[bounds - bounds[0]]), ids
 
 
 def kept(kind, path: str):
