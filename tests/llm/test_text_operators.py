@@ -297,6 +297,17 @@ def test_wrapped_licence_notices(spark, mark):
     assert got[0].identifiers == ",ApacheGrant,,ApacheComply,,ApacheUrl,,ApacheAsIs,,ApacheSee," and got[0].n_unmatched == 0
 
 
+def test_a_second_licence_on_the_next_line(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software\nand its files"
+    texts = [
+        f"{mit}\nThis work is licensed under CC BY 4.0",
+        f"# {mit}\n# Licensed under the MIT license\n# Licensed under a CC BY-SA 4.0",
+        f"This file is\nlicensed under the Apache License, Version 2.0\n{mit}",
+    ]
+    rows = licenses.scan_licenses(frame(spark, texts, [0, 1, 2])).orderBy("doc_id").collect()
+    assert [set(r.licenses.split("+")) for r in rows] == [{"MIT", "CC-BY"}, {"MIT", "CC-BY-SA"}, {"Apache-2.0", "MIT"}]
+
+
 def test_spdx_lines_and_lines_without_stops(spark):
     texts = [
         "// SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note\nint x;",

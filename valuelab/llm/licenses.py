@@ -65,7 +65,13 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 #: A sentence without one of these words is none of a licence; it is looked at no further.
 CRITICAL = "licens|copyright|permission|redistribut|warrant|public domain|any later version|endorse|under cc|under the cc|under a cc|all rights|apache"
 #: What follows a version's "v." is no end of a sentence; nor is a ';' inside the GNU grants.
-SENTENCE_END = r"\n\s*\n|(?<!\b[vV])[.!?]+(?=\s|$)|(?<!(?i:free software));+(?=\s|$)(?!\s+(?i:(?:either )?version \d))"
+#: A line that opens a grant of its own starts a sentence, so the one before it takes no more.
+GRANT_LINE = (
+    r"\n(?=[ \t]*(?i:this (?:work|text|file|software|project|program|library) is (?:released|licensed|placed) "
+    r"|licensed under (?:an? |the )?(?:terms of the )?(?:cc|creative commons|mit|bsd|apache|gnu|mozilla)\b"
+    r"|permission is hereby granted|redistribution and use in source))"
+)
+SENTENCE_END = GRANT_LINE + r"|\n\s*\n|(?<!\b[vV])[.!?]+(?=\s|$)|(?<!(?i:free software));+(?=\s|$)(?!\s+(?i:(?:either )?version \d))"
 #: Comment marks before and after the words of a line.
 LINE_START = r"(?m)^[ \t]*(?:(?://+!?|/?\*+/?|#+|;+|--+|%+|>+|<!--|\|+|(?i:dnl|rem)(?=[ \t]))[ \t]*)+"
 LINE_END = r"(?m)[ \t]*(?:\*+/|-->|[*#|]+)[ \t]*$"
