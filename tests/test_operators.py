@@ -68,6 +68,8 @@ def test_share_gap_with_one_group_absent(spark):
     shares = missing.category_shares_by(df, "has_missing", ["c"])
     out = rows_of(missing.category_share_gap(shares, "has_missing"))
     assert out == [("c", "a", 50.0, 0.0, -50.0), ("c", "b", 50.0, 0.0, -50.0)]
+    assert rows_of(missing.category_gap(df, "has_missing", ["c"])) == out
+    assert missing.category_gap(df.limit(0), "has_missing", ["c"]).count() == 0
 
 
 def test_mean_difference_without_other_group(spark):

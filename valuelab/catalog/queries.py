@@ -174,8 +174,7 @@ def cat_missing_share(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cat_missing_diff(spark: SparkSession, sf: str) -> DataFrame:
-    shares = missing.category_shares_by(_with_flag(spark, sf), "has_missing", L.categorical)
-    return rounded(missing.category_share_gap(shares, "has_missing"))
+    return rounded(missing.category_gap(_with_flag(spark, sf), "has_missing", L.categorical))
 
 
 # Cleaning

@@ -169,3 +169,35 @@ def category_share_gap(
     return out.orderBy(
         F.desc(F.abs("percentage_difference")), "variable", F.asc_nulls_last("category")
     )
+
+
+def category_gap(
+    df: DataFrame, group: str, columns: Sequence[str], a: str = COMPLETE, b: str = INCOMPLETE
+) -> DataFrame:
+    """``variable``, ``category``, ``share_a``, ``share_b``, ``percentage_difference``, widest gap first.
+
+    The table of :func:`category_share_gap` from one conditional aggregate: both groups are counted
+    side by side per category, and the totals add up in the same small table.  A group without
+    rows has shares of 0.
+    """
+    counts = (
+        melt_categories(df, columns, [group])
+        .groupBy("variable", "category")
+        .agg(F.count_if(F.col(group) == a).alias("n_a"), F.count_if(F.col(group) == b).alias("n_b"))
+        .where("n_a > 0 or n_b > 0")
+    )
+    totals = counts.groupBy(F.col("variable").alias("__variable")).agg(
+        F.sum("n_a").alias("all_a"), F.sum("n_b").alias("all_b")
+    )
+    # One row per variable.
+    rows = counts.join(F.broadcast(totals), F.col("variable") == F.col("__variable"))
+
+    def share(n: str, total: str) -> Column:
+        return F.coalesce(F.try_divide(F.col(n), F.col(total)) * 100, F.lit(0.0))
+
+    out = rows.select(
+        "variable", "category", share("n_a", "all_a").alias("share_a"), share("n_b", "all_b").alias("share_b")
+    ).withColumn("percentage_difference", F.col("share_b") - F.col("share_a"))
+    return out.orderBy(
+        F.desc(F.abs("percentage_difference")), "variable", F.asc_nulls_last("category")
+    )
