@@ -1019,6 +1019,22 @@ FROM (SELECT count(*) FILTER (high_value = 1) AS p, count(*) FILTER (high_value
       lower AS (ORDER BY pred RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP)))""",
         _SCORED,
     )
+    # The greatest over all starts of the least mean over all ends: the isotonic fit without pooling.
+    q["calibrated_ranking"] = on(
+        "filled",
+        """
+SELECT booking_id, round(value, 6) AS probability, high_value FROM labelled
+ASOF LEFT JOIN (SELECT k, max(low) AS value FROM (
+    SELECT i.x AS i, k.x AS k, min((j.total - i.total + i.y) / (j.n - i.n + i.m)) AS low
+    FROM run i JOIN run k ON i.x <= k.x JOIN run j ON j.x >= k.x GROUP BY 1, 2) GROUP BY k) fit
+  ON greatest(floor(pred / 1000), (SELECT min(x) FROM run)) >= k
+WHERE dataset = 'Test'""",
+        _SCORED
+        + """,
+run AS (SELECT x, m, y, sum(m) OVER (ORDER BY x) AS n, sum(y) OVER (ORDER BY x) AS total
+  FROM (SELECT floor(pred / 1000) AS x, count(*)::DOUBLE AS m, sum(high_value)::DOUBLE AS y FROM labelled
+    WHERE dataset = 'Train' AND pred IS NOT NULL GROUP BY 1))""",
+    )
     q["row_number"] = on(
         "basket",
         "SELECT booking_id, row_number() OVER (ORDER BY ord_a NULLS LAST, ord_b NULLS LAST, ord_c NULLS LAST, "

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .. import plans, sources
 from ..functions import parse_minute
-from ..models import evaluate, linear, logistic, moments, pruning, tree
+from ..models import calibration, evaluate, linear, logistic, moments, pruning, tree
 from ..operators import (
     celltypes,
     clean,
@@ -473,6 +473,19 @@ def auc_interval(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(evaluate.auc_interval(rows.where(F.col("dataset") != TRAIN), "high_value", "pred"))
 
 
+def calibrated_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """Test rows by the chance of a high value that training rows with such a score have.
+
+    The score is the fixed rule in steps of 1,000.
+    """
+    rows, _ = _scored(spark, sf)
+    step = F.floor(F.col("pred") / 1000).cast("double")
+    table = sources.staged(rows.select(L.key, "dataset", "high_value", step.alias("score")))
+    blocks = calibration.isotonic_blocks(table.where(F.col("dataset") == TRAIN), "high_value", "score")
+    scored = calibration.calibrate(table.where(F.col("dataset") != TRAIN), blocks, "score")
+    return rounded(evaluate.score_ranking(scored, L.key, "probability", "high_value"))
+
+
 def row_number(spark: SparkSession, sf: str) -> DataFrame:
     """Number of every booking in the order in which its duplicates are ranked."""
     rows = _basket(spark, sf, L.key, *L.order_by)
@@ -827,6 +840,7 @@ def queries() -> dict[str, Query]:
         "residual_normal_points": residual_normal_points,
         "auc_interval": auc_interval,
         "row_number": row_number,
+        "calibrated_ranking": calibrated_ranking,
         "guess_types": guess_types,
         "rejected_cells": rejected_cells,
         "model_compare": model_compare,
