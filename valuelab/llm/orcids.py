@@ -44,7 +44,7 @@ def write_ids(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(WordEncoder, tokenizer)
-        for batch in small_batches(batches, 2, 8 << 20):
+        for batch in small_batches(batches, 2, 3 << 20):
             sizes, ids = encoder.encode_column(batch.column(2))
             ends = np.cumsum(sizes + 1)
             flat = np.full(int(ends[-1]) if len(ends) else 0, end_id, np.int32)

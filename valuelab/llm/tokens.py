@@ -78,7 +78,7 @@ class WordEncoder:
     string, or a control character that Python takes for a space, is encoded as a whole.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 500_000):
         self.tokenizer = _library(path)
         self.special = re.compile(_special(self.tokenizer).pattern + "|[\x1c-\x1f]")
         #: Beyond Latin-1 lower case may depend on marks that follow, so it is left to the library.
