@@ -1,6 +1,7 @@
 """SimHash, repeated passages, quality rules, licences and language ID against brute force."""
 
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -342,3 +343,66 @@ def test_language_odd_rows(spark, sf):
     assert rows[None].lang_pred in model.languages and rows[-4].lang_pred in model.languages
     empty = langid.identify(odd.limit(0))
     assert empty.count() == 0 and empty.columns == ["doc_id", "held_out", "lang_pred", "score"]
+
+
+def brute_model(sample, frequency, n, settings):
+    """Coefficients (idf taken in) and temperature, one feature and one language at a time."""
+    fold = langid.letter_table()
+    languages = sorted({language for _, language in sample})
+    order = np.random.default_rng(settings.seed).permutation(len(sample)).tolist()
+    cut = int(len(order) * settings.sample / (settings.sample + settings.calibration))
+    idf = {f: math.log((1 + n) / (1 + frequency[f])) + 1 for f in range(len(frequency))}
+    rows = []
+    for i in order:
+        found = [int(f) for part in langid.features(sample[i][0].decode(), fold, settings) for f in part]
+        rows.append(({f: c / len(found) * idf[f] * langid.SCALE for f, c in Counter(found).items()}, sample[i][1]))
+    z, g = Counter(), Counter()
+
+    def weight(f, y):
+        if abs(z[f, y]) <= settings.l1:
+            return 0.0
+        shrunk = z[f, y] - math.copysign(settings.l1, z[f, y])
+        return -shrunk / ((settings.beta + math.sqrt(g[f, y])) / settings.alpha + settings.l2)
+
+    def chances(x, t=1.0):
+        scores = {y: sum(v * weight(f, y) for f, v in x.items()) / t for y in languages}
+        top = max(scores.values())
+        total = sum(math.exp(s - top) for s in scores.values())
+        return {y: math.exp(s - top) / total for y, s in scores.items()}
+
+    for _ in range(settings.epochs):
+        for x, label in rows[:cut]:
+            p = chances(x)
+            steps = []
+            for f, v in x.items():
+                for y in languages:
+                    slope = v * (p[y] - (y == label))
+                    rate = (math.sqrt(g[f, y] + slope**2) - math.sqrt(g[f, y])) / settings.alpha
+                    steps.append((f, y, slope - rate * weight(f, y), slope**2))
+            for f, y, dz, dg in steps:
+                z[f, y] += dz
+                g[f, y] += dg
+    grid = [math.exp(math.log(0.05) + i * (math.log(20) - math.log(0.05)) / 120) for i in range(121)]
+    loss = [-sum(math.log(chances(x, t)[label]) for x, label in rows[cut:]) for t in grid]
+    weights = [[weight(f, y) * idf[f] * langid.SCALE for y in languages] for f in range(len(frequency))]
+    return languages, np.array(weights), grid[int(np.argmin(loss))]
+
+
+def test_ftrl_and_temperature_against_brute_force(spark, sf):
+    settings = langid.Settings(bits=8, sample=30, calibration=12, epochs=2, l1=0.05)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null and lang is not null")
+    rows = docs.where("length(text) < 900").select("text", "lang")
+    copies = rows.limit(1).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("n")
+    rows = rows.unionByName(copies)  # one text three hundred times more
+    sample = langid._sample(rows, settings)
+    assert len(sample) == len({t for t, _ in sample}) <= 42
+    model = langid.train(rows, settings)
+    frequency, n = langid.document_frequencies(rows.select("text"), settings)
+    fold = langid.letter_table()
+    texts = [r.text for r in rows.collect()]
+    seen = Counter(f for t in texts for f in {int(f) for part in langid.features(t, fold, settings) for f in part})
+    assert n == len(texts) and all(seen[f] == c for f, c in enumerate(frequency.tolist()))
+    languages, weights, temperature = brute_model(sample, frequency.tolist(), n, settings)
+    assert model.languages == languages and abs(model.temperature / temperature - 1) < 1e-9
+    assert np.allclose(model.weights, weights, rtol=1e-6, atol=1e-9)
+    assert (weights == 0).any() and (weights != 0).any()

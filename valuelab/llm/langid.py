@@ -297,7 +297,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 names=[*kept, "lang_pred", "score"],
             )
 
-    schema = source.drop("_letters").schema
+    schema = docs.select(*kept).schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     return source.mapInArrow(run, f"{ddl}, lang_pred string, score double")
 

@@ -22,7 +22,7 @@ from .leaks import LOWER, UPPER
 #: What parts runs of letters.
 NOT_LETTERS = "[^A-Za-zÀ-ÿ]+"
 #: Length of a list from which it is dealt again by more letters.  A list whose words differ in
-#: one place of the shorter word has 89 + 89**2 words at most, so no list stays longer.
+#: one place of the shorter word has 90 + 90**2 words at most, so no list stays longer.
 LONG_LIST = 10_000
 #: Rows of lists for one task.
 TASK_ROWS = 200_000
