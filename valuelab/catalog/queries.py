@@ -536,17 +536,13 @@ def tree_importance(spark: SparkSession, sf: str) -> DataFrame:
 def model_compare(spark: SparkSession, sf: str) -> DataFrame:
     """Best linear step against the tree, on test rows."""
     rows = _modelling(spark, sf)
-    steps = linear.nested_regressions(rows, L.target, L.nested_predictors)
-    best = linear.choose_step(steps)
-    used = [p for g in L.nested_predictors[:best] for p in g]
-    train = rows.where(F.col("dataset") == TRAIN)
-    design = linear.fit_design(train, used)
-    line = linear.fit_line(design.apply(train), L.target, prediction="__line")
-    fit = tree.fit_tree(train, L.target, L.predictors)
-    test = rows.where(F.col("dataset") != TRAIN)
-    scored = line.transform(design.apply(fit.score(test, "__tree")))
+    fits = linear.nested_fits(rows, L.target, L.nested_predictors)
+    line = fits[linear.choose_step(linear.nested_steps(rows, L.target, fits)) - 1]
+    fit = tree.fit_tree(rows.where(F.col("dataset") == TRAIN), L.target, L.predictors)
+    test = rows.where((F.col("dataset") != TRAIN) & line.design.scorable())
+    scored = fit.score(test, "__tree").withColumn("__line", line.predict())
     models = {
-        "Best linear model": ("__line", len(design.names)),
+        "Best linear model": ("__line", len(line.used)),
         "Regression tree": ("__tree", len(L.predictors)),
     }
     return evaluate.regression_metrics(scored, L.target, models).drop("adj_r2")

@@ -133,25 +133,29 @@ def coefficients(df: DataFrame, model: LinearRegressionModel, names: Sequence[st
     )
 
 
-def nested_regressions(
+def nested_fits(
     df: DataFrame, target: str, groups: Sequence[Sequence[str]], side: str = "dataset"
-) -> DataFrame:
-    """Models on growing predictor groups: metrics on both sides, gains and partial F tests per step.
+) -> list[moments.Fit]:
+    """A least-squares fit after each predictor group, on the training rows.
+
+    One pass gives the cross products of all columns; sweeping them, column after column, yields
+    the model of every step.
+    """
+    design = fit_design(df.where(F.col(side) == TRAIN), [p for g in groups for p in g])
+    places = design.positions()
+    sums = moments.collect_moments(df.where(F.col(side) == TRAIN), design, target)
+    return sums.fits([[i for p in group for i in places[p]] for group in groups])
+
+
+def nested_steps(df: DataFrame, target: str, fits: Sequence[moments.Fit], side: str = "dataset") -> DataFrame:
+    """Metrics of nested fits on both sides, gains and partial F tests per step: one pass.
 
-    One pass over the training rows gives the cross products of all columns; sweeping them,
-    column after column, yields the model of every step.  All steps predict side by side, as
-    built-in expressions, so one more pass yields every metric.  ``n_terms`` counts the columns
+    All steps predict side by side, as built-in expressions.  ``n_terms`` counts the columns
     estimated: one that adds nothing to those before it is passed over.  ``f_value`` and
     ``p_value`` say whether a step's columns explain more than chance would, beyond the step before.
     """
-    everything = [p for g in groups for p in g]
-    train = df.where(F.col(side) == TRAIN)
-    design = fit_design(train, everything)
-    places = design.positions()
-    sums = moments.collect_moments(train, design, target)
-    fits = sums.fits([[i for p in group for i in places[p]] for group in groups])
     models = {str(k): (f"__p{k}", len(fit.used)) for k, fit in enumerate(fits, start=1)}
-    scored = df.where(design.scorable()).select(
+    scored = df.where(fits[0].design.scorable()).select(
         side, target, *[fit.predict().alias(name) for fit, (name, _) in zip(fits, models.values())]
     )
     m = regression_metrics(scored, target, models, [side])
@@ -184,6 +188,13 @@ def nested_regressions(
     )
 
 
+def nested_regressions(
+    df: DataFrame, target: str, groups: Sequence[Sequence[str]], side: str = "dataset"
+) -> DataFrame:
+    """Models on growing predictor groups: :func:`nested_steps` of :func:`nested_fits`."""
+    return nested_steps(df, target, nested_fits(df, target, groups, side), side)
+
+
 def choose_step(steps: DataFrame, min_gain: float = 0.0, alpha: float = 0.05) -> int:
     """The last step whose columns explain more than chance would and raise adjusted R2.
 
