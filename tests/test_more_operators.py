@@ -134,3 +134,18 @@ def test_firth_is_finite_on_separated_rows(spark):
     assert p["k0"] is not None and p["o1"] is None and p["o2"] is None and 0 < p["o3"] < 1
     none = logistic.fit_firth(df.limit(0), "y", ["x"])
     assert [r.estimate for r in none.coefficients(df).collect()] == [0.0]
+
+
+def test_guess_types_patterns_do_not_grow_with_the_columns(spark):
+    rows = [("a ", "1"), ("a", "1"), (None, "2"), (" ", "1996-03-13"), ("true", " 7"), ("a", None)]
+    wide = spark.createDataFrame(rows, "t string, m string")
+    wider = wide.select(*[wide[c].alias(f"{c}{i}") for i in range(6) for c in ("t", "m")])
+
+    def patterns(df):
+        plan = celltypes.guess_types(df, least_share=0.7)._jdf.queryExecution().optimizedPlan().toString()
+        return plan.lower().count("rlike")
+
+    assert patterns(wider) == patterns(wide)
+    found = [tuple(r) for r in celltypes.guess_types(wider, least_share=0.7).collect()]
+    t, m = ("text", 4, 4, 0), ("integer", 5, 4, 1)
+    assert found == [(f"{c}{i}", *told) for i in range(6) for c, told in (("t", t), ("m", m))]
