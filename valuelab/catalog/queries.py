@@ -97,19 +97,22 @@ def _scored(spark: SparkSession, sf: str) -> tuple[DataFrame, float]:
     return rows.withColumn("pred", rule), threshold
 
 
+def _labelled_once(spark: SparkSession, sf: str) -> DataFrame:
+    """The labelled table written once, for fits that pass over it again."""
+    return sources.staged(_labelled(spark, sf)[0])
+
+
 def _modelling(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled rows on which every predictor is present."""
-    rows, _ = _labelled(spark, sf)
-    return rows.dropna(subset=list(L.predictors))
+    return _labelled_once(spark, sf).dropna(subset=list(L.predictors))
 
 
-def _fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, linear.Design, DataFrame]:
-    """Training rows encoded and predicted by the full linear model."""
-    rows = _modelling(spark, sf)
-    train = rows.where(F.col("dataset") == TRAIN)
-    design = linear.fit_design(train, L.predictors)
-    encoded = sources.staged(design.apply(train).select(L.key, L.target, "features"))
-    return linear.fit_line(encoded, L.target).transform(encoded), design, rows
+def _line(spark: SparkSession, sf: str) -> tuple[DataFrame, moments.Moments]:
+    """Complete training rows, and the cross products of the full linear model."""
+    rows, _ = _labelled(spark, sf)
+    train = rows.where(F.col("dataset") == TRAIN).dropna(subset=list(L.predictors))
+    train = sources.staged(train.select(L.key, L.target, *L.predictors))
+    return train, moments.collect_moments(train, linear.fit_design(train, L.predictors), L.target)
 
 
 # Sources and sinks
@@ -391,18 +394,15 @@ def residual_bins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def breusch_pagan(spark: SparkSession, sf: str) -> DataFrame:
-    scored, _, _ = _fitted(spark, sf)
-    return linear.breusch_pagan(scored, L.target)
+    return moments.breusch_pagan(*_line(spark, sf))
 
 
 def vif(spark: SparkSession, sf: str) -> DataFrame:
-    scored, design, _ = _fitted(spark, sf)
-    return linear.inflation_factors(scored, design.names)
+    return moments.inflation_factors(*_line(spark, sf))
 
 
 def cooks_distance(spark: SparkSession, sf: str) -> DataFrame:
-    scored, _, _ = _fitted(spark, sf)
-    return linear.cooks_distance(scored, L.key, L.target)
+    return moments.cooks_distance(*_line(spark, sf), L.key)
 
 
 # The same operators where SQL has a closed form: one factor, or one or two numbers.
@@ -448,7 +448,7 @@ def logit_scores_one(spark: SparkSession, sf: str) -> DataFrame:
 
 def firth_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Bias-reduced coefficients of the full logistic model."""
-    rows, _ = _labelled(spark, sf)
+    rows = _labelled_once(spark, sf)
     train = rows.where(F.col("dataset") == TRAIN)
     return logistic.fit_firth(train, "high_value", L.predictors).coefficients(rows)
 
@@ -505,8 +505,9 @@ def rejected_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 def tree_pruning(spark: SparkSession, sf: str) -> DataFrame:
     """Size, cost and cross-validated error of each subtree of a deep tree."""
-    rows = _modelling(spark, sf)
-    train = sources.staged(rows.where(F.col("dataset") == TRAIN).select(L.key, L.target, *L.predictors))
+    rows, _ = _labelled(spark, sf)
+    train = rows.where(F.col("dataset") == TRAIN).dropna(subset=list(L.predictors))
+    train = sources.staged(train.select(L.key, L.target, *L.predictors))
     return pruning.validated_tree(train, L.target, L.predictors, L.key, max_depth=6).table(train)
 
 
@@ -521,7 +522,7 @@ def same_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 def tree_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Leaves of the tree fitted on complete rows; rows that reach no leaf have a line of their own."""
-    rows, _ = _labelled(spark, sf)
+    rows = _labelled_once(spark, sf)
     train = rows.where(F.col("dataset") == TRAIN).dropna(subset=list(L.predictors))
     fit = tree.fit_tree(train, L.target, L.predictors)
     return tree.tree_segments(fit, rows, L.target)
@@ -539,8 +540,8 @@ def model_compare(spark: SparkSession, sf: str) -> DataFrame:
     fits = linear.nested_fits(rows, L.target, L.nested_predictors)
     line = fits[linear.choose_step(linear.nested_steps(rows, L.target, fits)) - 1]
     fit = tree.fit_tree(rows.where(F.col("dataset") == TRAIN), L.target, L.predictors)
-    test = rows.where((F.col("dataset") != TRAIN) & line.design.scorable())
-    scored = fit.score(test, "__tree").withColumn("__line", line.predict())
+    test = moments.predictions(rows.where(F.col("dataset") != TRAIN), {"__line": line}, [L.target, *L.predictors])
+    scored = fit.score(sources.staged(test), "__tree")
     models = {
         "Best linear model": ("__line", len(line.used)),
         "Regression tree": ("__tree", len(L.predictors)),
@@ -550,7 +551,7 @@ def model_compare(spark: SparkSession, sf: str) -> DataFrame:
 
 def _logit(spark: SparkSession, sf: str) -> tuple[logistic.LogitFit, DataFrame]:
     """The model fitted on complete training rows, and all labelled rows."""
-    rows, _ = _labelled(spark, sf)
+    rows = _labelled_once(spark, sf)
     train = rows.where(F.col("dataset") == TRAIN).dropna(subset=list(L.predictors))
     return logistic.fit_logit(train, "high_value", L.predictors), rows
 

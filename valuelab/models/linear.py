@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import zip_longest
 
 import numpy as np
 import pandas as pd
@@ -73,13 +74,40 @@ class Design:
         return places
 
 
+def distinct_levels(train: DataFrame, text: Sequence[str], most: int | None = None) -> dict[str, list[str]]:
+    """Levels of the text columns in alphabetical order; more than ``most`` of one are refused."""
+    if not text:
+        return {}
+    cells = F.array(*[F.struct(F.lit(i).alias("at"), F.col(p).alias("level")) for i, p in enumerate(text)])
+    found = train.select(F.inline(cells)).where(F.col("level").isNotNull()).distinct()
+    out: dict[str, list[str]] = {p: [] for p in text}
+    for at, level in (found if most is None else found.limit(most * len(text) + 1)).collect():
+        out[text[at]].append(level)
+    for p, levels in out.items():
+        if most is not None and len(levels) > most:
+            raise ValueError(f"{p} has over {most} levels: group them first")
+    return {p: in_order(levels) for p, levels in out.items()}
+
+
+def levels_table(df: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
+    """The levels side by side, null where a column has no more: an indexer learns them from this."""
+    schema = T.StructType([T.StructField(p, T.StringType()) for p in levels])
+    return df.sparkSession.createDataFrame(list(zip_longest(*levels.values())), schema)
+
+
+def in_order(levels: Iterable[str]) -> list[str]:
+    """Levels as the encoder sorts them: by UTF-16 units."""
+    return sorted(levels, key=lambda v: v.encode("utf-16-be", "surrogatepass"))
+
+
 def fit_design(train: DataFrame, predictors: Sequence[str]) -> Design:
-    """Learn the levels of all text predictors in one pass.
+    """Learn the levels of all text predictors in one combining pass.
 
     Levels are sorted backwards, so the encoder, which drops the last one, drops the
     alphabetically first.
     """
     text = [p for p in predictors if isinstance(train.schema[p].dataType, T.StringType)]
+    known = distinct_levels(train, text, MAX_LEVELS)
     indexer = StringIndexer(
         inputCols=text,
         outputCols=[f"__i_{p}" for p in text],
@@ -94,10 +122,9 @@ def fit_design(train: DataFrame, predictors: Sequence[str]) -> Design:
         outputCol="features",
         handleInvalid="skip",
     )
+    if text:
+        indexer = indexer.fit(levels_table(train, known))
     encoder = Pipeline(stages=[indexer, dummies, vector] if text else [vector]).fit(train)
-    for p, found in zip(text, encoder.stages[0].labelsArray if text else []):
-        if len(found) > MAX_LEVELS:
-            raise ValueError(f"{p} has over {MAX_LEVELS} levels: group them first")
     labels = dict(zip(text, encoder.stages[0].labelsArray, strict=True)) if text else {}
     terms = {
         p: [f"{p}_{level}" for level in labels[p][:-1]] if p in labels else [p] for p in predictors
@@ -150,14 +177,13 @@ def nested_fits(
 def nested_steps(df: DataFrame, target: str, fits: Sequence[moments.Fit], side: str = "dataset") -> DataFrame:
     """Metrics of nested fits on both sides, gains and partial F tests per step: one pass.
 
-    All steps predict side by side, as built-in expressions.  ``n_terms`` counts the columns
+    All steps predict side by side, in Arrow batches.  ``n_terms`` counts the columns
     estimated: one that adds nothing to those before it is passed over.  ``f_value`` and
     ``p_value`` say whether a step's columns explain more than chance would, beyond the step before.
     """
     models = {str(k): (f"__p{k}", len(fit.used)) for k, fit in enumerate(fits, start=1)}
-    scored = df.where(fits[0].design.scorable()).select(
-        side, target, *[fit.predict().alias(name) for fit, (name, _) in zip(fits, models.values())]
-    )
+    named = {name: fit for fit, (name, _) in zip(fits, models.values())}
+    scored = moments.predictions(df, named, [side, target])
     m = regression_metrics(scored, target, models, [side])
     steps = m.groupBy(F.col("model").cast("int").alias("step")).agg(
         *[

@@ -7,76 +7,26 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.regression import (
-    GeneralizedLinearRegression,
-    GeneralizedLinearRegressionModel,
-)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import staged
 from . import moments
 from .linear import Design, fit_design
 
 
 @dataclass(frozen=True)
 class LogitFit:
-    design: Design
-    model: GeneralizedLinearRegressionModel
-    label: str
-    #: False if the iterations ended before the estimates settled (as on separated data)
-    converged: bool = True
-
-    def score(self, df: DataFrame) -> DataFrame:
-        """Adds ``probability`` of the label being 1; null where a predictor is missing or new."""
-        return self.design.score_all(df, self.model.transform, ["probability"])
-
-    def coefficients(self, df: DataFrame) -> DataFrame:
-        """``term``, estimate, std_error, z_value, p_value, converged; the intercept first."""
-        s = self.model.summary
-        rows = [
-            (term, float(b), float(se), float(z), float(p), self.converged)
-            for term, b, se, z, p in zip(
-                [*self.design.names, "(Intercept)"],
-                [*self.model.coefficients, self.model.intercept],
-                s.coefficientStandardErrors,
-                s.tValues,
-                s.pValues,
-                strict=True,
-            )
-        ]
-        return df.sparkSession.createDataFrame(
-            rows[-1:] + rows[:-1],
-            "term string, estimate double, std_error double, z_value double, p_value double, converged boolean",
-        )
-
-
-def fit_logit(train: DataFrame, label: str, predictors: Sequence[str], max_iter: int = 25) -> LogitFit:
-    """Iteratively reweighted least squares.
-
-    Every iteration is one combining pass over the encoded rows, which are written
-    once instead of being encoded in each pass.
-    """
-    design = fit_design(train, predictors)
-    model = GeneralizedLinearRegression(
-        family="binomial",
-        link="logit",
-        featuresCol="features",
-        labelCol=label,
-        predictionCol="probability",
-        maxIter=max_iter,
-    ).fit(staged(design.apply(train).select(label, "features")))
-    return LogitFit(design, model, label, model.summary.numIterations < max_iter)
-
-
-@dataclass(frozen=True)
-class FirthFit:
-    """Bias-reduced logistic regression: estimates are finite on separated rows too."""
+    """Estimates of a logistic model, with their covariance."""
 
     line: moments.Fit
     #: covariance of the intercept and the used columns
     covariance: np.ndarray
-    converged: bool
+    #: False if the iterations ended before the estimates settled (as on separated data)
+    converged: bool = True
+
+    @property
+    def design(self) -> Design:
+        return self.line.design
 
     def score(self, df: DataFrame) -> DataFrame:
         """Adds ``probability`` of the label being 1; null where a predictor is missing or new."""
@@ -98,6 +48,79 @@ class FirthFit:
         )
 
 
+class FirthFit(LogitFit):
+    """Bias-reduced logistic regression: estimates are finite on separated rows too."""
+
+
+def _unshifted(
+    sums: moments.Moments, at: np.ndarray, scale: np.ndarray, beta: np.ndarray, inverse: np.ndarray
+) -> tuple[moments.Fit, np.ndarray]:
+    """The line and covariance of the columns as they are, from those of scaled and shifted ones."""
+    code, used = sums.code, tuple((at[1:] - 1).tolist())
+    slopes = np.zeros(sum(code.widths))
+    slopes[list(used)] = beta[1:] / scale[1:]
+    shift = np.asarray(code.shift)[at[1:]]
+    intercept = float(beta[0] / scale[0] - shift @ slopes[list(used)])
+    back = np.diag(1 / scale)
+    back[0, 1:] = -shift / scale[1:]
+    line = moments.Fit(sums.design, code, slopes, intercept, used, sums.n, 0.0, 0.0)
+    return line, back @ inverse @ back.T
+
+
+def fit_logit(
+    train: DataFrame, label: str, predictors: Sequence[str], max_iter: int = 25, tolerance: float = 1e-6
+) -> LogitFit:
+    """Iteratively reweighted least squares on rows that have the label (0 or 1) and all predictors.
+
+    An iteration is one combining pass over rows whose levels are numbers, written once; it starts
+    from the least-squares fit.  Columns that add nothing to those before them are not estimated.
+    """
+    design = fit_design(train, predictors)
+    code = moments.coding(train, design, label)
+    rows = moments.coded(train, code)
+    sums = moments.Moments(design, code, moments.products(rows, code))
+    start = sums.fit()
+    at = np.array([0, *[k + 1 for k in start.used]])
+    k, offset = len(at), code.shift[-1]
+    own = sums.sums[np.ix_(at, at)]
+    scale = np.sqrt(np.where(np.diag(own) > 0, np.diag(own), 1.0) / max(1, sums.n))
+
+    def passed(beta: np.ndarray) -> np.ndarray:
+        """Information, and beside it the products with the working response."""
+        weights = np.zeros(len(sums.sums))
+        weights[at] = beta / scale
+
+        def add(x: moments.Rows) -> np.ndarray:
+            line = np.clip(x.dot(weights), -700, 700)
+            p = np.clip(1.0 / (1.0 + np.exp(-line)), 1e-16, 1 - 1e-16)
+            w = p * (1 - p)
+            out = np.zeros((k + 1, k + 1))
+            out[:k, :k] = x.products(w)[np.ix_(at, at)] / np.outer(scale, scale)
+            out[:k, k] = out[k, :k] = x.sums(w * line + x.target + offset - p)[at] / scale
+            return out
+
+        return moments.summed(rows, code, k + 1, add)
+
+    def plain(beta: np.ndarray) -> np.ndarray:
+        line, _ = _unshifted(sums, at, scale, beta, np.zeros((k, k)))
+        return np.r_[line.intercept, line.slopes]
+
+    # The first working response is log 3 for a one and -log 3 for a zero: linear in the label.
+    slopes = 2 * math.log(3) * start.slopes[list(start.used)]
+    shift = np.asarray(code.shift)[at[1:]]
+    first = math.log(3) * (2 * start.intercept - 1) + shift @ slopes
+    beta = np.r_[first, slopes] * scale
+    inverse, iterations, settled = np.zeros((k, k)), 0, sums.n == 0
+    while iterations < max_iter and not settled:
+        found = passed(beta)
+        inverse = np.linalg.pinv(found[:k, :k], hermitian=True)
+        after = inverse @ found[:k, k]
+        settled = bool(np.abs(plain(after) - plain(beta)).max() < tolerance)
+        beta, iterations = after, iterations + 1
+    line, covariance = _unshifted(sums, at, scale, beta, inverse)
+    return LogitFit(line, covariance, settled and iterations < max_iter and sums.n > 0)
+
+
 def fit_firth(
     train: DataFrame, label: str, predictors: Sequence[str], max_iter: int = 60, tolerance: float = 1e-8
 ) -> FirthFit:
@@ -110,9 +133,10 @@ def fit_firth(
     before them are not estimated.  No complete row: no terms but an intercept of zero.
     """
     design = fit_design(train, predictors)
-    rows = staged(train.where(design.scorable() & F.col(label).isNotNull()).select(label, *predictors))
-    sums = moments.collect_moments(rows, design, label)
-    used, code = sums.fit().used, sums.code
+    code = moments.coding(train, design, label)
+    rows = moments.coded(train, code)
+    sums = moments.Moments(design, code, moments.products(rows, code))
+    used = sums.fit().used
     at = np.array([0, *[k + 1 for k in used]])
     k, offset = len(at), code.shift[-1]
     own = sums.sums[np.ix_(at, at)]
@@ -120,16 +144,20 @@ def fit_firth(
 
     def passed(beta: np.ndarray, inverse: np.ndarray | None = None) -> np.ndarray:
         """Information, beside it the score (with leverages if ``inverse`` is given), log likelihood."""
-
-        def add(z: np.ndarray) -> np.ndarray:
-            x, y = z[:, at] / scale, z[:, -1] + offset
-            line = np.clip(x @ beta, -700, 700)
+        weights, inner = np.zeros(len(sums.sums)), np.zeros_like(sums.sums)
+        weights[at] = beta / scale
+        if inverse is not None:
+            inner[np.ix_(at, at)] = inverse / np.outer(scale, scale)
+
+        def add(x: moments.Rows) -> np.ndarray:
+            y = x.target + offset
+            line = np.clip(x.dot(weights), -700, 700)
             p = 1.0 / (1.0 + np.exp(-line))
             w = p * (1 - p)
-            h = 0.0 if inverse is None else w * np.einsum("ij,jk,ik->i", x, inverse, x, optimize=True)
+            h = 0.0 if inverse is None else w * x.form(inner)
             out = np.zeros((k + 1, k + 1))
-            out[:k, :k] = x.T @ (x * w[:, None])
-            out[:k, k] = out[k, :k] = x.T @ (y - p + h * (0.5 - p))
+            out[:k, :k] = x.products(w)[np.ix_(at, at)] / np.outer(scale, scale)
+            out[:k, k] = out[k, :k] = x.sums(y - p + h * (0.5 - p))[at] / scale
             out[k, k] = (y * line - np.logaddexp(0, line)).sum()
             return out
 
@@ -153,14 +181,7 @@ def fit_firth(
             if np.abs(step).max() < tolerance:
                 converged = True
                 break
-    slopes = np.zeros(sum(code.widths))
-    slopes[list(used)] = beta[1:] / scale[1:]
-    shift = np.asarray(code.shift)[at[1:]]
-    intercept = float(beta[0] / scale[0] - shift @ slopes[list(used)])
-    back = np.diag(1 / scale)
-    back[0, 1:] = -shift / scale[1:]
-    covariance = back @ inverse @ back.T
-    line = moments.Fit(design, code, slopes, intercept, used, sums.n, 0.0, 0.0)
+    line, covariance = _unshifted(sums, at, scale, beta, inverse)
     return FirthFit(line, covariance, converged)
 
 

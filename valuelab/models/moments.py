@@ -1,7 +1,8 @@
 """Linear models from cross products: one combining pass over the rows serves any number of fits.
 
-A task turns its rows into a matrix of predictors and target and adds up the products of all
-pairs of columns, weighted if asked.  What leaves a task is one row per pair of columns, whatever
+A task turns its rows into numbers and level codes and adds up the products of all pairs of
+columns, weighted if asked; two categories multiply by counting their pairs of codes, so no row
+is spread over its indicator columns.  What leaves a task is one row per pair of columns, whatever
 the number of rows; fits, tests and diagnostics follow from the sums on the driver, whose size is
 columns x columns (at most ``MAX_COLUMNS``).
 """
@@ -18,7 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distributions import f_tail, t_tail_two_sided
+from ..functions.distributions import chi2_tail, f_tail, t_tail_two_sided
+from ..sources import staged
 
 if TYPE_CHECKING:
     from .linear import Design
@@ -54,8 +56,8 @@ class Coding:
     def widths(self) -> list[int]:
         return [1 if levels is None else len(levels) - 1 for _, levels in self.predictors]
 
-    def matrix(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """One, predictors and target of the batch's complete rows, and which rows those are."""
+    def rows(self, batch: pa.RecordBatch) -> tuple[Rows, np.ndarray]:
+        """The batch's complete rows, and which ones those are.  Levels are text or their numbers."""
         keep = np.ones(batch.num_rows, bool)
         values = []
         for i, (_, levels) in enumerate((*self.predictors, (self.target, None))):
@@ -64,24 +66,103 @@ class Coding:
                 x = column.cast(pa.float64()).to_numpy(zero_copy_only=False)
                 keep &= ~np.isnan(x)
             else:
-                found = pc.index_in(column, value_set=pa.array(levels, pa.string()))
-                x = found.fill_null(-1).to_numpy(zero_copy_only=False)
+                if not pa.types.is_integer(column.type):
+                    column = pc.index_in(column, value_set=pa.array(levels, pa.string()))
+                x = column.fill_null(-1).to_numpy(zero_copy_only=False)
                 keep &= x >= 0
             values.append(x)
-        rows = int(keep.sum())
-        out = np.zeros((rows, sum(self.widths) + 2))
-        out[:, 0] = 1.0
-        at = 1
-        for x, (_, levels), width in zip(values, (*self.predictors, (self.target, None)), [*self.widths, 1]):
-            x = x[keep]
+        kept = np.flatnonzero(keep)
+        widths = [*self.widths, 1]
+        starts = (np.cumsum(widths) - widths + 1).tolist()
+        numbers, places, categories = [np.ones(len(kept))], [0], []
+        for x, (_, levels), start, width in zip(values, (*self.predictors, (self.target, None)), starts, widths):
             if levels is None:
-                out[:, at] = x
+                numbers.append(x[kept] - self.shift[start])
+                places.append(start)
             else:
-                inside = np.flatnonzero(x < width)
-                out[inside, at + x[inside]] = 1.0
-            at += width
-        out -= np.asarray(self.shift)
-        return out, np.flatnonzero(keep)
+                categories.append((start, width, x[kept].astype(np.int64)))
+        return Rows(sum(widths) + 1, np.column_stack(numbers), np.array(places), categories), kept
+
+
+@dataclass(frozen=True)
+class Rows:
+    """Rows of a matrix with one column of ones, shifted numbers and 0/1 columns of categories."""
+
+    #: columns of the matrix
+    size: int
+    #: the ones, the numeric predictors and, last, the target; and their places in the matrix
+    numbers: np.ndarray
+    places: np.ndarray
+    #: first column, number of columns and codes of each category; the last code has no column
+    categories: list[tuple[int, int, np.ndarray]]
+
+    @property
+    def target(self) -> np.ndarray:
+        return self.numbers[:, -1]
+
+    def dot(self, weights: np.ndarray) -> np.ndarray:
+        """The matrix times ``weights``."""
+        out = self.numbers @ weights[self.places]
+        for start, width, code in self.categories:
+            out += np.append(weights[start : start + width], 0.0)[code]
+        return out
+
+    def sums(self, weight: np.ndarray) -> np.ndarray:
+        """Sum of each column times ``weight``."""
+        out = np.zeros(self.size)
+        out[self.places] = weight @ self.numbers
+        for start, width, code in self.categories:
+            out[start : start + width] = np.bincount(code, weight, width + 1)[:width]
+        return out
+
+    def products(self, weight: np.ndarray | None = None) -> np.ndarray:
+        """Sums of the products of every two columns, times ``weight``."""
+        out = np.zeros((self.size, self.size))
+        weighted = self.numbers if weight is None else self.numbers * weight[:, None]
+        out[np.ix_(self.places, self.places)] = self.numbers.T @ weighted
+        columns = np.ascontiguousarray(weighted.T)
+        for i, (start, width, code) in enumerate(self.categories):
+            own = slice(start, start + width)
+            for place, x in zip(self.places.tolist(), columns):
+                out[place, own] = out[own, place] = np.bincount(code, x, width + 1)[:width]
+            out[range(start, start + width), range(start, start + width)] = out[0, own]
+            for other, breadth, second in self.categories[:i]:
+                shape = (width + 1, breadth + 1)
+                pair = code * (breadth + 1) + second
+                if shape[0] * shape[1] <= 4 * max(1000, len(pair)):
+                    found = np.bincount(pair, weight, shape[0] * shape[1])
+                else:  # far more pairs of levels than rows: only those that occur
+                    found = np.zeros(shape[0] * shape[1])
+                    np.add.at(found, pair, 1.0 if weight is None else weight)
+                found = found.reshape(shape)[:width, :breadth]
+                out[own, other : other + breadth] = found
+                out[other : other + breadth, own] = found.T
+        return out
+
+    def form(self, a: np.ndarray) -> np.ndarray:
+        """The quadratic form of each row with the symmetric matrix ``a``."""
+        own = a[np.ix_(self.places, self.places)]
+        out = np.einsum("ij,ij->i", self.numbers @ own, self.numbers)
+        for i, (start, width, code) in enumerate(self.categories):
+            beside = np.zeros((width + 1, len(self.places)))
+            beside[:width] = a[start : start + width][:, self.places]
+            out += 2 * np.einsum("ij,ij->i", beside[code], self.numbers)
+            out += np.append(np.diag(a)[start : start + width], 0.0)[code]
+            for other, breadth, second in self.categories[:i]:
+                block = np.zeros((width + 1, breadth + 1))
+                block[:width, :breadth] = a[start : start + width, other : other + breadth]
+                out += 2 * block.ravel()[code * (breadth + 1) + second]
+        return out
+
+    def widened(self, more: Sequence[np.ndarray]) -> Rows:
+        """The rows with further numbers before the target."""
+        last = self.size - 1
+        return Rows(
+            self.size + len(more),
+            np.column_stack([self.numbers[:, :-1], *more, self.target]),
+            np.r_[self.places[:-1], last + np.arange(len(more) + 1)],
+            self.categories,
+        )
 
 
 def coding(df: DataFrame, design: Design, target: str) -> Coding:
@@ -100,15 +181,28 @@ def coding(df: DataFrame, design: Design, target: str) -> Coding:
     return Coding(target, tuple((p, tuple(levels[p]) if p in levels else None) for p in names), tuple(shift))
 
 
-#: Turns the shifted columns (one, predictors, target) into other columns and row weights.
-Change = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray | None]]
+def coded(df: DataFrame, code: Coding) -> DataFrame:
+    """The rows with levels as numbers, written once: for fits that pass over them again."""
+    fields = [f"`{p}` {'double' if levels is None else 'int'}" for p, levels in code.predictors]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = []
+            for column, (_, levels) in zip(batch.columns, (*code.predictors, (code.target, None))):
+                if levels is not None:
+                    column = pc.index_in(column, value_set=pa.array(levels, pa.string()))
+                columns.append(column.cast(pa.float64() if levels is None else pa.int32()))
+            yield pa.RecordBatch.from_arrays(columns, names=[*code.columns, code.target])
 
+    taken = df.select(*code.columns, F.col(code.target).cast("double"))
+    return staged(taken.mapInArrow(run, ", ".join([*fields, f"`{code.target}` double"])))
 
-def summed(df: DataFrame, code: Coding, size: int, add: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+
+def summed(df: DataFrame, code: Coding, size: int, add: Callable[[Rows], np.ndarray]) -> np.ndarray:
     """The sum of ``add`` (a symmetric ``size`` x ``size`` matrix) over all complete rows.
 
-    ``add`` gets up to 20,000 rows of shifted columns at a time.  One pass; what tasks have added
-    up meets in a combining aggregate.  Rows that lack a value are left out.
+    ``add`` gets up to 20,000 rows at a time.  One pass; what tasks have added up meets in a
+    combining aggregate.  Rows that lack a value are left out.
     """
     rows, columns = np.triu_indices(size)
 
@@ -116,29 +210,23 @@ def summed(df: DataFrame, code: Coding, size: int, add: Callable[[np.ndarray], n
         total = np.zeros((size, size))
         for batch in batches:
             for low in range(0, batch.num_rows, 20_000):
-                total += add(code.matrix(batch.slice(low, 20_000))[0])
+                total += add(code.rows(batch.slice(low, 20_000))[0])
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(total[rows, columns])], names=["pair", "s"]
         )
 
     taken = df.select(*code.columns, F.col(code.target).cast("double").alias("__target"))
     sums = taken.mapInArrow(run, "pair int, s double").groupBy("pair").agg(F.sum("s").alias("s"))
+    found = sums.toArrow()  # columns x columns numbers
+    pair, s = found["pair"].to_numpy(), found["s"].to_numpy()
     out = np.zeros((size, size))
-    for pair, s in sums.collect():  # columns x columns numbers
-        out[rows[pair], columns[pair]] = out[columns[pair], rows[pair]] = s
+    out[rows[pair], columns[pair]] = out[columns[pair], rows[pair]] = s
     return out
 
 
-def products(df: DataFrame, code: Coding, change: Change | None = None, width: int | None = None) -> np.ndarray:
-    """Sums over the rows of the products of every two columns, of those that ``change`` makes."""
-
-    def add(z: np.ndarray) -> np.ndarray:
-        weight = None
-        if change is not None:
-            z, weight = change(z)
-        return z.T @ (z if weight is None else z * weight[:, None])
-
-    return summed(df, code, width or sum(code.widths) + 2, add)
+def products(df: DataFrame, code: Coding) -> np.ndarray:
+    """Sums over the rows of the products of every two columns."""
+    return summed(df, code, sum(code.widths) + 2, lambda rows: rows.products())
 
 
 def sweep(a: np.ndarray, k: int) -> None:
@@ -247,6 +335,30 @@ class Moments:
         return self.fits([range(len(self.sums) - 2)])[0]
 
 
+def predictions(df: DataFrame, fits: dict[str, Fit], shown: Sequence[str]) -> DataFrame:
+    """``shown`` and a fitted value per name, on the rows with every predictor and known levels.
+
+    The fits have one coding: each row's levels are looked up once for all of them.
+    """
+    code = next(iter(fits.values())).code
+    weights = [
+        np.r_[fit.intercept + np.asarray(code.shift)[1:-1] @ fit.slopes, fit.slopes, 0.0] for fit in fits.values()
+    ]
+    first, names = len(code.columns) + 1, [*shown, *fits]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, kept = code.rows(batch)
+            taken = batch.take(pa.array(kept)).columns[first:]
+            yield pa.RecordBatch.from_arrays(
+                [*taken, *[pa.array(rows.dot(w)) for w in weights]], names=names
+            )
+
+    inputs = [F.col(c).alias(f"__x{i}") for i, c in enumerate(code.columns)]
+    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in shown] + [f"`{c}` double" for c in fits]
+    return df.select(*inputs, F.lit(0.0).alias("__target"), *shown).mapInArrow(run, ", ".join(fields))
+
+
 def collect_moments(df: DataFrame, design: Design, target: str) -> Moments:
     """Cross products of all complete rows of ``df``: one pass."""
     code = coding(df, design, target)
@@ -294,15 +406,16 @@ def robust_coefficients(df: DataFrame, moments: Moments, kind: str = "HC1") -> D
     residual = _residual(fit)
     power = {"HC0": 0, "HC1": 0, "HC2": 1, "HC3": 2}[kind]
 
-    def change(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        weight = (z @ residual) ** 2
-        x = z[:, at]
+    inner = np.zeros_like(moments.sums)
+    inner[np.ix_(at, at)] = bread
+
+    def add(rows: Rows) -> np.ndarray:
+        weight = rows.dot(residual) ** 2
         if power:
-            leverage = np.einsum("ij,jk,ik->i", x, bread, x, optimize=True)
-            weight = weight / np.maximum(1 - leverage, 1e-12) ** power
-        return x, weight
+            weight = weight / np.maximum(1 - rows.form(inner), 1e-12) ** power
+        return rows.products(weight)[np.ix_(at, at)]
 
-    meat = products(df, code, change, len(at))
+    meat = summed(df, code, len(at), add)
     n, k = moments.n, len(at)
     cov = bread @ meat @ bread * (n / max(1, n - k) if kind == "HC1" else 1.0)
     usual = bread * (fit.sse / max(1, fit.df))
@@ -338,11 +451,11 @@ def reset_test(df: DataFrame, moments: Moments, powers: Sequence[int] = (2, 3))
     spread = ((fit.sst - fit.sse) / max(1, moments.n)) ** 0.5 or 1.0
     wanted = list(powers)
 
-    def change(z: np.ndarray) -> tuple[np.ndarray, None]:
-        fitted = (z @ weights - middle) / spread
-        return np.column_stack([z[:, :-1], *[fitted**p for p in wanted], z[:, -1]]), None
+    def add(rows: Rows) -> np.ndarray:
+        fitted = (rows.dot(weights) - middle) / spread
+        return rows.widened([fitted**p for p in wanted]).products()
 
-    sums = products(df, code, change, y + 1 + len(wanted))
+    sums = summed(df, code, y + 1 + len(wanted), add)
     wider = Moments(moments.design, _widened(code, len(wanted)), sums)
     small, large = wider.fits([range(y - 1), range(y - 1, y - 1 + len(wanted))])
     f, added, rest, p = partial_f(small, large)
@@ -351,6 +464,86 @@ def reset_test(df: DataFrame, moments: Moments, powers: Sequence[int] = (2, 3))
     )
 
 
+def breusch_pagan(df: DataFrame, moments: Moments) -> DataFrame:
+    """One row: n, df, statistic (n * R2 of squared residuals on the predictors), p_value.
+
+    A second pass puts the squared residual beside the cross products.
+    """
+    fit, code = moments.fit(), moments.code
+    residual = _residual(fit)
+    size, n, terms = len(moments.sums), moments.n, len(moments.sums) - 2
+    unit = (fit.sse / n if n else 0.0) or 1.0
+
+    def add(rows: Rows) -> np.ndarray:
+        squared = rows.dot(residual) ** 2 / unit
+        out = np.zeros((size, size))
+        out[-1, :-1] = out[:-1, -1] = rows.sums(squared)[:-1]
+        out[-1, -1] = squared @ squared
+        return out
+
+    beside = summed(df, code, size, add)
+    sums = moments.sums.copy()
+    sums[-1], sums[:, -1] = beside[-1], beside[:, -1]
+    told = Moments(moments.design, code, sums).fit()
+    stat = n * (1 - told.sse / told.sst) if told.sst > 0 else float("nan")
+    return df.sparkSession.createDataFrame(
+        [(n, terms, float(stat), chi2_tail(stat, terms))],
+        "n bigint, df bigint, statistic double, p_value double",
+    )
+
+
+def inflation_factors(df: DataFrame, moments: Moments) -> DataFrame:
+    """``term``, ``vif``: diagonal of the inverse correlation matrix."""
+    values = np.diag(np.linalg.pinv(_correlation(moments))).tolist()
+    return df.sparkSession.createDataFrame(list(zip(moments.design.names, values, strict=True)), "term string, vif double")
+
+
+def _correlation(moments: Moments) -> np.ndarray:
+    """Correlations of the predictors' columns; zero beside a column that does not vary, one on the diagonal."""
+    s = moments.centred()[:-1, :-1]
+    spread = np.diag(s) > ALIASED * np.abs(np.diag(moments.sums)[1:-1])
+    scale = np.sqrt(np.where(spread, np.diag(s), 1.0))
+    out = np.where(np.outer(spread, spread), s / np.outer(scale, scale), 0.0)
+    np.fill_diagonal(out, 1.0)
+    return out
+
+
+def cooks_distance(df: DataFrame, moments: Moments, key: str) -> DataFrame:
+    """``key``, residual, leverage, cooks_d for every complete row of ``df``.
+
+    A row's leverage is a quadratic form of its columns about their means with the inverse
+    products, looked up by codes in Arrow batches.
+    """
+    fit, code = moments.fit(), moments.code
+    residual, n, terms = _residual(fit), moments.n, len(moments.sums) - 2
+    s = moments.centred()[:-1, :-1]
+    scale = np.sqrt(np.where(np.diag(s) > 0, np.diag(s), 1.0))
+    inverse = np.linalg.pinv(_correlation(moments)) / np.outer(scale, scale)
+    # (x - mean)' inverse (x - mean) as one form of (1, x)
+    mean = moments.sums[0, 1:-1] / max(1, n)
+    size = len(moments.sums)
+    form = np.zeros((size, size))
+    form[1:-1, 1:-1] = inverse
+    form[0, 1:-1] = form[1:-1, 0] = -(inverse @ mean)
+    form[0, 0] = mean @ inverse @ mean + 1.0 / max(1, n)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, kept = code.rows(batch)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(batch.num_columns - 1).take(pa.array(kept)), pa.array(rows.dot(residual)), pa.array(rows.form(form))],
+                names=[key, "residual", "leverage"],
+            )
+
+    taken = df.select(*code.columns, F.col(code.target).cast("double").alias("__target"), F.col(key).alias("__key"))
+    kind = df.schema[key].dataType.simpleString()
+    out = taken.mapInArrow(run, f"`{key}` {kind}, residual double, leverage double")
+    mse = fit.sse / (n - terms - 1) if n - terms - 1 else float("nan")
+    h, e = F.col("leverage"), F.col("residual")
+    distance = e * e / F.lit((terms + 1) * mse) * h / F.pow(1 - h, F.lit(2.0))
+    return out.withColumn("cooks_d", F.when(h < 1, distance))
+
+
 def _widened(code: Coding, more: int) -> Coding:
     """The coding with ``more`` unshifted numeric columns before the target."""
     extra = tuple((f"__power{i}", None) for i in range(more))

@@ -9,11 +9,13 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.split import TEST, TRAIN
+from ..sources import staged
+from .linear import distinct_levels, levels_table
 
 
 @dataclass(frozen=True)
@@ -50,6 +52,37 @@ class TreeFit:
         return leaf_rules(self.tree.toDebugString, self.predictors, self.levels)
 
 
+@dataclass(frozen=True)
+class Encoded:
+    """Rows with their tree features, written once: growing a tree passes over them again and again."""
+
+    rows: DataFrame
+    encoder: PipelineModel
+    levels: dict[str, list[str]]
+
+    def where(self, condition: Column) -> Encoded:
+        return Encoded(self.rows.where(condition), self.encoder, self.levels)
+
+
+def encode(train: DataFrame, predictors: Sequence[str], kept: Sequence[str]) -> Encoded:
+    """Categories numbered alphabetically, beside the columns ``kept``."""
+    text = [p for p in predictors if isinstance(train.schema[p].dataType, T.StringType)]
+    inputs = [f"__t_{p}" if p in text else p for p in predictors]
+    outputs = [f"__t_{p}" for p in text]
+    levels = distinct_levels(train, text)
+    indexer = StringIndexer(
+        inputCols=text, outputCols=outputs, stringOrderType="alphabetAsc", handleInvalid="keep"
+    )
+    if text:
+        indexer = indexer.fit(levels_table(train, levels))
+    assembler = VectorAssembler(
+        inputCols=inputs, outputCol="__tree_features", handleInvalid="skip"
+    )
+    encoder = Pipeline(stages=[indexer, assembler] if text else [assembler]).fit(train)
+    rows = staged(encoder.transform(train).select("__tree_features", *kept))
+    return Encoded(rows, encoder, levels)
+
+
 def fit_tree(
     train: DataFrame,
     target: str,
@@ -58,24 +91,16 @@ def fit_tree(
     min_rows: int = 50,
     seed: int = 123,
     bins: int = 32,
+    encoded: Encoded | None = None,
 ) -> TreeFit:
     """Categories are indexed alphabetically and split as sets, numbers at thresholds: ``bins`` of
-    them at most are tried, at quantiles of a number that has more values."""
-    text = [p for p in predictors if isinstance(train.schema[p].dataType, T.StringType)]
-    inputs = [f"__t_{p}" if p in text else p for p in predictors]
-    indexer = StringIndexer(
-        inputCols=text,
-        outputCols=[f"__t_{p}" for p in text],
-        stringOrderType="alphabetAsc",
-        handleInvalid="keep",
-    )
-    assembler = VectorAssembler(
-        inputCols=inputs, outputCol="__tree_features", handleInvalid="skip"
-    )
-    stages = [indexer, assembler] if text else [assembler]
-    encoder = Pipeline(stages=stages).fit(train)
-    levels = dict(zip(text, encoder.stages[0].labelsArray, strict=True)) if text else {}
-    most = max([len(v) + 1 for v in levels.values()], default=2)
+    them at most are tried, at quantiles of a number that has more values.
+
+    ``encoded`` is ``train`` after :func:`encode`, if there is such a table already.
+    """
+    if encoded is None:
+        encoded = encode(train, predictors, [target])
+    most = max([len(v) + 1 for v in encoded.levels.values()], default=2)
     tree = DecisionTreeRegressor(
         featuresCol="__tree_features",
         labelCol=target,
@@ -84,8 +109,8 @@ def fit_tree(
         maxBins=max(bins, most),
         leafCol="leaf",
         seed=seed,
-    ).fit(encoder.transform(train))
-    return TreeFit(encoder, tree, tuple(predictors), {k: list(v) for k, v in levels.items()})
+    ).fit(encoded.rows)
+    return TreeFit(encoded.encoder, tree, tuple(predictors), encoded.levels)
 
 
 _TEST = re.compile(r"^(\s*)(?:If|Else) \(feature (\d+) (<=|>|in|not in) (.+)\)$")

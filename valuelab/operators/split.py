@@ -59,11 +59,12 @@ class SplitRule:
 
     def side(self) -> Column:
         """Train / Test; null where the target is missing."""
-        h, key, bin_ = _row_hash(self.key, self.seed), _key_text(self.key), self.bin()
-        train = F.lit(False)
-        for b, (cut, last) in self.cutoffs.items():
-            inside = (h < F.lit(cut)) | ((h == F.lit(cut)) & (key <= F.lit(last)))
-            train = train | ((bin_ == b) & inside)
+        bin_ = self.bin()
+        # Hashes have one length, so hash and key compare as one text, which finds the hash once.
+        place = F.concat(_row_hash(self.key, self.seed), _key_text(self.key))
+        ends = [self.cutoffs.get(b) for b in range(1, len(self.edges) + 2)]
+        last = F.array(*[F.lit(None if e is None else "".join(e)).cast("string") for e in ends])
+        train = F.coalesce(place <= F.get(last, bin_ - 1), F.lit(False))
         return F.when(bin_.isNotNull(), F.when(train, F.lit(TRAIN)).otherwise(F.lit(TEST)))
 
     def apply(self, df: DataFrame, name: str = "dataset") -> DataFrame:

@@ -94,10 +94,13 @@ class TrainFacts:
 
 
 def train_facts(split: DataFrame, layout: Layout = LAYOUT, share: float = 0.8) -> TrainFacts:
-    """Medians and threshold together, so that the training rows are passed over once."""
+    """Medians and threshold together, so that the training rows are passed over once.
+
+    Their few numbers are written first: both passes of the quantiles would find the side again.
+    """
     columns = [*layout.impute_numeric, layout.target]
     row = quantile_summary(
-        split.where(F.col("dataset") == TRAIN),
+        staged(split.where(F.col("dataset") == TRAIN).select(*columns)),
         columns,
         [0.5, share],
         name=lambda c, p: f"median_{c}" if p == 0.5 else f"high_{c}",
