@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from valuelab.models import linear, logistic, moments
+from valuelab.models import linear, logistic, moments, pruning, tree
 from valuelab.operators import split
 
 
@@ -88,6 +88,20 @@ def test_predictions_equal_the_expressions(spark, data):
     assert all(abs(got[r["k"]][c] - r[c]) < 1e-9 for r in want for c in ("one", "two"))
 
 
+def test_folds_share_one_encoding(spark, data, monkeypatch):
+    df, *_ = data
+    calls = []
+    encode = tree.encode
+    for module in (tree, pruning):
+        monkeypatch.setattr(module, "encode", lambda *a: calls.append(1) or encode(*a))
+    whole = pruning.validated_tree(df, "y", ["a", "b", "x"], "k", max_depth=3, min_rows=20)
+    assert len(calls) == 1 and len(whole.cv_error) == len(whole.sequence)
+    calls.clear()
+    rare = df.unionByName(spark.createDataFrame([("r1", "rare", "u", 1.0, 1.0)], df.schema))
+    pruning.validated_tree(rare, "y", ["a", "b", "x"], "k", max_depth=3, min_rows=20)
+    assert len(calls) == 2  # the fold that holds the only such row is encoded anew
+
+
 def test_side_finds_the_hash_once(spark):
     df = spark.range(400).select(F.concat(F.lit("k"), "id").alias("k"), (F.col("id") % 97).cast("double").alias("y"))
     rule = split.fit_split(df, "k", "y")

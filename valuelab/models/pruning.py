@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tree import TreeFit, fit_tree
+from .tree import Encoded, TreeFit, encode, fit_tree
 
 
 @dataclass(frozen=True)
@@ -220,14 +220,31 @@ class PrunedTree:
         )
 
 
-def grow(train: DataFrame, target: str, predictors: Sequence[str], middle: float, **options) -> PrunedTree:
-    """A tree on ``train`` and its weakest-link sequence, unvalidated; the grown tree is chosen."""
-    fit = fit_tree(train, target, predictors, **options)
+def grow(
+    train: DataFrame, target: str, predictors: Sequence[str], middle: float, encoded: Encoded | None = None, **options
+) -> PrunedTree:
+    """A tree on ``train`` and its weakest-link sequence, unvalidated; the grown tree is chosen.
+
+    ``encoded`` is ``train`` after :func:`tree.encode`, if there is such a table already.
+    """
+    fit = fit_tree(train, target, predictors, encoded=encoded, **options)
     shape = shape_of(fit.tree.toDebugString)
-    sums = leaf_sums(fit.score(train), target, shape.n_leaves, middle)
+    routed = fit.score(train) if encoded is None else fit.tree.transform(encoded.rows)
+    sums = leaf_sums(routed, target, shape.n_leaves, middle)
     return PrunedTree(fit, shape, sums, middle, tuple(weakest_links(shape, sums)))
 
 
+def folds_without(rows: DataFrame, levels: dict[str, list[str]], fold: str) -> set[int]:
+    """The folds outside of which some level does not occur: one combining pass."""
+    text = list(levels)
+    if not text:
+        return set()
+    cells = F.array(*[F.struct(F.lit(i).alias("at"), F.col(p).alias("level")) for i, p in enumerate(text)])
+    found = rows.select(F.col(fold), F.inline(cells)).where(F.col("level").isNotNull()).groupBy("at", "level")
+    alone = found.agg(F.min(fold).alias("low"), F.max(fold).alias("high")).where("low = high")
+    return {int(r[0]) for r in alone.select("low").distinct().collect()}
+
+
 def validated_tree(
     train: DataFrame,
     target: str,
@@ -242,7 +259,8 @@ def validated_tree(
 
     ``train`` is read several times: stage it.  A row's fold is a hash of its key.  For each fold a
     tree grows on the other rows; one pass routes all rows through it, which gives the errors of
-    every subtree on the rows left out.  The subtree for a price of the main sequence is taken
+    every subtree on the rows left out.  All trees read one encoded table, but for a fold whose
+    other rows lack a level: these are encoded anew.  The subtree for a price of the main sequence is taken
     at the geometric mean of that price and the next.  With ``one_se`` the smallest subtree
     within one standard error of the best is chosen, else the best.  Rows that lack a target, a
     number or a category are left out.  Needs at least one row in two folds; where the table
@@ -252,8 +270,10 @@ def validated_tree(
     middle = rows.agg(F.avg(F.col(target).cast("double"))).first()[0]
     if middle is None:
         raise ValueError("no complete row to grow a tree on")
-    main = grow(rows, target, predictors, middle, seed=seed, **options)
     fold = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(folds))
+    encoded = encode(rows.withColumn("__fold", fold), predictors, [target, "__fold"])
+    main = grow(rows, target, predictors, middle, encoded, seed=seed, **options)
+    lacking = folds_without(rows.withColumn("__fold", fold), encoded.levels, "__fold")
     alphas = [p.alpha for p in main.sequence] + [math.inf]
     prices = [math.sqrt(a * b) if b < math.inf else math.inf for a, b in zip(alphas, alphas[1:])]
     errors, counts = [], []
@@ -261,9 +281,13 @@ def validated_tree(
         others = rows.where(fold != k)
         if others.isEmpty():
             continue
-        fit = fit_tree(others, target, predictors, seed=seed, **options)
+        same = None if k in lacking else encoded.where(F.col("__fold") != k)
+        fit = fit_tree(others, target, predictors, seed=seed, encoded=same, **options)
         shape = shape_of(fit.tree.toDebugString)
-        scored = fit.score(rows.withColumn("__out", fold == k))
+        if same is None:
+            scored = fit.score(rows.withColumn("__out", fold == k))
+        else:
+            scored = fit.tree.transform(encoded.rows.withColumn("__out", F.col("__fold") == k))
         grown, unseen = leaf_sums(scored, target, shape.n_leaves, middle, "__out")
         n = float(unseen[:, 0].sum())
         if n == 0:
