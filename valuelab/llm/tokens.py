@@ -6,7 +6,7 @@ import os
 import re
 import sys
 import types
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -74,17 +74,24 @@ class WordEncoder:
     """Ids of a tokenizer that drops white space, so that each word has ids of its own.
 
     Words are encoded by the tokenizers library, each distinct word once for as long as it is
-    kept: up to ``most`` words, the first seen stay.  A text that holds a special token's
+    kept: up to ``most`` words, the first seen stay.  New words go to the library many at a time,
+    with a mark between them that is a word of one id.  A text that holds a special token's
     string, or a control character that Python takes for a space, is encoded as a whole.
     """
 
+    MARK = "~"
+    #: Words that go to the library together.
+    TOGETHER = 200
+
     def __init__(self, path: str, most: int = 500_000):
         self.tokenizer = _library(path)
         self.special = re.compile(_special(self.tokenizer).pattern + "|[\x1c-\x1f]")
         #: Beyond Latin-1 lower case may depend on marks that follow, so it is left to the library.
         self.beyond = r"[^\x{00}-\x{ff}]"
         self.most = most
-        self.number: dict[str, int] = {}
+        self.words = pa.array([], pa.string())
+        self.mark = self.encode(self.MARK)
+        self.apart = re.compile(f"[{self.MARK}]|[^\x00-\xff]")
         self.start = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
@@ -92,6 +99,38 @@ class WordEncoder:
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and the ids of all of them in a row.
+
+        Words that hold the mark, or characters beyond Latin-1, are not joined with others.
+        """
+        alone = {i for i, w in enumerate(words) if self.apart.search(w)} if len(self.mark) == 1 else set(range(len(words)))
+        joined = [w for i, w in enumerate(words) if i not in alone] if alone else words
+        between = f" {self.MARK} "
+        texts = [between.join(joined[i : i + self.TOGETHER]) for i in range(0, len(joined), self.TOGETHER)]
+        parts = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate([np.append(p, self.mark).astype(np.uint32) for p in parts]) if parts else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(ids == self.mark[0]) if parts else np.zeros(0, np.int64)
+        sizes = np.diff(ends, prepend=-1) - 1
+        if len(sizes) != len(joined):  # the mark is not a word of its own here
+            return self.encode_apart(words)
+        flat = ids[ids != self.mark[0]] if parts else ids
+        if not alone:
+            return sizes, flat
+        own_sizes, own = self.encode_apart([words[i] for i in sorted(alone)])
+        places = np.argsort(np.r_[[i for i in range(len(words)) if i not in alone], sorted(alone)].astype(np.int64))
+        sizes, flat = np.concatenate([sizes, own_sizes]), np.concatenate([flat, own])
+        starts = (np.cumsum(sizes) - sizes)[places]
+        sizes = sizes[places]
+        ends = np.cumsum(sizes)
+        return sizes, flat[np.repeat(starts - ends + sizes, sizes) + np.arange(len(flat))]
+
+    def encode_apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`encode_words`, each word by itself."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         sizes, ids = self.encode_column(pa.array(texts, pa.string()))
@@ -117,21 +156,19 @@ class WordEncoder:
         lists = pc.utf8_split_whitespace(pc.if_else(beyond, texts, pc.utf8_lower(texts)))
         bounds = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        at = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        words = coded.dictionary
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         missed = np.flatnonzero(at < 0)
         start, size, flat = self.start, self.size, self.flat
         if len(missed):
-            new = [words[i] for i in missed.tolist()]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+            new = words.take(pa.array(missed))
+            sizes, ids = self.encode_words(new.to_pylist())
             at[missed] = np.arange(len(size), len(size) + len(new))
             start = np.concatenate([start, len(flat) + np.cumsum(sizes) - sizes])
             size = np.concatenate([size, sizes])
             flat = np.concatenate([flat, ids])
-            if len(self.number) < self.most:
-                self.number |= zip(new, at[missed].tolist())
+            if len(self.words) < self.most:
+                self.words = pa.concat_arrays([self.words, new])
                 self.start, self.size, self.flat = start, size, flat
         place = at[coded.indices.to_numpy(zero_copy_only=False)]
         sizes = size[place]
