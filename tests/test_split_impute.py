@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from valuelab import plans
 from valuelab.operators import impute, split
 
 
@@ -93,3 +94,14 @@ def test_unknown_and_means(spark):
         ("X value", "Before imputation", 3.0),
         ("X value", "After imputation", 4.0),
     }
+
+
+def test_written_rows_are_hashed_once(spark):
+    df = spark.range(500).select(F.concat(F.lit("k"), "id").alias("booking_id"), (F.col("id") % 89).cast("double").alias("basket_value"))
+    df = df.unionByName(spark.createDataFrame([(None, 3.0), ("n1", None)], "booking_id string, basket_value double"))
+    table, rule = plans.split_table(df)
+    assert table.columns == ["booking_id", "basket_value", "dataset"]
+    assert "md5" not in table._jdf.queryExecution().optimizedPlan().toString()
+    plain = split.fit_split(df, "booking_id", "basket_value")
+    assert rule == plain
+    assert sorted(map(str, table.collect())) == sorted(map(str, plain.apply(df).collect()))

@@ -35,6 +35,11 @@ def _row_hash(key: str, seed: int | str) -> Column:
     return F.md5(F.concat(_key_text(key), F.lit(f":{seed}")))
 
 
+def with_row_hash(df: DataFrame, key: str, seed: int | str, name: str) -> DataFrame:
+    """``df`` with the hash that the split orders rows by, for tables that are written before they are split."""
+    return df.withColumn(name, _row_hash(key, seed))
+
+
 def _bin(target: str, edges: Sequence[float]) -> Column:
     """Bin from 1; bins are closed on the right, the lowest also on the left."""
     y = number(target)
@@ -57,19 +62,21 @@ class SplitRule:
     def bin(self) -> Column:
         return _bin(self.target, self.edges)
 
-    def side(self) -> Column:
-        """Train / Test; null where the target is missing."""
+    def side(self, hash_col: str | None = None) -> Column:
+        """Train / Test; null where the target is missing.  ``hash_col`` is that of :func:`with_row_hash`."""
         bin_ = self.bin()
         # Hashes have one length, so hash and key compare as one text, which finds the hash once.
-        place = F.concat(_row_hash(self.key, self.seed), _key_text(self.key))
+        own = _row_hash(self.key, self.seed) if hash_col is None else F.col(hash_col)
+        place = F.concat(own, _key_text(self.key))
         ends = [self.cutoffs.get(b) for b in range(1, len(self.edges) + 2)]
         last = F.array(*[F.lit(None if e is None else "".join(e)).cast("string") for e in ends])
         train = F.coalesce(place <= F.get(last, bin_ - 1), F.lit(False))
         return F.when(bin_.isNotNull(), F.when(train, F.lit(TRAIN)).otherwise(F.lit(TEST)))
 
-    def apply(self, df: DataFrame, name: str = "dataset") -> DataFrame:
+    def apply(self, df: DataFrame, name: str = "dataset", hash_col: str | None = None) -> DataFrame:
         """``df`` with the side of every row; rows without a target stay, their side is null."""
-        return df.withColumn(name, self.side())
+        sided = df.withColumn(name, self.side(hash_col))
+        return sided if hash_col is None else sided.drop(hash_col)
 
 
 def fit_split(
@@ -80,12 +87,14 @@ def fit_split(
     seed: int | str = 123,
     bins: int = 4,
     max_window_rows: int = 200_000,
+    hash_col: str | None = None,
 ) -> SplitRule:
     """Fit the split: ceil(share * n) training rows in each bin.
 
     ``key`` must be unique (run ``dedupe_first`` before).  The cut in each bin is
     found on counts per hash prefix, at most 65,536 per bin; the prefix that holds
-    it is refined until its rows are few, and only those are ranked.
+    it is refined until its rows are few, and only those are ranked.  ``hash_col`` names a
+    column from :func:`with_row_hash` (same key and seed); without it each pass hashes the keys.
     """
     probs = [i / bins for i in range(1, bins)]
     y = number(target)
@@ -102,7 +111,7 @@ def fit_split(
 
     hashed = df.select(
         _bin(target, edges).alias("b"),
-        _row_hash(key, seed).alias("h"),
+        (_row_hash(key, seed) if hash_col is None else F.col(hash_col)).alias("h"),
         _key_text(key).alias("k"),
     ).where(F.col("b").isNotNull())
 
@@ -129,11 +138,12 @@ def fit_split(
 
 
 def _in_open_prefix(open_bins: dict) -> Column:
-    return reduce(
-        lambda a, b: a | b,
-        [(F.col("b") == b) & F.col("h").startswith(p) for b, (p, _, _) in open_bins.items()],
-        F.lit(False),
-    )
+    """Whether a row's hash starts with its bin's open prefix: one comparison, which finds the hash once."""
+    if not open_bins:
+        return F.lit(False)
+    prefixes = [open_bins[b][0] if b in open_bins else None for b in range(1, max(open_bins) + 1)]
+    wanted = F.get(F.array(*[F.lit(p).cast("string") for p in prefixes]), F.col("b") - 1)
+    return F.coalesce(F.col("h").startswith(wanted), F.lit(False))
 
 
 def _prefix_counts(hashed: DataFrame, digits: int, open_bins: dict | None) -> DataFrame:

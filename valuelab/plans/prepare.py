@@ -16,7 +16,7 @@ from ..operators.dedupe import dedupe_first
 from ..operators.impute import fill_medians, fill_unknown, restrict_levels, train_medians
 from ..operators.missing import flag_missing
 from ..operators.quantiles import quantile_summary
-from ..operators.split import TEST, TRAIN, SplitRule, fit_split
+from ..operators.split import TEST, TRAIN, SplitRule, fit_split, with_row_hash
 from ..sources import coerce_numeric, export_csv, export_parquet, staged
 from .layout import Layout
 
@@ -78,11 +78,12 @@ def split_table(
 ) -> tuple[DataFrame, SplitRule]:
     """The model table with its ``dataset`` column, and the fitted rule.
 
-    Several passes read the model table from here on, so it is written once.
+    Several passes read the model table from here on, so it is written once, with the hash of its keys.
     """
-    table = staged(model) if stage else model
-    rule = fit_split(table, layout.key, layout.target, seed=seed)
-    return rule.apply(table), rule
+    hash_col = "__row_hash" if stage else None
+    table = staged(with_row_hash(model, layout.key, seed, hash_col)) if stage else model
+    rule = fit_split(table, layout.key, layout.target, seed=seed, hash_col=hash_col)
+    return rule.apply(table, hash_col=hash_col), rule
 
 
 @dataclass(frozen=True)
