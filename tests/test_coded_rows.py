@@ -108,3 +108,38 @@ def test_side_finds_the_hash_once(spark):
     assert str(rule.side()).lower().count("md5") == 1
     counts = {r["dataset"]: r["count"] for r in rule.apply(df).groupBy("dataset").count().collect()}
     assert counts["Train"] == sum(need for _, need in rule.sizes.values()) and sum(counts.values()) == 400
+
+
+def test_wide_rows_pass_in_packed_cells(spark):
+    rng = np.random.default_rng(8)
+    n = 700
+    names = [f"x{i}" for i in range(7)]
+    x, a = rng.normal(size=(n, 7)), rng.choice(["p", "q", "r"], n)
+    y = (rng.random(n) < 1 / (1 + np.exp(-x[:, 0] - (a == "q")))).astype(int)
+    rows = [(*u, v, w) for u, v, w in zip(x.tolist(), a.tolist(), y.tolist())]
+    rows += [(None, *[0.0] * 6, "p", 1), (*[0.0] * 7, None, 1), (float("nan"), *[0.0] * 6, "p", 0), (*[0.0] * 7, "p", None)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names) + ", a string, y int").repartition(3)
+    design = linear.fit_design(df, [*names, "a"])
+    code = moments.coding(df, design, "y")
+    cells = moments.coded(df, code)
+    assert cells.dtypes == [("__rows", "binary")] and cells.count() < n / 10
+    assert np.allclose(moments.products(cells, code), moments.products(df, code))
+    dense = np.column_stack([np.ones(n), x, a == "r", a == "q"]).astype(float)
+    logit, firth = (f(df, "y", [*names, "a"]) for f in (logistic.fit_logit, logistic.fit_firth))
+    for fit, bias in ((logit, 0.0), (firth, 0.5)):
+        beta = np.zeros(dense.shape[1])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-dense @ beta))
+            cov = np.linalg.inv((dense * (p * (1 - p))[:, None]).T @ dense)
+            h = p * (1 - p) * np.einsum("ij,jk,ik->i", dense, cov, dense)
+            beta = beta + cov @ dense.T @ (y - p + 2 * bias * h * (0.5 - p))
+        got = {r["term"]: r["estimate"] for r in fit.coefficients(df).collect()}
+        assert fit.converged and np.allclose([got[t] for t in ["(Intercept)", *fit.design.names]], beta, atol=1e-6)
+
+
+def test_open_prefixes_find_the_hash_once(spark):
+    df = spark.createDataFrame([(1, "ab1"), (1, "cd1"), (3, "cd2"), (2, "ab2"), (4, "cd"), (None, "ab")], "b int, h string")
+    kept = split._in_open_prefix({1: ("ab", 1, 1), 3: ("cd", 1, 1)})
+    assert str(kept).count("startswith") == 1
+    assert [r["h"] for r in df.where(kept).collect()] == ["ab1", "cd2"]
+    assert df.where(split._in_open_prefix({})).count() == 0

@@ -107,6 +107,12 @@ def _modelling(spark: SparkSession, sf: str) -> DataFrame:
     return _labelled_once(spark, sf).dropna(subset=list(L.predictors))
 
 
+def _fitting(spark: SparkSession, sf: str) -> DataFrame:
+    """Training rows with label and predictors, written once."""
+    rows, _ = _labelled(spark, sf)
+    return sources.staged(rows.where(F.col("dataset") == TRAIN).select("high_value", *L.predictors))
+
+
 def _line(spark: SparkSession, sf: str) -> tuple[DataFrame, moments.Moments]:
     """Complete training rows, and the cross products of the full linear model."""
     rows, _ = _labelled(spark, sf)
@@ -448,9 +454,8 @@ def logit_scores_one(spark: SparkSession, sf: str) -> DataFrame:
 
 def firth_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Bias-reduced coefficients of the full logistic model."""
-    rows = _labelled_once(spark, sf)
-    train = rows.where(F.col("dataset") == TRAIN)
-    return logistic.fit_firth(train, "high_value", L.predictors).coefficients(rows)
+    train = _fitting(spark, sf)
+    return logistic.fit_firth(train, "high_value", L.predictors).coefficients(train)
 
 
 def firth_odds_one(spark: SparkSession, sf: str) -> DataFrame:

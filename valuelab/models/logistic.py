@@ -143,7 +143,7 @@ def fit_firth(
     scale = np.sqrt(np.where(np.diag(own) > 0, np.diag(own), 1.0) / max(1, sums.n))
 
     def passed(beta: np.ndarray, inverse: np.ndarray | None = None) -> np.ndarray:
-        """Information, beside it the score (with leverages if ``inverse`` is given), log likelihood."""
+        """Information and log likelihood at ``beta``; the score alone if ``inverse``, for its leverages, is given."""
         weights, inner = np.zeros(len(sums.sums)), np.zeros_like(sums.sums)
         weights[at] = beta / scale
         if inverse is not None:
@@ -154,10 +154,11 @@ def fit_firth(
             line = np.clip(x.dot(weights), -700, 700)
             p = 1.0 / (1.0 + np.exp(-line))
             w = p * (1 - p)
-            h = 0.0 if inverse is None else w * x.form(inner)
             out = np.zeros((k + 1, k + 1))
+            if inverse is not None:
+                out[:k, k] = out[k, :k] = x.sums(y - p + w * x.form(inner) * (0.5 - p))[at] / scale
+                return out
             out[:k, :k] = x.products(w)[np.ix_(at, at)] / np.outer(scale, scale)
-            out[:k, k] = out[k, :k] = x.sums(y - p + h * (0.5 - p))[at] / scale
             out[k, k] = (y * line - np.logaddexp(0, line)).sum()
             return out
 

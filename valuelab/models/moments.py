@@ -29,6 +29,9 @@ if TYPE_CHECKING:
 MAX_COLUMNS = 4000
 #: A column whose share of variance beside the columns before it is below this adds nothing.
 ALIASED = 1e-10
+#: Coded rows of at least this many predictors are packed, about this many bytes to a cell.
+PACKED_FROM, CELL_BYTES = 8, 8192
+PACKED = "__rows"
 
 
 def levels_of(design: Design) -> dict[str, list[str]]:
@@ -58,19 +61,50 @@ class Coding:
 
     def rows(self, batch: pa.RecordBatch) -> tuple[Rows, np.ndarray]:
         """The batch's complete rows, and which ones those are.  Levels are text or their numbers."""
-        keep = np.ones(batch.num_rows, bool)
+        return self._complete(self._values(batch))
+
+    def parts(self, batch: pa.RecordBatch, most: int = 20_000) -> Iterator[Rows]:
+        """The batch's complete rows, up to ``most`` at a time; the batch may hold packed rows."""
+        if batch.schema.names == [PACKED]:
+            records = np.frombuffer(b"".join(batch.column(0).to_pylist()), self._record)
+            for low in range(0, len(records), most):
+                part = records[low : low + most]
+                yield self._complete([part[f] for f in self._record.names])[0]
+        else:
+            for low in range(0, batch.num_rows, most):
+                yield self.rows(batch.slice(low, most))[0]
+
+    def packed(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The batch's rows as records, a few to a cell."""
+        records = np.empty(batch.num_rows, self._record)
+        for field, x in zip(self._record.names, self._values(batch)):
+            records[field] = x
+        step = max(1, CELL_BYTES // self._record.itemsize)
+        cells = [records[low : low + step].tobytes() for low in range(0, len(records), step)]
+        return pa.RecordBatch.from_arrays([pa.array(cells, pa.binary())], names=[PACKED])
+
+    @property
+    def _record(self) -> np.dtype:
+        kinds = ["<f8" if levels is None else "<i4" for _, levels in (*self.predictors, (self.target, None))]
+        return np.dtype([(f"f{i}", kind) for i, kind in enumerate(kinds)])
+
+    def _values(self, batch: pa.RecordBatch) -> list[np.ndarray]:
+        """Each column as numbers or level codes; what is missing is NaN or -1."""
         values = []
         for i, (_, levels) in enumerate((*self.predictors, (self.target, None))):
             column = batch.column(i)
             if levels is None:
-                x = column.cast(pa.float64()).to_numpy(zero_copy_only=False)
-                keep &= ~np.isnan(x)
+                values.append(column.cast(pa.float64()).to_numpy(zero_copy_only=False))
             else:
                 if not pa.types.is_integer(column.type):
                     column = pc.index_in(column, value_set=pa.array(levels, pa.string()))
-                x = column.fill_null(-1).to_numpy(zero_copy_only=False)
-                keep &= x >= 0
-            values.append(x)
+                values.append(column.fill_null(-1).to_numpy(zero_copy_only=False))
+        return values
+
+    def _complete(self, values: list[np.ndarray]) -> tuple[Rows, np.ndarray]:
+        keep = np.ones(len(values[0]), bool)
+        for x, (_, levels) in zip(values, (*self.predictors, (self.target, None))):
+            keep &= ~np.isnan(x) if levels is None else x >= 0
         kept = np.flatnonzero(keep)
         widths = [*self.widths, 1]
         starts = (np.cumsum(widths) - widths + 1).tolist()
@@ -182,7 +216,19 @@ def coding(df: DataFrame, design: Design, target: str) -> Coding:
 
 
 def coded(df: DataFrame, code: Coding) -> DataFrame:
-    """The rows with levels as numbers, written once: for fits that pass over them again."""
+    """The rows with levels as numbers, written once: for fits that pass over them again.
+
+    Handing a row to Python costs by the cell, so rows of many columns are packed: a cell of
+    bytes holds some rows' records, and a pass hands over a hundredth of a cell per row.
+    """
+    taken = df.select(*code.columns, F.col(code.target).cast("double"))
+    if len(code.columns) >= PACKED_FROM:
+
+        def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield code.packed(batch)
+
+        return staged(taken.mapInArrow(pack, f"`{PACKED}` binary"))
     fields = [f"`{p}` {'double' if levels is None else 'int'}" for p, levels in code.predictors]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +240,6 @@ def coded(df: DataFrame, code: Coding) -> DataFrame:
                 columns.append(column.cast(pa.float64() if levels is None else pa.int32()))
             yield pa.RecordBatch.from_arrays(columns, names=[*code.columns, code.target])
 
-    taken = df.select(*code.columns, F.col(code.target).cast("double"))
     return staged(taken.mapInArrow(run, ", ".join([*fields, f"`{code.target}` double"])))
 
 
@@ -202,20 +247,21 @@ def summed(df: DataFrame, code: Coding, size: int, add: Callable[[Rows], np.ndar
     """The sum of ``add`` (a symmetric ``size`` x ``size`` matrix) over all complete rows.
 
     ``add`` gets up to 20,000 rows at a time.  One pass; what tasks have added up meets in a
-    combining aggregate.  Rows that lack a value are left out.
+    combining aggregate.  Rows that lack a value are left out.  ``df`` may be :func:`coded`.
     """
     rows, columns = np.triu_indices(size)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, size))
         for batch in batches:
-            for low in range(0, batch.num_rows, 20_000):
-                total += add(code.rows(batch.slice(low, 20_000))[0])
+            for part in code.parts(batch):
+                total += add(part)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(total[rows, columns])], names=["pair", "s"]
         )
 
-    taken = df.select(*code.columns, F.col(code.target).cast("double").alias("__target"))
+    packed = df.columns == [PACKED]
+    taken = df if packed else df.select(*code.columns, F.col(code.target).cast("double").alias("__target"))
     sums = taken.mapInArrow(run, "pair int, s double").groupBy("pair").agg(F.sum("s").alias("s"))
     found = sums.toArrow()  # columns x columns numbers
     pair, s = found["pair"].to_numpy(), found["s"].to_numpy()
