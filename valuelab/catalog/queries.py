@@ -562,13 +562,12 @@ def _logit(spark: SparkSession, sf: str) -> tuple[logistic.LogitFit, DataFrame]:
 
 
 def logit_fit(spark: SparkSession, sf: str) -> DataFrame:
-    fit, rows = _logit(spark, sf)
-    return fit.coefficients(rows)
+    train = _fitting(spark, sf).dropna(subset=list(L.predictors))
+    return logistic.fit_logit(train, "high_value", L.predictors).coefficients(train)
 
 
 def odds_ratios(spark: SparkSession, sf: str) -> DataFrame:
-    fit, rows = _logit(spark, sf)
-    return logistic.odds_ratios(fit.coefficients(rows))
+    return logistic.odds_ratios(logit_fit(spark, sf))
 
 
 def logit_ranking(spark: SparkSession, sf: str) -> DataFrame:
