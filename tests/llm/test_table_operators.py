@@ -10,10 +10,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from valuelab.llm import capfilters, mixing, orcids, packing, shuffling
-from valuelab.llm.common import spanning_labels
+from valuelab.llm.common import spanning_labels, staged
 from valuelab.llm.tokens import ByteEncoder, WordEncoder
 from valuelab.sources import work_folder
 
@@ -329,6 +330,41 @@ def test_raking_against_brute_force(spark, per_task):
     assert all(abs(got[c] - want[c]) <= 1e-3 * sum(held.values()) for c in want)
 
 
+def test_sweeps_of_a_job_stop_like_single_sweeps(spark):
+    cells = mixing.weighed(mixed(spark)).groupBy(*mixing.DIMENSIONS).agg(F.sum("tokens").alias("tokens")).persist()
+    for tolerance in (1e-2, 1e-4):
+        targets = mixing.Targets(shares={"lang": {"en": 0.7, "fr": 0.2}}, fraction=0.3, sweeps=7, tolerance=tolerance)
+        ways = ({"sweeps_per_job": 1}, {"sweeps_per_job": 5}, {"cells_per_task": 5})
+        got = [
+            {(r.source, r.lang, r.topic): (r.weight, r.gap) for r in mixing.rake(cells, targets, **way).collect()}
+            for way in ways
+        ]
+        assert len(got[0]) == cells.count() and all(g.keys() == got[0].keys() for g in got)
+        assert all(g[c] == pytest.approx(got[0][c], rel=1e-9, abs=1e-12) for g in got for c in g)
+    cells.unpersist()
+
+
+def test_raking_needs_few_tasks(spark):
+    """Each task and job is kept in the driver's memory; sweeps over few cells must not add up."""
+    rows = [(f"s{i % 5}", f"l{i % 3}", f"t{i % 2}", 100 + i) for i in range(30)]
+    cells = staged(spark.createDataFrame(rows, "source string, lang string, topic string, tokens long").repartition(20))
+    targets = mixing.Targets(sweeps=40, tolerance=-1.0)  # never settled
+    context, before = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        context.setJobGroup("raking", "raking")
+        assert mixing.rake(cells, targets).count() == 30
+    finally:
+        context._jsc.clearJobGroup()
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tracker = context.statusTracker()
+    jobs = tracker.getJobIdsForGroup("raking")
+    stages = [tracker.getStageInfo(s) for j in jobs for s in tracker.getJobInfo(j).stageIds]
+    assert len(jobs) <= 60 and sum(s.numTasks for s in stages if s) <= 300
+
+
 def test_mix_follows_probabilities(spark):
     docs = mixed(spark)
     rows = mixing.mix(docs, mixing.Targets(fraction=0.4)).collect()

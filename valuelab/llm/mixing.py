@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -93,8 +93,43 @@ def _goals(cells: DataFrame, dimension: str, targets: Targets) -> DataFrame:
     )
 
 
+def _scaled(dimension: str) -> Column:
+    """The weight that meets the goal of ``dimension``, cut at what the cell has."""
+    scaled = F.col("weight") * F.col(f"goal_{dimension}") / F.col("sum")
+    return F.least(F.coalesce(scaled, F.lit(0.0)), F.col("tokens").cast("double"))
+
+
+def _sweep_joined(now: DataFrame, names: list[str]) -> DataFrame:
+    """One sweep over cells in many partitions; ``moved`` is the change of the cell's own weight."""
+    swept = now.withColumn("old", F.col("weight"))
+    for dimension in DIMENSIONS:
+        sums = swept.groupBy(dimension).agg(F.sum("weight").alias("sum"))
+        swept = swept.join(sums.hint("shuffle_hash"), dimension).select(
+            *names, "old", _scaled(dimension).alias("weight")
+        )
+    moved = F.abs(F.col("weight") - F.col("old")) / F.col("all")
+    return swept.select(*names, "weight", moved.alias("moved"))
+
+
+def _sweep_in_place(now: DataFrame, names: list[str], tolerance: float) -> DataFrame:
+    """One sweep over cells in one partition; ``moved`` is the largest change of all.
+
+    Has no exchange and reads each cell once, so several sweeps fit one job.  Once ``moved`` is
+    within the tolerance the weights stay as they are.
+    """
+    settled = F.col("settled")
+    swept = now.select(*names, "weight", F.col("weight").alias("old"), (F.col("moved") <= tolerance).alias("settled"))
+    for dimension in DIMENSIONS:
+        total = F.sum("weight").over(Window.partitionBy(dimension))
+        swept = swept.withColumn("sum", total).select(
+            *names, "old", "settled", F.when(settled, F.col("weight")).otherwise(_scaled(dimension)).alias("weight")
+        )
+    moved = F.max(F.abs(F.col("weight") - F.col("old")) / F.col("all")).over(Window.partitionBy())
+    return swept.select(*names, "weight", moved.alias("moved"))
+
+
 def rake(
-    cells: DataFrame, targets: Targets = Targets(), cells_per_task: int = 100_000
+    cells: DataFrame, targets: Targets = Targets(), cells_per_task: int = 100_000, sweeps_per_job: int = 5
 ) -> DataFrame:
     """``cells`` with ``weight``: the tokens to take from each cell.
 
@@ -105,7 +140,13 @@ def rake(
     ``gap`` says by how much the cell's source is off its target, as a share.  Where a value has
     too few tokens its target can't be met: it is taken whole.
     A cell is an aggregate, so the work here does not grow with the documents of a cell.
+
+    Every job costs the driver plans, stages and task states, so up to ``cells_per_task`` cells
+    take ``sweeps_per_job`` sweeps a job in one partition; more cells are dealt out, a sweep a job.
     """
+    parts = cells.count() // cells_per_task + 1
+    if parts == 1:
+        cells = cells.coalesce(1)
     total = cells.agg(F.sum("tokens").cast("double").alias("all"))
     now = cells.join(F.broadcast(total)).withColumn(  # one row
         "weight", F.col("tokens") * F.lit(targets.fraction)
@@ -117,26 +158,24 @@ def rake(
             .withColumn(f"goal_{dimension}", F.col("goal") * F.col("all") * F.lit(targets.fraction))
             .drop("goal")
         )
-    # Few cells are one partition, which needs no exchange; more cells are dealt out as usual.
-    parts = cells.count() // cells_per_task + 1
 
     def settle(df: DataFrame) -> DataFrame:
         return staged(df.coalesce(parts)).coalesce(parts)
 
-    now = settle(now)
     names = [n for n in now.columns if n != "weight"]
-    for _ in range(targets.sweeps):
-        swept = now.withColumn("old", F.col("weight"))
-        for dimension in DIMENSIONS:
-            sums = swept.groupBy(dimension).agg(F.sum("weight").alias("sum"))
-            scaled = F.col("weight") * F.col(f"goal_{dimension}") / F.col("sum")
-            most = F.col("tokens").cast("double")
-            swept = swept.join(sums.hint("shuffle_hash"), dimension).select(
-                *names, "old", F.least(F.coalesce(scaled, F.lit(0.0)), most).alias("weight")
-            )
-        swept = settle(swept)
-        moved = swept.agg(F.max(F.abs(F.col("weight") - F.col("old")) / F.col("all"))).first()[0]
-        now = swept.drop("old")
+    now = settle(now.withColumn("moved", F.lit(None).cast("double")))
+    done = 0
+    while done < targets.sweeps:
+        if parts == 1:
+            sweeps = min(sweeps_per_job, targets.sweeps - done)
+            for _ in range(sweeps):
+                now = _sweep_in_place(now, names, targets.tolerance)
+        else:
+            sweeps = 1
+            now = _sweep_joined(now, names)
+        now = settle(now)
+        done += sweeps
+        moved = now.agg(F.max("moved")).first()[0]
         if moved is None or moved <= targets.tolerance:
             break
     got = now.groupBy("source").agg(F.sum("weight").alias("got"))
